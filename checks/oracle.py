@@ -17,7 +17,7 @@ stops AS (
          CASE WHEN k >= 5 THEN CAST(k AS DOUBLE) END AS subject_age,
          CASE WHEN k % 10 = 0 THEN NULL WHEN k % 2 = 1 THEN 'female' ELSE 'male' END
            AS subject_sex,
-         CASE WHEN k = 99 THEN NULL
+         CASE WHEN event_id % 101 = 0 THEN NULL
               WHEN event_type = 'view' THEN 'white' WHEN event_type = 'click' THEN 'black'
               WHEN event_type = 'purchase' THEN 'hispanic'
               WHEN event_type = 'signup' THEN 'asian/pacific islander'
@@ -346,6 +346,10 @@ ORACLE: dict[str, str] = {
         )
         + " FROM stops WHERE date BETWEEN DATE '2014-03-01' AND DATE '2014-09-30' GROUP BY city",
     ),
+    "parsed_stops": _with(
+        STOPS,
+        f"SELECT {', '.join(c for c in STOP_COLUMNS if c not in ('hour', 'weekday'))} FROM stops",
+    ),
     "completeness": _with(STOPS, _counts_by_column(STOP_COLUMNS)),
     "column_report": _with(STOPS, _counts_by_column(STOP_COLUMNS[1:], "'{kind}' AS data_type,")),
     "clean_stops": _with(

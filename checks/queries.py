@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import views
+from duskline.functions.text import blank_to_null
 from duskline.operators import (
     census,
     clean,
@@ -87,6 +88,11 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parsed_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stop read from its text: missing-value tokens, dates, numbers and times."""
+    return clean.typed_stops(blank_to_null(views.raw_stops(spark, sf_dir)))
+
+
 def column_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = _profile_stops(spark, sf_dir).drop("raw_row_number")
     return clean.schema_report(stops).join(clean.completeness(stops), "column_name")
@@ -297,6 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "column_inventory": column_inventory,
     "harmonized_union": harmonized_union,
     "csv_files": csv_files,
+    "parsed_stops": parsed_stops,
     "completeness": _on_profile(clean.completeness),
     "column_report": column_report,
     "clean_stops": clean_stops,

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duskline.fixed import CENSUS_HEADING, CENSUS_NOTE, CENSUS_TOTAL
-from duskline.functions.text import blank_to_null
-from duskline.operators import clean
 
 # The regions stand for cities, at the points of five cities.
 POINTS = (
@@ -54,30 +52,45 @@ def customer_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-RAW_COLUMNS = """
+# The typed columns of a stop. Missing values: about one race in a hundred, one time
+# in 25, one sex in ten and others, as ``k`` runs over 0 to 99.
+STOP_COLUMNS = """
     CAST(event_id AS STRING) AS raw_row_number
-    CAST(date_add(DATE '2014-01-01', CAST(event_id * 7 % 365 AS INT)) AS STRING) AS date
-    if(k % 25 = 1, 'N/A', substr(CAST(ts AS STRING), 12, 8)) AS time
-    if(k % 7 = 0, '', concat('3', k % 10, '.5')) AS lat
-    if(k % 3 = 0, 'NA', concat('-12', k % 5, '.25')) AS lng
-    if(k < 5, 'nan', CAST(k AS STRING)) AS subject_age
-    CASE WHEN k % 10 = 0 THEN 'N/A' WHEN k % 2 = 1 THEN 'female' ELSE 'male' END AS subject_sex
-    if(k = 99, 'NULL', race) AS subject_race
+    date_add(DATE '2014-01-01', CAST(event_id * 7 % 365 AS INT)) AS date
+    if(k % 25 <> 1, substr(CAST(ts AS STRING), 12, 8), NULL) AS time
+    if(k % 7 <> 0, 30 + k % 10 + 0.5D, NULL) AS lat
+    if(k % 3 <> 0, -(120 + k % 5 + 0.25D), NULL) AS lng
+    if(k >= 5, CAST(k AS DOUBLE), NULL) AS subject_age
+    CASE WHEN k % 10 = 0 THEN NULL WHEN k % 2 = 1 THEN 'female' ELSE 'male' END AS subject_sex
+    if(event_id % 101 <> 0, race, NULL) AS subject_race
     if(k % 4 = 0, 'pedestrian', 'vehicular') AS type
-    CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN 'arrest' ELSE 'citation' END AS outcome
+    CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 'arrest' ELSE 'citation' END AS outcome
     if(k % 2 = 0, 'TRUE', 'FALSE') AS search_conducted
-    CASE WHEN k % 2 <> 0 THEN 'N/A' WHEN k % 8 = 0 THEN 'TRUE' ELSE 'FALSE' END AS contraband_found
+    CASE WHEN k % 2 <> 0 THEN NULL WHEN k % 8 = 0 THEN 'TRUE' ELSE 'FALSE' END AS contraband_found
+    if(k % 25 <> 1, hour(ts) * 3600 + minute(ts) * 60 + CAST(second(ts) AS INT), NULL) AS second_of_day
     user_id
 """
 
+# What a file holds where a value is missing.
+TOKENS = {
+    "time": "N/A",
+    "lat": "",
+    "lng": "NA",
+    "subject_age": "nan",
+    "subject_sex": "N/A",
+    "subject_race": "NULL",
+    "outcome": "",
+    "contraband_found": "None",
+}
 
-def raw_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a merged text table, missing values as the tokens files hold.
+
+def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the merged table with types, as the merge job saves it.
 
     The join with the customers has no hint: its size grows with the data.
     """
     race = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in RACES.items())
-    text = (
+    typed = (
         table(spark, sf_dir, "events")
         .selectExpr(
             "event_id",
@@ -86,15 +99,23 @@ def raw_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
             "CAST(get_json_object(props, '$.k') AS INT) AS k",
             f"CASE event_type {race} END AS race",
         )
-        .selectExpr(*RAW_COLUMNS.strip().split("\n"))
+        .selectExpr(*STOP_COLUMNS.strip().split("\n"))
     )
     cities = customer_cities(spark, sf_dir).select("c_custkey", "city")
-    return text.join(cities, F.col("user_id") == F.col("c_custkey")).drop("user_id", "c_custkey")
+    return typed.join(cities, F.col("user_id") == F.col("c_custkey")).drop("user_id", "c_custkey")
 
 
-def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merged table with types, as the merge job saves it."""
-    return clean.typed_stops(blank_to_null(raw_stops(spark, sf_dir)))
+def raw_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as text, missing values as the tokens files hold."""
+    typed = stops(spark, sf_dir).drop("second_of_day")
+    return typed.select(
+        [
+            F.coalesce(F.col(c).cast("string"), F.lit(TOKENS[c])).alias(c)
+            if c in TOKENS
+            else F.col(c).cast("string").alias(c)
+            for c in typed.columns
+        ]
+    )
 
 
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -9,11 +9,12 @@ def second_of_day(time: Column) -> Column:
     """Seconds since midnight of an ``HH:MM:SS`` text; null when it is not a time.
 
     The text is put behind a fixed date so that Spark's plain timestamp cast can
-    read it, which needs no pattern formatter and no session time zone.
+    read it, which needs no pattern formatter and no session time zone. The parsed
+    stamp is used once, so it is not parsed again where a filter copies it.
     """
-    stamp = F.concat(F.lit("1970-01-01 "), time).try_cast("timestamp_ntz")
-    seconds = F.hour(stamp) * 3600 + F.minute(stamp) * 60 + F.second(stamp)
-    return F.when(time.contains(":"), seconds.cast("int"))
+    midnight = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    text = F.when(time.contains(":"), F.concat(F.lit("1970-01-01 "), time))
+    return F.timestamp_diff("SECOND", midnight, text.try_cast("timestamp_ntz")).cast("int")
 
 
 def hour_of(seconds: Column) -> Column:
@@ -31,20 +32,18 @@ def clock_text(stamp: Column) -> Column:
 
 def stop_date(text: Column, strict: bool = True) -> Column:
     """Day of a stop from the first ten characters of its date text."""
-    parsed = F.substring(text, 1, 10).try_cast("date")
-    return _or_fail(parsed, text, "date") if strict else parsed
+    return _read(F.substring(text, 1, 10), "date", strict)
 
 
 def number(text: Column, strict: bool = True) -> Column:
-    parsed = text.try_cast("double")
-    return _or_fail(parsed, text, "number") if strict else parsed
+    return _read(text, "double", strict)
+
+
+def _read(text: Column, kind: str, strict: bool) -> Column:
+    """Strict reading fails on a bad text, by Spark's ANSI cast."""
+    return text.cast(kind) if strict else text.try_cast(kind)
 
 
 def weekday(date: Column) -> Column:
     """0 is Monday, 6 is Sunday."""
     return F.weekday(date)
-
-
-def _or_fail(parsed: Column, text: Column, what: str) -> Column:
-    message = F.concat(F.lit(f"not a {what}: "), text)
-    return F.when(parsed.isNull() & text.isNotNull(), F.raise_error(message)).otherwise(parsed)

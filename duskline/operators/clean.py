@@ -18,8 +18,9 @@ from duskline.operators.harmonize import non_null_counts
 def typed_stops(raw: DataFrame, strict: bool = True) -> DataFrame:
     """Dates, numbers and the second of the day from a merged text table.
 
-    A date or age that cannot be read stops the job, so no row is lost unseen;
-    with ``strict=False`` it becomes null. A time that cannot be read is null.
+    A date or number that cannot be read stops the job (in Spark's default ANSI
+    mode), so no row is lost unseen; with ``strict=False`` it becomes null. A time
+    that cannot be read is null.
     """
     text = F.col
     return raw.withColumns(
