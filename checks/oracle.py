@@ -333,7 +333,31 @@ def _interval(other: str) -> str:
        round(white_mean - {other}_mean + 2.58 * {variance}, 6) AS upper_bound FROM means"""
 
 
+STAGES = {
+    "read": "TRUE",
+    "complete": "subject_race IS NOT NULL",
+    "in period": "date BETWEEN DATE '2014-03-01' AND DATE '2014-09-30'",
+    "listed cities": "city <> 'ASIA'",
+    "listed races": "subject_race IN ('black', 'hispanic', 'white')",
+    "vehicular": "type = 'vehicular'",
+}
+
+
+def _stage_completeness() -> str:
+    parts, kept = [], "TRUE"
+    for step, (stage, condition) in enumerate(STAGES.items()):
+        kept = f"{kept} AND ({condition})"
+        parts += [
+            f"SELECT {step} AS step, '{stage}' AS stage, '{c}' AS column_name, "
+            f"count({c}) AS non_null FROM stops WHERE {kept}"
+            for c in STOP_COLUMNS
+            if c not in ("raw_row_number", "hour", "weekday")
+        ]
+    return _with(STOPS, "\nUNION ALL ".join(parts))
+
+
 ORACLE: dict[str, str] = {
+    "stage_completeness": _stage_completeness(),
     "column_inventory": INVENTORY,
     "harmonized_union": UNION,
     "csv_files": _with(
@@ -363,20 +387,7 @@ ORACLE: dict[str, str] = {
         "SELECT CAST(raw_row_number AS BIGINT) AS row, city, date, subject_race "
         "FROM study ORDER BY 1 LIMIT 5",
     ),
-    "stage_counts": _with(
-        STOPS,
-        _stages(
-            "stops",
-            {
-                "read": "TRUE",
-                "complete": "subject_race IS NOT NULL",
-                "in period": "date BETWEEN DATE '2014-03-01' AND DATE '2014-09-30'",
-                "listed cities": "city <> 'ASIA'",
-                "listed races": "subject_race IN ('black', 'hispanic', 'white')",
-                "vehicular": "type = 'vehicular'",
-            },
-        ),
-    ),
+    "stage_counts": _with(STOPS, _stages("stops", STAGES)),
     "date_span": _with(
         STOPS,
         "SELECT city, min(date) AS first_date, max(date) AS last_date "

@@ -22,7 +22,7 @@ from duskline.operators import (
     sunset,
     twilight,
 )
-from duskline.plans.jobs import study_stops
+from duskline.plans.jobs import study_stages, study_stops
 from duskline.plans.study import Study
 from duskline.sources.lineage import shared_folder
 from duskline.sources.readers import read_cities, read_table
@@ -112,21 +112,12 @@ def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops = views.stops(spark, sf_dir)
-    keys = F.lit(True)
-    for name in ("date", "subject_race", "type", "city"):
-        keys = keys & F.col(name).isNotNull()
-    return profile.stage_counts(
-        stops,
-        {
-            "read": F.lit(True),
-            "complete": keys,
-            "in period": F.col("date").between(PROFILE.period.start, PROFILE.period.end),
-            "listed cities": ~F.col("city").isin(*PROFILE.without_cities),
-            "listed races": F.col("subject_race").isin(*PROFILE.races),
-            "vehicular": F.col("type") == "vehicular",
-        },
-    )
+    return profile.stage_counts(views.stops(spark, sf_dir), study_stages(PROFILE))
+
+
+def stage_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stops = views.stops(spark, sf_dir).drop("raw_row_number")
+    return profile.stage_completeness(stops, study_stages(PROFILE))
 
 
 def profile_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +179,7 @@ def _evening(spark: SparkSession, sf_dir: str, study: Study) -> tuple[DataFrame,
     """Vehicular stops of the study's twilight cities, and their solar table."""
     stops = filters.with_races(study_stops(views.stops(spark, sf_dir), study), study.races)
     stops = filters.in_cities(filters.of_type(stops), study.twilight_cities)
-    points = sunset.city_points(spark, study.twilight_points)
-    return stops, sunset.solar_table(stops, points)
+    return stops, sunset.solar_table(stops, study.twilight_points)
 
 
 def _twilight(spark: SparkSession, sf_dir: str, study: Study = YEAR) -> DataFrame:
@@ -310,6 +300,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "labelled_stops": labelled_stops,
     "first_rows": first_rows,
     "stage_counts": stage_counts,
+    "stage_completeness": stage_completeness,
     "date_span": _on_profile(profile.date_span),
     "city_counts": _on_profile(lambda df: profile.frequency_by_key(df, "city")),
     "race_counts": _on_profile(lambda df: profile.frequency(df, "subject_race")),

@@ -130,18 +130,44 @@ def stage_counts(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
 
     Each stage keeps what the stages before it kept; ``step`` numbers them.
     """
-    passed, counts, kept = [], [], F.lit(True)
-    for step, (stage, condition) in enumerate(stages.items()):
-        kept = kept & F.coalesce(condition, F.lit(False))
-        passed.append(F.count_if(kept).alias(f"stage_{step}"))
-        counts.append(
-            F.struct(
-                F.lit(step).alias("step"),
-                F.lit(stage).alias("stage"),
-                F.col(f"stage_{step}").alias("rows"),
-            )
+    counts = _passed(df, stages).groupBy("passed").agg(F.count(F.lit(1)).alias("n"))
+    return _per_stage(counts, stages, {"rows": F.col("n")})
+
+
+def stage_completeness(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
+    """Non-null values per column after each of a chain of filters, in one pass."""
+    names = df.columns
+    counts = (
+        _passed(df, stages).groupBy("passed").agg(*[F.count(name).alias(name) for name in names])
+    )
+    wide = _per_stage(counts, stages, {name: F.col(name) for name in names})
+    return wide.unpivot(["step", "stage"], names, "column_name", "non_null")
+
+
+def _passed(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
+    """How many of the stages, in their order, a row passes."""
+    passed = F.lit(len(stages))
+    for step, condition in reversed(list(enumerate(stages.values()))):
+        passed = F.when(condition, passed).otherwise(step)
+    return df.withColumn("passed", passed)
+
+
+def _per_stage(
+    counts: DataFrame, stages: Mapping[str, Column], numbers: Mapping[str, Column]
+) -> DataFrame:
+    """Sums over the rows that passed each stage; ``counts`` has one row per stage at most."""
+    sums = [
+        F.struct(
+            F.lit(step).alias("step"),
+            F.lit(stage).alias("stage"),
+            *[
+                F.coalesce(F.sum(F.when(F.col("passed") > step, number)), F.lit(0)).alias(name)
+                for name, number in numbers.items()
+            ],
         )
-    return df.agg(*passed).select(F.inline(F.array(*counts)))
+        for step, stage in enumerate(stages)
+    ]
+    return counts.agg(F.array(*sums).alias("stages")).select(F.inline("stages"))
 
 
 CELL_COLUMNS = ("city", "type", "subject_sex", "subject_race", "hour")

@@ -11,22 +11,27 @@ from duskline.functions import clock, solar
 
 CITY_SCHEMA = "city string, lat double, lon double, tz string"
 
+Point = tuple[str, float, float, str]
 
-def city_points(
-    spark: SparkSession, points: Sequence[tuple[str, float, float, str]] = CITY_POINTS
-) -> DataFrame:
-    """The city table; its size is the length of the given list."""
-    return spark.createDataFrame(list(points), CITY_SCHEMA)
+# A city takes under 100 bytes.
+BROADCAST_CITIES = 100_000
 
 
-def solar_table(stops: DataFrame, points: DataFrame) -> DataFrame:
+def city_points(spark: SparkSession, points: Sequence[Point] = CITY_POINTS) -> DataFrame:
+    """The city table, as long as the given list and broadcast if that is short."""
+    table = spark.createDataFrame(list(points), CITY_SCHEMA)
+    return F.broadcast(table) if len(points) <= BROADCAST_CITIES else table
+
+
+def solar_table(stops: DataFrame, points: Sequence[Point] = CITY_POINTS) -> DataFrame:
     """Local sunset and dusk for each city and date that has stops.
 
     Reads two columns of the stops and reduces them to distinct days before
     anything is shuffled. Cities without a point are left out.
     """
     days = stops.select("city", "date").where(F.col("date").isNotNull()).distinct()
-    sun = solar.with_sun_position(days.join(points, "city"))
+    cities = city_points(stops.sparkSession, points)
+    sun = solar.with_sun_position(days.join(cities, "city"))
     sunset = solar.local_stamp(solar.setting_second(solar.SUNSET_ALTITUDE), F.col("tz"))
     dusk = solar.local_stamp(solar.setting_second(solar.DUSK_ALTITUDE), F.col("tz"))
     stamped = sun.select("city", "date", sunset.alias("sunset_at"), dusk.alias("dusk_at"))

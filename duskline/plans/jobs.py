@@ -1,4 +1,4 @@
-"""The four jobs: merge, profile, rates, twilight test.
+"""The jobs: merge, overview, profile, rates, twilight test.
 
 Each job reads saved Parquet, is one lazy plan per result table, and can be run
 again: it replaces its own output and nothing else.
@@ -7,9 +7,12 @@ again: it replaces its own output and nothing else.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from duskline.fixed import KEY_COLUMNS
 from duskline.operators import (
     census,
     clean,
@@ -27,12 +30,19 @@ from duskline.sources.readers import read_cities, read_table, read_text_table
 from duskline.sources.writers import write_table
 
 
-def merge_stops(
-    spark: SparkSession, paths: Mapping[str, str | Sequence[str]], out: str
-) -> None:
+Paths = Mapping[str, str | Sequence[str]]
+
+
+def inventory_table(spark: SparkSession, paths: Paths, out: str) -> None:
+    """Which city files hold which column; reads headers only."""
+    write_table(harmonize.column_inventory(spark, read_cities(spark, paths)), out)
+
+
+def merge_stops(spark: SparkSession, paths: Paths, out: str, rebalance: bool = False) -> None:
     """City files to one typed table, partitioned so that a study reads its year only."""
     merged = clean.typed_stops(harmonize.merge_cities(read_cities(spark, paths)))
-    write_table(merged.withColumn("year", F.year("date")), out, ["city", "year"])
+    dated = merged.withColumn("year", F.year("date"))
+    write_table(dated, out, ["city", "year"], rebalance=rebalance)
 
 
 def census_table(spark: SparkSession, first: str, second: str, out: str) -> None:
@@ -46,6 +56,37 @@ def study_stops(stops: DataFrame, study: Study) -> DataFrame:
     return clean.with_clock_fields(filters.without_cities(kept, study.without_cities))
 
 
+def study_stages(study: Study) -> dict[str, Column]:
+    """The filters between the merged table and the stops of the twilight test."""
+    keys = [F.col(name).isNotNull() for name in KEY_COLUMNS]
+    return {
+        "read": F.lit(True),
+        "complete": reduce(and_, keys),
+        "in period": F.col("date").between(study.period.start, study.period.end),
+        "listed cities": ~F.col("city").isin(*study.without_cities),
+        "listed races": F.col("subject_race").isin(*study.races),
+        "vehicular": F.col("type") == "vehicular",
+    }
+
+
+def overview(spark: SparkSession, merged: str, out: str, study: Study) -> None:
+    """What the merged table holds: dates per city, rows and values after each filter.
+
+    The only job that reads all years, as it is there to choose one.
+    """
+    stops = read_table(spark, merged)
+    write_table(profile.date_span(stops), f"{out}/date_span")
+    write_table(profile.stage_counts(stops, study_stages(study)), f"{out}/stage_counts")
+    values = profile.stage_completeness(stops.drop("year"), study_stages(study))
+    write_table(values, f"{out}/stage_completeness")
+
+
+def export_csv(spark: SparkSession, stops: str, out: str) -> None:
+    """A saved stop table as text for other programs, with labels on unknown values."""
+    table = read_table(spark, stops).drop("second_of_day", "year")
+    write_table(clean.label_unknown(table), out, file_format="csv")
+
+
 def profile_tables(stops: DataFrame, cells: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
     """Every profile table; only the age histogram goes back to the stops."""
     return {
@@ -72,7 +113,6 @@ def profile_study(spark: SparkSession, merged: str, out: str, study: Study) -> N
     days = read_table(spark, f"{out}/day_cells")
     for name, table in profile_tables(stops, cells, days).items():
         write_table(table, f"{out}/{name}")
-    write_table(clean.completeness(stops), f"{out}/completeness")
 
 
 def rates_study(spark: SparkSession, merged: str, census_path: str, out: str, study: Study) -> None:
@@ -97,9 +137,9 @@ def twilight_study(spark: SparkSession, out: str, study: Study) -> None:
     """The twilight test on the clean stops that ``rates_study`` wrote."""
     stops = filters.of_type(read_table(spark, f"{out}/clean_stops"))
     write_table(profile.relative_frequency(stops, "subject_race"), f"{out}/vehicular_race_share")
+    write_table(profile.frequency_by_key(stops, "city"), f"{out}/vehicular_counts")
     stops = filters.in_cities(stops, study.twilight_cities)
-    points = sunset.city_points(spark, study.twilight_points)
-    write_table(sunset.solar_table(stops, points), f"{out}/solar_table")
+    write_table(sunset.solar_table(stops, study.twilight_points), f"{out}/solar_table")
     days = read_table(spark, f"{out}/solar_table")
     write_table(sunset.dusk_extremes(days), f"{out}/dusk_extremes")
 
@@ -121,6 +161,7 @@ def twilight_study(spark: SparkSession, out: str, study: Study) -> None:
 def run_study(
     spark: SparkSession, merged: str, census_path: str, out: str, study: Study
 ) -> None:
+    overview(spark, merged, f"{out}/overview", study)
     profile_study(spark, merged, f"{out}/profile", study)
     rates_study(spark, merged, census_path, f"{out}/rates", study)
     twilight_study(spark, f"{out}/rates", study)

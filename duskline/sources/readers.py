@@ -15,13 +15,20 @@ def read_text_table(
 ) -> DataFrame:
     """A CSV with a header, all columns text, missing-value tokens as null.
 
-    Nothing is inferred, so only the header is read before the query runs.
+    Nothing is inferred, so only the header is read before the query runs. With
+    several files, a file whose header differs from the first one's stops the job.
     ``multi_line`` accepts line breaks inside quotes but makes each file one task;
     leave it off for large files.
     """
     files = path if isinstance(path, str) else list(path)
     table = spark.read.csv(
-        files, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line
+        files,
+        header=True,
+        inferSchema=False,
+        enforceSchema=False,
+        quote='"',
+        escape='"',
+        multiLine=multi_line,
     )
     return drop_index(blank_to_null(table))
 

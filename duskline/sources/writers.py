@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), file_format: str = "parquet"
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    file_format: str = "parquet",
+    rebalance: bool = False,
 ) -> None:
     """Write ``df`` to ``path``, replacing what is there; CSV gets a header.
 
-    No shuffle is added. City tables arrive with one city per task, so
-    partitioning by city makes about one file per task even when one city holds
-    most of the rows.
+    No shuffle is added by default. City files arrive with one city and, as they
+    are kept in order of time, few years per task, so that a task writes few
+    files. Where the rows are mixed, ``rebalance`` shuffles them into files of even
+    size; AQE cuts the part of a city that holds most rows into many.
     """
     if file_format not in ("parquet", "csv"):
         raise ValueError(f"unknown file format: {file_format}")
+    if rebalance:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     if file_format == "csv":
         writer.option("escape", '"').csv(path, header=True)

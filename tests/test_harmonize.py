@@ -108,3 +108,11 @@ def test_reading_cities_keeps_their_own_columns(spark, tmp_path):
         "A": ["date", "type"],
         "B": ["beat", "date"],
     }
+
+
+def test_files_of_one_city_must_share_a_header(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "a.csv").write_text("date,type\n2014-01-01,vehicular\n")
+    (tmp_path / "c" / "b.csv").write_text("type,date\nvehicular,2014-01-01\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_text_table(spark, str(tmp_path / "c")).collect()

@@ -9,6 +9,7 @@ from duskline.operators import filters
 from duskline.plans import jobs
 from duskline.plans.study import STUDY_2014, STUDY_2017
 from duskline.sources.readers import read_table
+from duskline.sources.writers import write_table
 
 CITIES = ["Bakersfield", "Los Angeles", "Oakland", "San Diego", "San Jose", "Santa Ana"]
 HEADINGS = [f'"{city} city, California","Value Note for {city} city, California"' for city in CITIES[:5]]
@@ -62,6 +63,44 @@ def table(spark, folder, name):
     return read_table(spark, f"{folder}/{name}")
 
 
+def test_overview_counts_every_stage(spark, folder):
+    stages = {r.stage: r.rows for r in table(spark, folder, "2014/overview/stage_counts").collect()}
+    assert stages["read"] == 4000 + 5 * 1600
+    clean = table(spark, folder, "2014/rates/clean_stops")
+    assert stages["listed races"] == clean.count()
+    assert stages["vehicular"] == filters.of_type(clean).count()
+    counts = {
+        (r.stage, r.column_name): r.non_null
+        for r in table(spark, folder, "2014/overview/stage_completeness").collect()
+    }
+    assert counts[("complete", "subject_race")] == counts[("complete", "city")] == stages["complete"]
+    assert counts[("listed races", "time")] == clean.where("time is not null").count()
+
+
+def test_exported_csv_has_labels(spark, folder):
+    jobs.export_csv(spark, f"{folder}/2014/rates/clean_stops", f"{folder}/csv")
+    back = spark.read.csv(f"{folder}/csv", header=True)
+    clean = table(spark, folder, "2014/rates/clean_stops")
+    assert back.count() == clean.count()
+    assert back.where("time = 'N/A'").count() == clean.where("time is null").count() > 0
+    assert "second_of_day" not in back.columns
+
+
+def test_inventory_of_files(spark, folder):
+    paths = {city: str(folder / f"{number}.csv") for number, city in enumerate(CITIES)}
+    jobs.inventory_table(spark, paths, f"{folder}/inventory")
+    found = dict(rows(table(spark, folder, "inventory")))
+    assert found["beat"] == CITIES[1::2] and found["date"] == CITIES
+    assert "raw_row_number" not in found
+
+
+def test_rebalanced_write_keeps_all_rows(spark, folder):
+    merged = table(spark, folder, "merged")
+    write_table(merged, f"{folder}/even", ["city", "year"], rebalance=True)
+    back = table(spark, folder, "even").select(merged.columns)
+    assert back.exceptAll(merged).isEmpty() and merged.exceptAll(back).isEmpty()
+
+
 def test_merged_table_keeps_all_rows(spark, folder):
     assert table(spark, folder, "merged").count() == 4000 + 5 * 1600
 

@@ -19,7 +19,7 @@ def test_solar_table(spark):
     stops = spark.createDataFrame(
         [(city, day(d)) for city in [*SOLAR, "Nowhere"] for d in DAYS * 2], "city string, date date"
     )
-    table = sunset.solar_table(stops, sunset.city_points(spark))
+    table = sunset.solar_table(stops)
     found = {(r.city, str(r.date)): (r.sunset, r.dusk) for r in table.collect()}
     expected = {
         (city, d): tuple(times.split()[2 * i : 2 * i + 2])
@@ -34,7 +34,7 @@ def test_solar_table(spark):
 
 def test_no_sunset_in_polar_summer(spark):
     stops = spark.createDataFrame([("North", day("2014-06-21"))], "city string, date date")
-    points = sunset.city_points(spark, [("North", 78.2, 15.6, "Arctic/Longyearbyen")])
+    points = [("North", 78.2, 15.6, "Arctic/Longyearbyen")]
     one = sunset.solar_table(stops, points).first()
     assert one.sunset is None and one.dusk_minute is None
 
