@@ -279,6 +279,12 @@ def model_city_fewer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.fit_dark_model(data, by_city=True).coefficients
 
 
+def model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, degrees of freedom, deviance and AIC of the model by city."""
+    data = model.dark_data(model_cells(spark, sf_dir))
+    return model.fit_dark_model(data, by_city=True).fit
+
+
 def model_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effect of darkness in both models, from one checkpoint of the cells."""
     data = model.dark_data(model_cells(spark, sf_dir))
@@ -340,5 +346,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_base": model_base,
     "model_city": model_city,
     "model_city_fewer": model_city_fewer,
+    "model_fit": model_fit,
     "model_estimates": model_estimates,
 }

@@ -9,6 +9,7 @@ WITHOUT_SQL = {
     "model_base",
     "model_city",
     "model_city_fewer",
+    "model_fit",
     "model_estimates",
 }
 

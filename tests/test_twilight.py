@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, plan, rows
+from conftest import day, final_plan, plan, rows
 from pyspark.sql import functions as F
 
 from duskline.operators import sunset, twilight
@@ -115,6 +115,42 @@ def test_small_solar_table_is_broadcast_and_large_is_not(spark, stops, days):
     assert "SortMergeJoin" in large and "SortMergeJoin" in unknown
 
 
+def test_a_hot_day_is_split_when_the_solar_table_is_not_broadcast(spark, tmp_path):
+    """A third of the stops on one day of one city; results stay whole."""
+    many = spark.range(300_000).selectExpr(
+        "if(id % 3 = 0, 'HOT', concat('C', id % 40)) AS city",
+        "if(id % 3 = 0, DATE '2014-06-01', date_add(DATE '2014-01-01', CAST(id % 300 AS INT))) AS date",
+        "CAST(60000 + id * 7 % 20000 AS INT) AS second_of_day",
+        "if(id % 2 = 0, 'black', 'white') AS subject_race",
+        "repeat(sha2(CAST(id AS STRING), 256), 2) AS note",
+    )
+    many.repartition(16).write.parquet(str(tmp_path / "stops"))
+    many = spark.read.parquet(str(tmp_path / "stops"))
+    days = many.select("city", "date").distinct().selectExpr(
+        "*", "1000 AS sunset_minute", "1030 AS dusk_minute", "'17:10:00' AS dusk"
+    )
+    days.write.parquet(str(tmp_path / "days"))
+    days = spark.read.parquet(str(tmp_path / "days"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        lit = twilight.with_light(many, days)
+        assert lit.count() == 300_000
+        assert "skew=true" in final_plan(lit)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_dark_share(spark):
     kept = spark.createDataFrame(
         [("A", True, True), ("A", True, False), ("A", False, False), ("B", True, False), ("B", True, False)],
@@ -131,3 +167,10 @@ def test_dark_share(spark):
 def test_cells_add_up(stops, days):
     kept = twilight.twilight_stops(stops, days)
     assert twilight.model_cells(kept).agg(F.sum("n")).first()[0] == kept.count()
+
+
+def test_sun_equals_a_published_example(spark):
+    """Sunset 15:46:57 and dusk 16:19:36 UTC on 5 March 2013 at 50.5 N, 30.5 E."""
+    stops = spark.createDataFrame([("P", day("2013-03-05"))], "city string, date date")
+    one = sunset.solar_table(stops, [("P", 50.5, 30.5, "UTC")]).first()
+    assert (one.sunset, one.dusk) == ("15:46:57", "16:19:36")
