@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from duskline.fixed import CENSUS_HEADING, CENSUS_NOTE, CENSUS_TOTAL
 
@@ -36,7 +38,14 @@ PEOPLE_PER_CUSTOMER = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
+
+
+@lru_cache
+def _schema(path: str) -> T.StructType:
+    """Read from the file footer once, as a catalog would keep it."""
+    return SparkSession.active().read.parquet(path).schema
 
 
 def customer_cities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,12 +42,20 @@ class DarkModel:
 
 def spline_knots(cells: DataFrame, df: int = 6) -> DataFrame:
     """One row: ends and inner knots of the minute, with the cell counts as weights."""
+    return cells.agg(*_knot_columns(df))
+
+
+def _knot_columns(df: int) -> list[Column]:
     at = F.array(*[F.lit(i / df) for i in range(1, df)])
-    return cells.agg(
+    return [
         F.min("minute").cast("double").alias("low"),
         F.max("minute").cast("double").alias("high"),
         F.percentile("minute", at, F.col("n")).alias("knots"),
-    )
+    ]
+
+
+def _rows_where(dark: Column) -> Column:
+    return F.coalesce(F.sum(F.when(dark, F.col("n"))), F.lit(0))
 
 
 def dark_data(cells: DataFrame, df: int = 6) -> DarkData:
@@ -57,23 +65,16 @@ def dark_data(cells: DataFrame, df: int = 6) -> DarkData:
     present, at most as many as the city table has.
     """
     kept = cut_lineage(cells.select("city", "minute", "is_dark", "is_black", "n"))
-    levels = kept.agg(
+    facts = kept.agg(
+        *_knot_columns(df),
         F.sort_array(F.collect_set("city")).alias("cities"),
-        F.coalesce(F.sum(F.when(~F.col("is_dark"), F.col("n"))), F.lit(0)).alias("light"),
-        F.coalesce(F.sum(F.when(F.col("is_dark"), F.col("n"))), F.lit(0)).alias("dark"),
+        _rows_where(~F.col("is_dark")).alias("light"),
+        _rows_where(F.col("is_dark")).alias("dark"),
     ).first()
-    ends = spline_knots(kept, df).first()
-    if ends["low"] is None:
-        return DarkData(kept, 0.0, 0.0, (), (), 0, 0)
-    inner = sorted({k for k in ends["knots"] if ends["low"] < k < ends["high"]})
+    low, high = facts["low"] or 0.0, facts["high"] or 0.0
+    inner = sorted({knot for knot in facts["knots"] or [] if low < knot < high})
     return DarkData(
-        kept,
-        ends["low"],
-        ends["high"],
-        tuple(inner),
-        tuple(levels["cities"]),
-        levels["light"],
-        levels["dark"],
+        kept, low, high, tuple(inner), tuple(facts["cities"]), facts["light"], facts["dark"]
     )
 
 

@@ -116,3 +116,13 @@ def test_files_of_one_city_must_share_a_header(spark, tmp_path):
     (tmp_path / "c" / "b.csv").write_text("type,date\nvehicular,2014-01-01\n")
     with pytest.raises(Exception, match="(?i)header"):
         read_text_table(spark, str(tmp_path / "c")).collect()
+
+
+def test_counting_and_pruning_pass_the_header_check(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in "ab":
+        (tmp_path / "d" / f"{name}.csv").write_text("date,type,beat\n2014-01-01,vehicular,3\n")
+    table = read_text_table(spark, str(tmp_path / "d"))
+    assert table.count() == 2
+    assert rows(table.select("beat")) == [("3",), ("3",)]
+    assert rows(table.select("beat", "date")) == [("3", "2014-01-01")] * 2
