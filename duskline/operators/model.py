@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import UnsupportedOperationException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
@@ -96,21 +97,22 @@ def fit_dark_model(data: DarkData, by_city: bool = False, min_rows: int = 100) -
 
     The cells stand for their rows: estimates, errors and deviance are those of a
     fit on single stops. Repeated knots lower the degrees of freedom of the
-    spline, which ``fit`` reports. With fewer than ``min_rows`` stops in the dark
-    or in the light the estimates are null.
+    spline, which ``fit`` reports. The estimates are null with fewer than
+    ``min_rows`` stops in the dark or in the light, and where terms depend on each
+    other, as a city with stops in the dark only.
     """
     spark = data.cells.sparkSession
     terms = design_columns(data, by_city)
     names = ["intercept", *terms]
     rows = data.light + data.dark
     spline_df = sum(name.startswith("minute_") for name in names)
+    known = (rows, data.light, data.dark, spline_df)
+    unknown = DarkModel(
+        spark.createDataFrame([(name, *[None] * 4) for name in names], COEFFICIENT_SCHEMA),
+        spark.createDataFrame([(*known, *[None] * 5)], FIT_SCHEMA),
+    )
     if min(data.light, data.dark) < min_rows:
-        empty = [(name, None, None, None, None) for name in names]
-        fit = (rows, data.light, data.dark, spline_df, None, None, None, None, None)
-        return DarkModel(
-            spark.createDataFrame(empty, COEFFICIENT_SCHEMA),
-            spark.createDataFrame([fit], FIT_SCHEMA),
-        )
+        return unknown
 
     columns = [column.alias(f"x{i}") for i, column in enumerate(terms.values())]
     design = data.cells.select(
@@ -125,20 +127,20 @@ def fit_dark_model(data: DarkData, by_city: bool = False, min_rows: int = 100) -
         family="binomial", link="logit", weightCol="n", maxIter=50, tol=1e-12, regParam=0.0
     ).fit(features)
     summary = model.summary
+    try:
+        errors = summary.coefficientStandardErrors
+    except UnsupportedOperationException:
+        return unknown
 
-    estimates = _intercept_first(model.coefficients, model.intercept)
     table = zip(
         names,
-        estimates,
-        _last_first(summary.coefficientStandardErrors),
+        _intercept_first(model.coefficients, model.intercept),
+        _last_first(errors),
         _last_first(summary.tValues),
         _last_first(summary.pValues),
     )
     fit = (
-        rows,
-        data.light,
-        data.dark,
-        spline_df,
+        *known,
         float(summary.deviance),
         rows - len(names),
         float(summary.nullDeviance),

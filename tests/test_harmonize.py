@@ -53,7 +53,7 @@ def test_shared_raw_columns_survive(spark):
 def test_null_tokens_and_saved_index(spark, tmp_path):
     path = tmp_path / "stops.csv"
     path.write_text(
-        ',date,time,subject_sex,note\n0,2014-01-01,N/A,male,"a, ""quoted"" word"\n'
+        '\ufeff,date,time,subject_sex,note\n0,2014-01-01,N/A,male,"a, ""quoted"" word"\n'
         '1,NA,"",NaN, N/A\n2,2014-01-03,09:00:00,,None\n'
     )
     table = read_text_table(spark, str(path))

@@ -107,6 +107,20 @@ def test_too_few_rows_give_null_estimates(data):
     assert fitted.fit.first().n_rows == 3000
 
 
+def test_terms_that_depend_on_each_other_give_null_estimates(spark):
+    rows = [
+        ("A" if i % 2 else "B", 1000 + i * 7 % 200, i % 2 == 1, i % 5 < 2, 1) for i in range(1000)
+    ]
+    cells = spark.createDataFrame(
+        rows, "city string, minute int, is_dark boolean, is_black boolean, n long"
+    )
+    data = model.dark_data(cells)
+    fitted = model.fit_dark_model(data, by_city=True)
+    assert {r.estimate for r in fitted.coefficients.collect()} == {None}
+    assert fitted.fit.first().deviance is None
+    assert model.dark_estimate(model.fit_dark_model(data)).first().estimate is not None
+
+
 def test_no_rows_give_null_estimates(spark):
     empty = spark.createDataFrame(
         [], "city string, minute int, is_dark boolean, is_black boolean, n long"
