@@ -105,7 +105,8 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_id",
             "user_id",
             "ts",
-            "CAST(get_json_object(props, '$.k') AS INT) AS k",
+            # The text is {"k": number} and nothing else.
+            "CAST(translate(props, '{\"k\": }', '') AS INT) AS k",
             f"CASE event_type {race} END AS race",
         )
         .selectExpr(*STOP_COLUMNS.strip().split("\n"))
