@@ -116,11 +116,17 @@ def profile_study(spark: SparkSession, merged: str, out: str, study: Study) -> N
 
 
 def rates_study(spark: SparkSession, merged: str, census_path: str, out: str, study: Study) -> None:
-    """Clean stops of the listed races, their counts, and rates per head."""
+    """Clean stops of the listed races, their counts, and rates per head.
+
+    One pass over the clean stops makes count cells; all counts follow from them.
+    """
     stops = filters.with_races(study_stops(read_table(spark, merged), study), study.races)
     write_table(stops.drop("hour", "weekday"), f"{out}/clean_stops", ["city", "year"])
     stops = read_table(spark, f"{out}/clean_stops")
-    write_table(rates.race_matrix(stops, study.races), f"{out}/race_counts")
+    cells = profile.profile_cells(stops, ("city", "type", "subject_race"))
+    write_table(cells, f"{out}/race_cells")
+    cells = read_table(spark, f"{out}/race_cells")
+    write_table(rates.race_matrix(cells, study.races, "n"), f"{out}/race_counts")
     population = census.census_report(read_table(spark, census_path))
     write_table(rates.population_share(population, study.races), f"{out}/population")
     counts = read_table(spark, f"{out}/race_counts")
@@ -135,9 +141,11 @@ def rates_study(spark: SparkSession, merged: str, census_path: str, out: str, st
 
 def twilight_study(spark: SparkSession, out: str, study: Study) -> None:
     """The twilight test on the clean stops that ``rates_study`` wrote."""
+    cells = filters.of_type(read_table(spark, f"{out}/race_cells"))
+    races = profile.relative_frequency(cells, "subject_race", "n")
+    write_table(races, f"{out}/vehicular_race_share")
+    write_table(profile.frequency_by_key(cells, "city", "n"), f"{out}/vehicular_counts")
     stops = filters.of_type(read_table(spark, f"{out}/clean_stops"))
-    write_table(profile.relative_frequency(stops, "subject_race"), f"{out}/vehicular_race_share")
-    write_table(profile.frequency_by_key(stops, "city"), f"{out}/vehicular_counts")
     stops = filters.in_cities(stops, study.twilight_cities)
     write_table(sunset.solar_table(stops, study.twilight_points), f"{out}/solar_table")
     days = read_table(spark, f"{out}/solar_table")

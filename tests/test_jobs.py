@@ -123,7 +123,14 @@ def test_study_tables(spark, folder, year, cities):
     assert len(bins) == 10 and sum(r.n for r in bins) == sum(counts.values())
     assert len(table(spark, folder, f"{profile}/age_histogram").collect()) == 20
 
+    clean = table(spark, folder, f"{year}/rates/clean_stops")
+    vehicular = dict(rows(table(spark, folder, f"{year}/rates/vehicular_counts")))
+    assert sum(vehicular.values()) == filters.of_type(clean).count()
+    shares = table(spark, folder, f"{year}/rates/vehicular_race_share").collect()
+    assert sum(r.share for r in shares) == pytest.approx(1)
+
     heads = table(spark, folder, f"{year}/rates/per_capita").collect()
+    assert sum(r.black + r.hispanic + r.white for r in heads) == clean.count()
     assert [r.city for r in sorted(heads, key=lambda r: r.city)] == cities
     assert all(r.black_per_cap == pytest.approx(r.black / 31500) for r in heads)
     for row in table(spark, folder, f"{year}/rates/rate_interval").collect():

@@ -39,6 +39,11 @@ def test_no_sunset_in_polar_summer(spark):
     assert one.sunset is None and one.dusk_minute is None
 
 
+def test_a_city_has_one_point(spark):
+    with pytest.raises(ValueError):
+        sunset.city_points(spark, [("A", 1.0, 1.0, "UTC"), ("A", 2.0, 1.0, "UTC")])
+
+
 def test_dusk_extremes_keep_ties(spark):
     table = spark.createDataFrame(
         [("A", "17:16:00"), ("A", "17:16:00"), ("A", "18:00:00"), ("A", "21:07:00")],
