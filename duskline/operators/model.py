@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.errors import UnsupportedOperationException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.functions.spline import spline_columns
 from duskline.sources.lineage import cut_lineage
 
+# A term whose part of its own is smaller than this is taken for a combination.
+DEPENDENT = 1e-10
+
 COEFFICIENT_SCHEMA = "term string, estimate double, std_error double, z double, p double"
 FIT_SCHEMA = (
     "n_rows long, n_light long, n_dark long, spline_df int, deviance double, df_residual long, "
@@ -97,9 +102,9 @@ def fit_dark_model(data: DarkData, by_city: bool = False, min_rows: int = 100) -
 
     The cells stand for their rows: estimates, errors and deviance are those of a
     fit on single stops. Repeated knots lower the degrees of freedom of the
-    spline, which ``fit`` reports. The estimates are null with fewer than
-    ``min_rows`` stops in the dark or in the light, and where terms depend on each
-    other, as a city with stops in the dark only.
+    spline, which ``fit`` reports. A term that is a combination of the terms before
+    it, as a city that has all the dark stops, is left out with null numbers. With
+    fewer than ``min_rows`` stops in the dark or in the light all numbers are null.
     """
     spark = data.cells.sparkSession
     terms = design_columns(data, by_city)
@@ -120,50 +125,76 @@ def fit_dark_model(data: DarkData, by_city: bool = False, min_rows: int = 100) -
         F.col("n").cast("double").alias("n"),
         *columns,
     )
-    features = VectorAssembler(
-        inputCols=[f"x{i}" for i in range(len(terms))], outputCol="features"
-    ).transform(design)
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="n", maxIter=50, tol=1e-12, regParam=0.0
-    ).fit(features)
-    summary = model.summary
-    try:
-        errors = summary.coefficientStandardErrors
-    except UnsupportedOperationException:
+    kept = list(range(len(terms)))
+    fitted = _fit(design, kept)
+    if fitted is None:
+        kept = _independent_terms(design, len(terms))
+        fitted = _fit(design, kept) if kept else None
+    if fitted is None:
         return unknown
 
-    table = zip(
-        names,
-        _intercept_first(model.coefficients, model.intercept),
-        _last_first(errors),
-        _last_first(summary.tValues),
-        _last_first(summary.pValues),
-    )
+    numbers, deviance, null_deviance = fitted
+    used = dict(zip(["intercept", *(names[i + 1] for i in kept)], numbers))
+    table = [(name, *used.get(name, [None] * 4)) for name in names]
     fit = (
         *known,
-        float(summary.deviance),
-        rows - len(names),
-        float(summary.nullDeviance),
+        deviance,
+        rows - len(used),
+        null_deviance,
         rows - 1,
-        float(summary.deviance) + 2.0 * len(names),
+        deviance + 2.0 * len(used),
     )
     return DarkModel(
-        spark.createDataFrame(
-            [(name, *map(float, numbers)) for name, *numbers in table], COEFFICIENT_SCHEMA
-        ),
+        spark.createDataFrame(table, COEFFICIENT_SCHEMA),
         spark.createDataFrame([fit], FIT_SCHEMA),
     )
 
 
-def dark_estimate(model: DarkModel) -> DataFrame:
-    """Estimate and standard error of the effect of darkness."""
-    return model.coefficients.where(F.col("term") == "is_dark").select("estimate", "std_error")
+def _features(design: DataFrame, terms: Sequence[int]) -> DataFrame:
+    return VectorAssembler(inputCols=[f"x{i}" for i in terms], outputCol="features").transform(
+        design
+    )
+
+
+def _fit(
+    design: DataFrame, terms: Sequence[int]
+) -> tuple[list[tuple[float, ...]], float, float] | None:
+    """Estimate, error, z and p per term, the intercept first, and both deviances.
+
+    None where the terms depend on each other, as there are no errors then.
+    """
+    model = GeneralizedLinearRegression(
+        family="binomial", link="logit", weightCol="n", maxIter=50, tol=1e-12, regParam=0.0
+    ).fit(_features(design, terms))
+    summary = model.summary
+    try:
+        errors = summary.coefficientStandardErrors
+    except UnsupportedOperationException:
+        return None
+    # Spark puts the intercept last in all but the coefficients.
+    estimates = [*model.coefficients.toArray().tolist(), model.intercept]
+    table = [
+        tuple(map(float, row)) for row in zip(estimates, errors, summary.tValues, summary.pValues)
+    ]
+    return [table[-1], *table[:-1]], float(summary.deviance), float(summary.nullDeviance)
 
 
-def _intercept_first(coefficients, intercept: float) -> list[float]:
-    return [intercept, *coefficients.toArray().tolist()]
+def _independent_terms(design: DataFrame, count: int) -> list[int]:
+    """The terms that are no combination of the intercept and the terms before them.
+
+    Decided on their correlation matrix, one small aggregate of the cells.
+    """
+    correlation = Correlation.corr(_features(design, range(count)), "features").first()[0].toArray()
+    constant = np.isnan(correlation).sum(axis=1) == count - 1
+    kept: list[int] = []
+    for term in np.flatnonzero(~constant):
+        known = correlation[np.ix_(kept, kept)]
+        shared = correlation[kept, term]
+        if not kept or 1 - shared @ np.linalg.solve(known, shared) > DEPENDENT:
+            kept.append(int(term))
+    return kept
 
 
-def _last_first(values: Sequence[float]) -> list[float]:
-    """Spark puts the intercept last."""
-    return [values[-1], *values[:-1]]
+def dark_estimate(model: DarkModel) -> DataFrame:
+    """Estimate and standard error of the effect of darkness."""
+    return model.coefficients.where(F.col("term") == "is_dark").select("estimate", "std_error")

@@ -107,7 +107,8 @@ def test_too_few_rows_give_null_estimates(data):
     assert fitted.fit.first().n_rows == 3000
 
 
-def test_terms_that_depend_on_each_other_give_null_estimates(spark):
+def test_a_term_that_depends_on_others_is_left_out(spark):
+    """City B has the light stops and city A the dark ones: the city adds nothing."""
     rows = [
         ("A" if i % 2 else "B", 1000 + i * 7 % 200, i % 2 == 1, i % 5 < 2, 1) for i in range(1000)
     ]
@@ -115,10 +116,14 @@ def test_terms_that_depend_on_each_other_give_null_estimates(spark):
         rows, "city string, minute int, is_dark boolean, is_black boolean, n long"
     )
     data = model.dark_data(cells)
-    fitted = model.fit_dark_model(data, by_city=True)
-    assert {r.estimate for r in fitted.coefficients.collect()} == {None}
-    assert fitted.fit.first().deviance is None
-    assert model.dark_estimate(model.fit_dark_model(data)).first().estimate is not None
+    plain, by_city = (model.fit_dark_model(data, flag) for flag in (False, True))
+    expected = {r.term: tuple(r)[1:] for r in plain.coefficients.collect()}
+    found = {r.term: tuple(r)[1:] for r in by_city.coefficients.collect()}
+    assert found.pop("city_B") == (None,) * 4
+    assert found.keys() == expected.keys()
+    for term, numbers in found.items():
+        assert numbers == pytest.approx(expected[term], rel=1e-6)
+    assert by_city.fit.first().df_residual == plain.fit.first().df_residual == 1000 - 8
 
 
 def test_no_rows_give_null_estimates(spark):
