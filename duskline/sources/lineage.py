@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session that names none gets a temporary folder.
+    Only a session on one machine that names none gets a folder of its own there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="duskline-")
+    folder = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
