@@ -7,18 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duskline.llm import language, quality, token_files, toxicity
+from duskline.llm import decontaminate, embeddings, language, quality, token_files, toxicity
 from duskline.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(
+        documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")
+    )
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_offsets(
         spark, documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)
     )
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.linked_vectors(documents(spark, sf_dir, "embeddings"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(documents(spark, sf_dir))
 
@@ -34,7 +44,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
+    "op5_embeddings": op5_embeddings,
     "op6_language": op6_language,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
