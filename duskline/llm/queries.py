@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from duskline.llm import decontaminate, embeddings, language, quality, token_files, toxicity
+from duskline.llm import (
+    bpe,
+    decontaminate,
+    embeddings,
+    language,
+    quality,
+    quotes,
+    token_files,
+    toxicity,
+)
 from duskline.llm.common import documents
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +42,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(documents(spark, sf_dir))
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations_in_reply_order(documents(spark, sf_dir, "conversations"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored_documents(
         documents(spark, sf_dir), documents(spark, sf_dir, "labels")
@@ -48,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op5_embeddings": op5_embeddings,
     "op6_language": op6_language,
+    "op7_quotes": op7_quotes,
+    "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
