@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from duskline.llm.common import new_folder, saved, ready, splittable
 from duskline.llm.elias_fano import TokenFile, token_file
-from duskline.llm.tokens import Encoder, load
+from duskline.llm.tokens import byte_encoder, load
 
 # A file is closed once it holds so many bytes of ids; one document is never cut.
 FILE_BYTES = 32 << 20
@@ -47,7 +47,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encoder = Encoder(tokenizer, lambda ids: np.array(ids, kind).tobytes())
+        encoder = byte_encoder(tokenizer, kind)
         end = np.array([end_id], kind).tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         names: list[int | None] = []

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Control characters that Python takes for white space and the tokenizers do not.
@@ -35,7 +37,7 @@ def pieces(text: str) -> list[str]:
 class Encoder:
     """Ids of texts through the library, which sees each distinct piece once while it is remembered."""
 
-    def __init__(self, path: str, form: Callable[[list[int]], object], remembered: int = 400_000):
+    def __init__(self, path: str, form: Callable[[list[int]], object], remembered: int = 1_000_000):
         self.tokenizer = load(path)
         self.form = form
         self.remembered = remembered
@@ -53,3 +55,13 @@ class Encoder:
             found = self.tokenizer.encode_batch(some, add_special_tokens=False)
             known.update((piece, self.form(one.ids)) for piece, one in zip(some, found))
         return [list(map(known.__getitem__, parts)) for parts in split]
+
+
+_KEPT: dict[tuple[str, str], Encoder] = {}
+
+
+def byte_encoder(path: str, kind: str) -> Encoder:
+    """An encoder to bytes of numbers of a ``kind``, kept by the worker from task to task."""
+    if (path, kind) not in _KEPT:
+        _KEPT[path, kind] = Encoder(path, lambda ids: np.array(ids, kind).tobytes())
+    return _KEPT[path, kind]
