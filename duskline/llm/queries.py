@@ -12,6 +12,7 @@ from duskline.llm import (
     decontaminate,
     embeddings,
     language,
+    near_duplicates,
     quality,
     quotes,
     token_files,
@@ -34,6 +35,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.linked_vectors(documents(spark, sf_dir, "embeddings"))
 
@@ -63,6 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_embeddings": op5_embeddings,
     "op6_language": op6_language,
     "op7_quotes": op7_quotes,
