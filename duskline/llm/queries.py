@@ -15,6 +15,7 @@ from duskline.llm import (
     near_duplicates,
     quality,
     quotes,
+    repeats,
     token_files,
     toxicity,
 )
@@ -35,6 +36,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(documents(spark, sf_dir))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, sf_dir))
 
@@ -68,6 +73,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
+    "op3_repeats": op3_repeats,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_embeddings": op5_embeddings,
     "op6_language": op6_language,
