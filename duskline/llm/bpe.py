@@ -144,19 +144,34 @@ def _digests(ids: list[list[int]], texts: list[str]):
     return of
 
 
-def _texts(ids: list[list[int]], texts: list[str]):
-    def of(at: np.ndarray) -> dict:
-        places = [i for i in at.tolist() if ids[i]]
-        return dict(ids=[x for i in places for x in ids[i]], decoded=" ".join([texts[i] for i in places]))
-
-    return of
+def token_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Per document: ``doc_id, ids, n_tokens, ids_sha256, decoded_sha256``."""
+    return _by_block(docs, tokenizer, _tokens, f"ids array<int>, {ENCODED}")
 
 
-def tokens_and_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Per document: ``doc_id``, ``ids`` and ``decoded``, the text that the ids stand for."""
+def decoded_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Per document: ``doc_id, ids`` and ``decoded``, the text that the ids stand for."""
     return _by_block(docs, tokenizer, _texts, "ids array<int>, decoded string")
 
 
+def _ids(ids: list[list[int]]):
+    coded = [np.array(one, np.int32) for one in ids]
+    none = np.zeros(0, np.int32)
+    return lambda at: np.concatenate([none, *[coded[i] for i in at.tolist()]])
+
+
+def _tokens(ids: list[list[int]], texts: list[str]):
+    digests, joined = _digests(ids, texts), _ids(ids)
+    return lambda at: {"ids": joined(at)} | digests(at)
+
+
+def _texts(ids: list[list[int]], texts: list[str]):
+    joined = _ids(ids)
+    return lambda at: dict(
+        ids=joined(at), decoded=" ".join([texts[i] for i in at.tolist() if ids[i]])
+    )
+
+
 def _by_block(docs: DataFrame, tokenizer: str, describe, kinds: str) -> DataFrame:
     check_decoder(tokenizer)
     spark = docs.sparkSession
