@@ -95,10 +95,12 @@ def build_dictionaries(words: Sequence[tuple[str, int, int]], n_toxic: int, n_or
         for gram in {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}:
             toxic_grams[gram] += toxic
             ordinary_grams[gram] += ordinary
+    # A twentieth of a small sample is as telling as LEAST_DOCUMENTS of a large one.
+    least = max(3, min(LEAST_DOCUMENTS, n_toxic // 20))
     telling = {
         gram
         for gram, n in toxic_grams.items()
-        if n >= LEAST_DOCUMENTS
+        if n >= least
         and n * n_ordinary >= RATIO * (ordinary_grams[gram] + 0.5) * n_toxic
     }
     segments: Counter[bytes] = Counter()
