@@ -10,15 +10,17 @@ raw AS (
 ),
 stops AS (
   SELECT CAST(event_id AS VARCHAR) AS raw_row_number,
-         CAST(DATE '2014-01-01' + CAST(event_id * 7 % 365 AS INT) AS DATE) AS date,
+         CASE WHEN event_id % 97 <> 0
+              THEN CAST(DATE '2014-01-01' + CAST(event_id * 7 % 365 AS INT) AS DATE) END AS date,
          CASE WHEN k % 25 <> 1 THEN strftime(ts, '%H:%M:%S') END AS time,
          CASE WHEN k % 7 <> 0 THEN CAST('3' || (k % 10) || '.5' AS DOUBLE) END AS lat,
          CASE WHEN k % 3 <> 0 THEN CAST('-12' || (k % 5) || '.25' AS DOUBLE) END AS lng,
-         CASE WHEN k >= 5 THEN CAST(k AS DOUBLE) END AS subject_age,
+         CASE WHEN k >= 5 OR k = 0 THEN CAST(k AS DOUBLE) END AS subject_age,
          CASE WHEN k % 10 = 0 THEN NULL WHEN k % 2 = 1 THEN 'female' ELSE 'male' END
            AS subject_sex,
          CASE WHEN event_id % 101 = 0 THEN NULL
               WHEN event_type = 'view' THEN 'white' WHEN event_type = 'click' THEN 'black'
+              WHEN event_type = 'purchase' AND r_name = 'EUROPE' THEN 'other'
               WHEN event_type = 'purchase' THEN 'hispanic'
               WHEN event_type = 'signup' THEN 'asian/pacific islander'
               WHEN event_type = 'error' THEN 'unknown' END AS subject_race,
@@ -37,18 +39,20 @@ stops AS (
 ),
 known AS (
   SELECT *, second_of_day // 3600 AS hour, CAST(isodow(date) - 1 AS INT) AS weekday
-  FROM stops WHERE subject_race IS NOT NULL
+  FROM stops WHERE subject_race IS NOT NULL AND date IS NOT NULL
 ),
 study AS (
   SELECT * FROM known
   WHERE date BETWEEN DATE '2014-03-01' AND DATE '2014-09-30' AND city <> 'ASIA'
-)
+),
+whole AS (SELECT * FROM known WHERE date BETWEEN DATE '2014-01-01' AND DATE '2014-12-31')
 """
 
 STOP_COLUMNS = (
     "raw_row_number date time lat lng subject_age subject_sex subject_race type outcome "
     "search_conducted contraband_found city second_of_day hour weekday"
 ).split()
+SAVED_COLUMNS = [c for c in STOP_COLUMNS if c not in ("hour", "weekday")]
 TYPES = {
     "date": "date",
     "lat": "double",
@@ -86,6 +90,9 @@ pop AS (
 )
 """
 
+# A census without one of the cities.
+GAP = CENSUS.replace("  FROM census\n)", "  FROM census WHERE \"City\" <> 'MIDDLE EAST'\n)")
+
 HEADS = """
 matrix AS (
   SELECT city, nullif(count(*) FILTER (subject_race = 'black'), 0) AS black,
@@ -217,16 +224,16 @@ def _share(column: str) -> str:
     return _with(
         STOPS,
         f"""SELECT {column}, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
-        FROM study WHERE {column} IS NOT NULL GROUP BY {column}""",
+        FROM whole WHERE {column} IS NOT NULL GROUP BY {column}""",
     )
 
 
-def _percent(column: str) -> str:
+def _percent(column: str, extra: str = "") -> str:
     return _with(
         STOPS,
         f"""SELECT city, {column},
-               round(count(*) / sum(count(*)) OVER (PARTITION BY city) * 100, 6) AS pct
-        FROM study WHERE {column} IS NOT NULL GROUP BY city, {column}""",
+               round(count(*) / sum(count(*)) OVER (PARTITION BY city) * 100, 6) AS pct {extra}
+        FROM whole WHERE {column} IS NOT NULL GROUP BY city, {column}""",
     )
 
 
@@ -235,7 +242,7 @@ def _share_by_city(column: str, names: dict[str, str], keep: str) -> str:
         f"round(count(*) FILTER ({column} = '{value}') / count(*), 6) AS {name}"
         for value, name in names.items()
     )
-    return _with(STOPS, f"SELECT city, {shares} FROM study WHERE {keep} GROUP BY city")
+    return _with(STOPS, f"SELECT city, {shares} FROM whole WHERE {keep} GROUP BY city")
 
 
 def _dark_share(group: str) -> str:
@@ -261,7 +268,7 @@ def _stages(source: str, conditions: dict[str, str]) -> str:
 def _counts_by_column(columns: list[str], extra: str = "") -> str:
     return "\nUNION ALL ".join(
         f"SELECT '{c}' AS column_name, {extra.format(kind=TYPES.get(c, 'string'))} "
-        f"count({c}) AS non_null FROM study"
+        f"count({c}) AS non_null FROM stops"
         for c in columns
     )
 
@@ -335,7 +342,7 @@ def _interval(other: str) -> str:
 
 STAGES = {
     "read": "TRUE",
-    "complete": "subject_race IS NOT NULL",
+    "complete": "subject_race IS NOT NULL AND date IS NOT NULL",
     "in period": "date BETWEEN DATE '2014-03-01' AND DATE '2014-09-30'",
     "listed cities": "city <> 'ASIA'",
     "listed races": "subject_race IN ('black', 'hispanic', 'white')",
@@ -374,8 +381,13 @@ ORACLE: dict[str, str] = {
         STOPS,
         f"SELECT {', '.join(c for c in STOP_COLUMNS if c not in ('hour', 'weekday'))} FROM stops",
     ),
-    "completeness": _with(STOPS, _counts_by_column(STOP_COLUMNS)),
-    "column_report": _with(STOPS, _counts_by_column(STOP_COLUMNS[1:], "'{kind}' AS data_type,")),
+    "completeness": _with(STOPS, _counts_by_column(SAVED_COLUMNS)),
+    "column_report": _with(STOPS, _counts_by_column(SAVED_COLUMNS[1:], "'{kind}' AS data_type,")),
+    "indexed_file": _with(
+        STOPS,
+        "SELECT 'city' AS column_name, count(DISTINCT city) AS non_null FROM known "
+        "UNION ALL SELECT 'stops', count(DISTINCT city) FROM known",
+    ),
     "clean_stops": _with(
         STOPS,
         f"SELECT {', '.join(STOP_COLUMNS)} FROM study "
@@ -385,25 +397,32 @@ ORACLE: dict[str, str] = {
     "first_rows": _with(
         STOPS,
         "SELECT CAST(raw_row_number AS BIGINT) AS row, city, date, subject_race "
-        "FROM study ORDER BY 1 LIMIT 5",
+        "FROM whole ORDER BY 1 LIMIT 5",
     ),
     "stage_counts": _with(STOPS, _stages("stops", STAGES)),
     "date_span": _with(
         STOPS,
         "SELECT city, min(date) AS first_date, max(date) AS last_date "
-        "FROM study GROUP BY ROLLUP (city)",
+        "FROM stops GROUP BY ROLLUP (city)",
+    ),
+    "city_counts": _with(
+        STOPS,
+        "SELECT city, count(*) AS n, CAST(row_number() OVER (ORDER BY city) AS INT) AS rank "
+        "FROM whole GROUP BY city",
     ),
-    "city_counts": _with(STOPS, "SELECT city, count(*) AS n FROM study GROUP BY city"),
     "race_counts": _with(
-        STOPS, "SELECT subject_race, count(*) AS n FROM study GROUP BY subject_race"
+        STOPS,
+        "SELECT subject_race, count(*) AS n, "
+        "CAST(row_number() OVER (ORDER BY count(*) DESC, subject_race) AS INT) AS rank "
+        "FROM whole GROUP BY subject_race",
     ),
-    "distinct_city_race": _with(STOPS, "SELECT DISTINCT city, subject_race FROM study"),
+    "distinct_city_race": _with(STOPS, "SELECT DISTINCT city, subject_race FROM whole"),
     "type_share": _share("type"),
     "sex_share": _with(
         STOPS,
         """SELECT coalesce(subject_sex, 'N/A') AS subject_sex, count(*) AS n,
                round(count(*) / sum(count(*)) OVER (), 6) AS share
-        FROM study GROUP BY 1""",
+        FROM whole GROUP BY 1""",
     ),
     "race_share": _share("subject_race"),
     "race_share_by_city": _share_by_city(
@@ -412,13 +431,15 @@ ORACLE: dict[str, str] = {
     "sex_share_by_city": _share_by_city(
         "subject_sex", {"male": "male", "female": "female"}, "subject_sex IN ('male', 'female')"
     ),
-    "hour_pct": _percent("hour"),
+    "hour_pct": _percent(
+        "hour", ", CAST(row_number() OVER (ORDER BY city, hour) AS INT) AS rank"
+    ),
     "hour_pct_from_cells": _percent("hour"),
     "weekday_pct": _percent("weekday"),
     "weekday_pct_from_cells": _percent("weekday"),
-    "age_hist": _histogram("SELECT subject_age AS v FROM study WHERE subject_age > 0", 20),
+    "age_hist": _histogram("SELECT subject_age AS v FROM whole WHERE subject_age > 0", 20),
     "date_hist": _histogram(
-        "SELECT CAST(date_diff('day', DATE '1970-01-01', date) AS DOUBLE) AS v FROM study", 10
+        "SELECT CAST(date_diff('day', DATE '1970-01-01', date) AS DOUBLE) AS v FROM whole", 10
     ),
     "race_matrix": _with(STOPS, CENSUS, HEADS, "SELECT * FROM matrix"),
     "census_by_city": _with(
@@ -456,6 +477,24 @@ ORACLE: dict[str, str] = {
                round(white_pop_sum, 6) AS white_pop_sum
         FROM means""",
     ),
+    "per_capita_gap": _with(
+        STOPS, GAP, HEADS, f"SELECT city, black, hispanic, white, {HEAD_COLUMNS} FROM heads"
+    ),
+    "rate_means_gap": _with(
+        STOPS,
+        GAP,
+        HEADS,
+        """SELECT round(black_mean, 6) AS black_mean, round(hispanic_mean, 6) AS hispanic_mean,
+               round(white_mean, 6) AS white_mean, round(black_pop_sum, 6) AS black_pop_sum,
+               round(hispanic_pop_sum, 6) AS hispanic_pop_sum,
+               round(white_pop_sum, 6) AS white_pop_sum
+        FROM means""",
+    ),
+    "census_files": _with(
+        CENSUS,
+        """SELECT "City", "Total", round(female, 6) AS female, round(black, 6) AS black,
+               round(hispanic, 6) AS hispanic, round(white, 6) AS white FROM census""",
+    ),
     "rate_interval": _with(
         STOPS, CENSUS, HEADS, f"{_interval('black')} UNION ALL {_interval('hispanic')}"
     ),

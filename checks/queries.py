@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from checks import views
+from duskline.fixed import INDEX_COLUMNS
 from duskline.functions.text import blank_to_null
 from duskline.operators import (
     census,
@@ -24,8 +26,8 @@ from duskline.operators import (
 )
 from duskline.plans.jobs import study_stages, study_stops
 from duskline.plans.study import Study
-from duskline.sources.lineage import shared_folder
-from duskline.sources.readers import read_cities, read_table
+from duskline.sources.lineage import cut_lineage, remove_folder, run_folder
+from duskline.sources.readers import read_cities, read_table, read_text_table
 from duskline.sources.writers import write_table
 
 # Part of a year and one city less, for the profile queries.
@@ -60,8 +62,23 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.round(name, 6) for name in doubles})
 
 
-def _on_profile(build: Callable[[DataFrame], DataFrame]):
-    return lambda spark, sf_dir: _rounded(build(_profile_stops(spark, sf_dir)))
+def _year_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study_stops(views.stops(spark, sf_dir), YEAR)
+
+
+def _on_year(build: Callable[[DataFrame], DataFrame]):
+    return lambda spark, sf_dir: _rounded(build(_year_stops(spark, sf_dir)))
+
+
+def _on_all(build: Callable[[DataFrame], DataFrame]):
+    """On unfiltered stops, as a look that comes before a period is chosen."""
+    return lambda spark, sf_dir: _rounded(build(views.stops(spark, sf_dir)))
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    """The place of each row in the order an operator gave; for short results."""
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+    return df.withColumn("rank", place)
 
 
 def column_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,27 +92,53 @@ def harmonized_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files per city written, scanned and merged: values found per city."""
-    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
-    folder = f"{shared_folder(spark)}/duskline/{name}"
+    folder = run_folder(spark, "files")
     write_table(views.raw_stops(spark, sf_dir), f"{folder}/csv", ["city"], "csv")
     found = read_cities(spark, {city: f"{folder}/csv/city={city}" for city in views.CITIES})
     merged = clean.typed_stops(harmonize.merge_cities(found))
     write_table(merged.withColumn("year", F.year("date")), f"{folder}/merged", ["city", "year"])
     back = filters.in_period(read_table(spark, f"{folder}/merged"), PROFILE.period)
-    return back.groupBy("city").agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(c).alias(c) for c in back.columns if c not in ("city", "year")],
+    return _kept_rows(
+        back.groupBy("city").agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.count(c).alias(c) for c in back.columns if c not in ("city", "year")],
+        ),
+        folder,
     )
 
 
+def _kept_rows(df: DataFrame, folder: str) -> DataFrame:
+    """A row per city or column, taken out of a folder of this run, which goes."""
+    rows = df.collect()
+    remove_folder(df.sparkSession, folder)
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def census_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two wide census files written, scanned, joined on the fact and turned."""
+    folder = run_folder(spark, "census")
+    for number, part in enumerate(views.census_parts(spark, sf_dir)):
+        write_table(part, f"{folder}/{number}", file_format="csv")
+    parts = [read_text_table(spark, f"{folder}/{number}") for number in range(2)]
+    return _kept_rows(_rounded(census.census_by_city(census.join_parts(*parts))), folder)
+
+
+def indexed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values per column of a file that was saved with a row index and is read without it."""
+    folder = run_folder(spark, "indexed")
+    counts = _year_stops(spark, sf_dir).groupBy("city").agg(F.count(F.lit(1)).alias("stops"))
+    number = F.row_number().over(Window.orderBy("city")) - 1
+    write_table(counts.select(number.alias(INDEX_COLUMNS[0]), "city", "stops"), folder, file_format="csv")
+    return _kept_rows(clean.completeness(read_text_table(spark, folder)), folder)
+
+
 def parsed_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stop read from its text: missing-value tokens, dates, numbers and times."""
     return clean.typed_stops(blank_to_null(views.raw_stops(spark, sf_dir)))
 
 
 def column_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops = _profile_stops(spark, sf_dir).drop("raw_row_number")
-    return clean.schema_report(stops).join(clean.completeness(stops), "column_name")
+    return clean.column_report(views.stops(spark, sf_dir).drop("raw_row_number"))
 
 
 def clean_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +150,7 @@ def labelled_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops = _profile_stops(spark, sf_dir).withColumn("row", F.col("raw_row_number").cast("long"))
+    stops = _year_stops(spark, sf_dir).withColumn("row", F.col("raw_row_number").cast("long"))
     return clean.first_rows(stops.select("row", "city", "date", "subject_race"), "row")
 
 
@@ -122,12 +165,12 @@ def stage_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours per city from count cells instead of stops."""
-    cells = profile.profile_cells(_profile_stops(spark, sf_dir))
+    cells = profile.profile_cells(_year_stops(spark, sf_dir))
     return _rounded(profile.hour_percent(cells, "n"))
 
 
 def weekday_from_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(profile.weekday_percent(profile.day_cells(_profile_stops(spark, sf_dir)), "n"))
+    return _rounded(profile.weekday_percent(profile.day_cells(_year_stops(spark, sf_dir)), "n"))
 
 
 def _race_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +185,21 @@ def census_by_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_census(spark, sf_dir))
 
 
+def _per_capita_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates where the census lacks a city."""
+    population = census.census_report(_census(spark, sf_dir))
+    known = population.where(F.col("city") != "MIDDLE EAST")
+    return rates.per_capita(_race_matrix(spark, sf_dir), known)
+
+
+def per_capita_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_per_capita_gap(spark, sf_dir))
+
+
+def rate_means_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(rates.rate_means(_per_capita_gap(spark, sf_dir)))
+
+
 def population_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rates.population_share(census.census_report(_census(spark, sf_dir))))
 
@@ -175,20 +233,32 @@ def rate_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rates.rate_ratio(_rate_means(spark, sf_dir)))
 
 
-def _evening(spark: SparkSession, sf_dir: str, study: Study) -> tuple[DataFrame, DataFrame]:
-    """Vehicular stops of the study's twilight cities, and their solar table."""
+def _evening(spark: SparkSession, sf_dir: str, study: Study) -> DataFrame:
+    """Vehicular stops of the study's twilight cities."""
     stops = filters.with_races(study_stops(views.stops(spark, sf_dir), study), study.races)
-    stops = filters.in_cities(filters.of_type(stops), study.twilight_cities)
-    return stops, sunset.solar_table(stops, study.twilight_points)
+    return filters.in_cities(filters.of_type(stops), study.twilight_cities)
+
+
+def _lit_cells(spark: SparkSession, sf_dir: str, study: Study) -> DataFrame:
+    """Evening cells with the light they were in.
+
+    The days come from the same cells, so both sides of the join share their shuffle and the
+    stops are read once.
+    """
+    cells = twilight.evening_cells(_evening(spark, sf_dir, study))
+    # The test on ``n`` keeps Catalyst from dropping the counts and so from a second shuffle.
+    days = sunset.solar_table(cells.where("n > 0"), study.twilight_points)
+    return twilight.with_light(cells.where("n > 0"), days)
 
 
 def _twilight(spark: SparkSession, sf_dir: str, study: Study = YEAR) -> DataFrame:
-    stops, days = _evening(spark, sf_dir, study)
-    return twilight.twilight_stops(stops, days, max_days=study.max_solar_days)
+    """Cells of the twilight test, with their number of stops in ``n``."""
+    kept = reduce(and_, twilight.twilight_stages().values())
+    return _lit_cells(spark, sf_dir, study).where(kept)
 
 
 def solar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evening(spark, sf_dir, YEAR)[1]
+    return sunset.solar_table(_evening(spark, sf_dir, YEAR), YEAR.twilight_points)
 
 
 def dusk_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +266,10 @@ def dusk_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def twilight_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _twilight(spark, sf_dir).select(
+    # The rows themselves are asked for: the narrow evening stops are kept for both uses.
+    stops = cut_lineage(_evening(spark, sf_dir, YEAR))
+    days = sunset.solar_table(stops, YEAR.twilight_points)
+    return twilight.twilight_stops(stops, days).select(
         "raw_row_number",
         "city",
         "date",
@@ -216,39 +289,28 @@ def twilight_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def twilight_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stops, days = _evening(spark, sf_dir, YEAR)
-    lit = twilight.with_light(stops, days, YEAR.max_solar_days)
-    return profile.stage_counts(
-        lit,
-        {
-            "vehicular": F.lit(True),
-            "between twilights": twilight.between_twilights(),
-            "not ambiguous": twilight.not_ambiguous(),
-            "two races": F.col("subject_race").isin("black", "white"),
-        },
-    )
+    lit = _lit_cells(spark, sf_dir, YEAR)
+    return profile.stage_counts(lit, twilight.twilight_stages(), "n")
 
 
 def twilight_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.frequency_by_key(_twilight(spark, sf_dir, FEWER), "city")
+    return profile.frequency_by_key(_twilight(spark, sf_dir, FEWER), "city", "n")
 
 
 def dark_share_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = filters.in_clock_window(_twilight(spark, sf_dir))
-    return _rounded(twilight.dark_share(window, "city"))
+    return _rounded(twilight.dark_share(_twilight(spark, sf_dir).where("in_window"), "city", weight="n"))
 
 
 def dark_share_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = filters.in_clock_window(_twilight(spark, sf_dir))
-    return _rounded(twilight.dark_share(window))
+    return _rounded(twilight.dark_share(_twilight(spark, sf_dir).where("in_window"), weight="n"))
 
 
 def dark_share_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(twilight.dark_share_with_total(_twilight(spark, sf_dir)))
+    return _rounded(twilight.dark_share_with_total(_twilight(spark, sf_dir), "n"))
 
 
 def model_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return twilight.model_cells(_twilight(spark, sf_dir))
+    return twilight.model_cells(_twilight(spark, sf_dir), "n")
 
 
 def spline_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +337,7 @@ def model_city(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_city_fewer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = model.dark_data(twilight.model_cells(_twilight(spark, sf_dir, FEWER)))
+    data = model.dark_data(twilight.model_cells(_twilight(spark, sf_dir, FEWER), "n"))
     return model.fit_dark_model(data, by_city=True).coefficients
 
 
@@ -299,35 +361,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "column_inventory": column_inventory,
     "harmonized_union": harmonized_union,
     "csv_files": csv_files,
+    "census_files": census_files,
+    "indexed_file": indexed_file,
     "parsed_stops": parsed_stops,
-    "completeness": _on_profile(clean.completeness),
+    "completeness": _on_all(clean.completeness),
     "column_report": column_report,
     "clean_stops": clean_stops,
     "labelled_stops": labelled_stops,
     "first_rows": first_rows,
     "stage_counts": stage_counts,
     "stage_completeness": stage_completeness,
-    "date_span": _on_profile(profile.date_span),
-    "city_counts": _on_profile(lambda df: profile.frequency_by_key(df, "city")),
-    "race_counts": _on_profile(lambda df: profile.frequency(df, "subject_race")),
-    "distinct_city_race": _on_profile(
+    "date_span": _on_all(profile.date_span),
+    "city_counts": _on_year(lambda df: _ranked(profile.frequency_by_key(df, "city"))),
+    "race_counts": _on_year(lambda df: _ranked(profile.frequency(df, "subject_race"))),
+    "distinct_city_race": _on_year(
         lambda df: profile.distinct_values(df, "city", "subject_race")
     ),
-    "type_share": _on_profile(lambda df: profile.relative_frequency(df, "type")),
-    "sex_share": _on_profile(profile.relative_sex_frequency),
-    "race_share": _on_profile(lambda df: profile.relative_frequency(df, "subject_race")),
-    "race_share_by_city": _on_profile(profile.race_share_by_city),
-    "sex_share_by_city": _on_profile(profile.sex_share_by_city),
-    "hour_pct": _on_profile(profile.hour_percent),
+    "type_share": _on_year(lambda df: profile.relative_frequency(df, "type")),
+    "sex_share": _on_year(profile.relative_sex_frequency),
+    "race_share": _on_year(lambda df: profile.relative_frequency(df, "subject_race")),
+    "race_share_by_city": _on_year(profile.race_share_by_city),
+    "sex_share_by_city": _on_year(profile.sex_share_by_city),
+    "hour_pct": _on_year(lambda df: _ranked(profile.hour_percent(df))),
     "hour_pct_from_cells": profile_from_cells,
-    "weekday_pct": _on_profile(profile.weekday_percent),
+    "weekday_pct": _on_year(profile.weekday_percent),
     "weekday_pct_from_cells": weekday_from_cells,
-    "age_hist": _on_profile(histogram.age_histogram),
-    "date_hist": _on_profile(histogram.date_histogram),
+    "age_hist": _on_year(histogram.age_histogram),
+    "date_hist": _on_year(histogram.date_histogram),
     "race_matrix": _race_matrix,
     "census_by_city": census_by_city,
     "population_share": population_share,
     "per_capita": per_capita,
+    "per_capita_gap": per_capita_gap,
+    "rate_means_gap": rate_means_gap,
     "per_capita_report": per_capita_report,
     "rate_means": rate_means,
     "rate_interval": rate_interval,

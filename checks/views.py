@@ -26,6 +26,9 @@ RACES = {
     "error": "unknown",
 }
 
+# City and race that never occur together.
+ABSENT = ("EUROPE", "hispanic")
+
 # Census percents come from market segments.
 SEGMENT_FACTS = {
     "Female persons, percent": "AUTOMOBILE",
@@ -61,15 +64,16 @@ def customer_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The typed columns of a stop. Missing values: about one race in a hundred, one time
-# in 25, one sex in ten and others, as ``k`` runs over 0 to 99.
+# The typed columns of a stop. Missing values: about one race in a hundred, one date
+# in a hundred, one time in 25, one sex in ten and others, as ``k`` runs over 0 to 99.
+# An age of 0 occurs, and stands for an unknown one.
 STOP_COLUMNS = """
     CAST(event_id AS STRING) AS raw_row_number
-    date_add(DATE '2014-01-01', CAST(event_id * 7 % 365 AS INT)) AS date
+    if(event_id % 97 <> 0, date_add(DATE '2014-01-01', CAST(event_id * 7 % 365 AS INT)), NULL) AS date
     if(k % 25 <> 1, substr(CAST(ts AS STRING), 12, 8), NULL) AS time
     if(k % 7 <> 0, 30 + k % 10 + 0.5D, NULL) AS lat
     if(k % 3 <> 0, -(120 + k % 5 + 0.25D), NULL) AS lng
-    if(k >= 5, CAST(k AS DOUBLE), NULL) AS subject_age
+    if(k >= 5 OR k = 0, CAST(k AS DOUBLE), NULL) AS subject_age
     CASE WHEN k % 10 = 0 THEN NULL WHEN k % 2 = 1 THEN 'female' ELSE 'male' END AS subject_sex
     if(event_id % 101 <> 0, race, NULL) AS subject_race
     if(k % 4 = 0, 'pedestrian', 'vehicular') AS type
@@ -82,6 +86,7 @@ STOP_COLUMNS = """
 
 # What a file holds where a value is missing.
 TOKENS = {
+    "date": "NaN",
     "time": "N/A",
     "lat": "",
     "lng": "NA",
@@ -105,14 +110,17 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
             "event_id",
             "user_id",
             "ts",
-            # The text is {"k": number} and nothing else.
-            "CAST(translate(props, '{\"k\": }', '') AS INT) AS k",
+            "CAST(get_json_object(props, '$.k') AS INT) AS k",
             f"CASE event_type {race} END AS race",
         )
         .selectExpr(*STOP_COLUMNS.strip().split("\n"))
     )
     cities = customer_cities(spark, sf_dir).select("c_custkey", "city")
-    return typed.join(cities, F.col("user_id") == F.col("c_custkey")).drop("user_id", "c_custkey")
+    joined = typed.join(cities, F.col("user_id") == F.col("c_custkey"))
+    # One city has no stops of one race.
+    absent = (F.col("city") == ABSENT[0]) & (F.col("subject_race") == ABSENT[1])
+    race = F.when(absent, "other").otherwise(F.col("subject_race"))
+    return joined.withColumn("subject_race", race).drop("user_id", "c_custkey")
 
 
 def raw_stops(spark: SparkSession, sf_dir: str) -> DataFrame:

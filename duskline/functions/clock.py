@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from duskline.functions.text import read_as
+
 
 def second_of_day(time: Column) -> Column:
     """Seconds since midnight of an ``HH:MM:SS`` text; null when it is not a time.
@@ -32,16 +34,11 @@ def clock_text(stamp: Column) -> Column:
 
 def stop_date(text: Column, strict: bool = True) -> Column:
     """Day of a stop from the first ten characters of its date text."""
-    return _read(F.substring(text, 1, 10), "date", strict)
+    return read_as(F.substring(text, 1, 10), "date", strict)
 
 
 def number(text: Column, strict: bool = True) -> Column:
-    return _read(text, "double", strict)
-
-
-def _read(text: Column, kind: str, strict: bool) -> Column:
-    """Strict reading fails on a bad text, by Spark's ANSI cast."""
-    return text.cast(kind) if strict else text.try_cast(kind)
+    return read_as(text, "double", strict)
 
 
 def weekday(date: Column) -> Column:

@@ -20,14 +20,24 @@ def blank_to_null(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFra
     return df.selectExpr(*columns)
 
 
-def count_from_text(text: Column) -> Column:
+def read_as(text: Column, kind: str, strict: bool = True) -> Column:
+    """``text`` as ``kind``. A text that is none stops the job, whatever the session's ANSI
+    mode; with ``strict=False`` it becomes null."""
+    value = text.try_cast(kind)
+    if not strict:
+        return value
+    bad = F.raise_error(F.concat(F.lit(f"not a {kind}: "), text)).cast(kind)
+    return F.when(text.isNull() | value.isNotNull(), value).otherwise(bad)
+
+
+def count_from_text(text: Column, strict: bool = True) -> Column:
     """``1,234`` as 1234.0."""
-    return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
+    return read_as(F.replace(text, F.lit(","), F.lit("")), "double", strict)
 
 
-def people_from_percent(text: Column, total: Column) -> Column:
+def people_from_percent(text: Column, total: Column, strict: bool = True) -> Column:
     """``12.3%`` of a total, as a number of people that is not rounded."""
-    return F.rtrim(text, F.lit("%")).try_cast("double") / 100 * total
+    return read_as(F.rtrim(text, F.lit("%")), "double", strict) / 100 * total
 
 
 def city_from_heading(heading: Column) -> Column:

@@ -13,7 +13,7 @@ from duskline.functions import text
 def join_parts(left: DataFrame, right: DataFrame) -> DataFrame:
     """Two census tables side by side, matched on the fact and not on position.
 
-    A fact that only one part has stops the job.
+    A fact that only one part has, or that a part lists twice, stops the job.
     """
     notes = [
         name
@@ -21,8 +21,8 @@ def join_parts(left: DataFrame, right: DataFrame) -> DataFrame:
         for name in df.columns
         if name == "Fact Note" or name.startswith(CENSUS_NOTE)
     ]
-    a = left.drop(*notes).where(F.col("Fact").isNotNull()).withColumnRenamed("Fact", "left_fact")
-    b = right.drop(*notes).where(F.col("Fact").isNotNull()).withColumnRenamed("Fact", "right_fact")
+    a = _once(left.drop(*notes)).withColumnRenamed("Fact", "left_fact")
+    b = _once(right.drop(*notes)).withColumnRenamed("Fact", "right_fact")
     joined = a.join(b, F.col("left_fact") == F.col("right_fact"), "full")
     either = F.coalesce("left_fact", "right_fact")
     both = F.col("left_fact").isNotNull() & F.col("right_fact").isNotNull()
@@ -33,14 +33,30 @@ def join_parts(left: DataFrame, right: DataFrame) -> DataFrame:
     return joined.select(fact.alias("Fact"), *[F.col(f"`{c}`") for c in cities])
 
 
+def _once(part: DataFrame) -> DataFrame:
+    """The facts of a part, each listed once."""
+    values = [c for c in part.columns if c != "Fact"]
+    one = F.count(F.lit(1)) == 1
+    twice = F.raise_error(F.concat(F.lit("fact listed twice: "), F.col("Fact"))).cast("string")
+    facts = part.where(F.col("Fact").isNotNull()).groupBy("Fact")
+    return facts.agg(*[F.when(one, F.first(f"`{c}`")).otherwise(twice).alias(c) for c in values])
+
+
 def transpose(wide: DataFrame, key: str, facts: list[str], into: str) -> DataFrame:
     """Facts in rows and cities in columns become the other way round.
 
-    Works on any number of rows: nothing is collected.
+    Works on any number of rows: nothing is collected. A fact that is missing
+    altogether stops the job; one without a value for some city gives a null.
     """
     cities = [F.col(f"`{c}`") for c in wide.columns if c != key]
     long = wide.where(F.col(key).isin(*facts)).unpivot([key], cities, into, "value")
-    return long.groupBy(into).pivot(key, facts).agg(F.first("value"))
+    listed = long.groupBy(into).pivot(key, facts).agg(F.struct(F.first("value").alias("value")))
+    columns = []
+    for fact in facts:
+        missing = F.raise_error(F.lit(f"fact not listed: {fact}")).cast("string")
+        there = F.col(f"`{fact}`").isNotNull()
+        columns.append(F.when(there, F.col(f"`{fact}`.value")).otherwise(missing).alias(fact))
+    return listed.select(into, *columns)
 
 
 def census_by_city(

@@ -18,9 +18,8 @@ from duskline.operators.harmonize import non_null_counts
 def typed_stops(raw: DataFrame, strict: bool = True) -> DataFrame:
     """Dates, numbers and the second of the day from a merged text table.
 
-    A date or number that cannot be read stops the job (in Spark's default ANSI
-    mode), so no row is lost unseen; with ``strict=False`` it becomes null. A time
-    that cannot be read is null.
+    A date or number that cannot be read stops the job, so no row is lost unseen;
+    with ``strict=False`` it becomes null. A time that cannot be read is null.
     """
     text = F.col
     return raw.withColumns(
@@ -66,6 +65,20 @@ def completeness(df: DataFrame) -> DataFrame:
     return non_null_counts(df)
 
 
+def column_report(df: DataFrame) -> DataFrame:
+    """Rows ``(column_name, data_type, non_null)`` from one pass."""
+    counted = df.agg(*[F.count(f"`{name}`").alias(name) for name in df.columns])
+    rows = [
+        F.struct(
+            F.lit(name).alias("column_name"),
+            F.lit(kind).alias("data_type"),
+            F.col(f"`{name}`").alias("non_null"),
+        )
+        for name, kind in df.dtypes
+    ]
+    return counted.select(F.inline(F.array(*rows)))
+
+
 def schema_report(df: DataFrame) -> DataFrame:
     """Rows ``(column_name, data_type)``; reads the schema only."""
     return df.sparkSession.createDataFrame(df.dtypes, "column_name string, data_type string")

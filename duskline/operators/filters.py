@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.fixed import EXAMPLE_WINDOW
 
@@ -69,7 +69,11 @@ def known_hour(stops: DataFrame) -> DataFrame:
     return stops.where(F.col("hour") >= 0)
 
 
-def in_clock_window(stops: DataFrame, window: tuple[int, int] = EXAMPLE_WINDOW) -> DataFrame:
+def clock_window(window: tuple[int, int] = EXAMPLE_WINDOW) -> Column:
     """Strictly between two seconds of the day."""
     start, end = window
-    return stops.where((F.col("second_of_day") > start) & (F.col("second_of_day") < end))
+    return (F.col("second_of_day") > start) & (F.col("second_of_day") < end)
+
+
+def in_clock_window(stops: DataFrame, window: tuple[int, int] = EXAMPLE_WINDOW) -> DataFrame:
+    return stops.where(clock_window(window))

@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from duskline.functions.spline import spline_columns
 from duskline.sources.lineage import cut_lineage
 
+MAX_ITERATIONS = 50
+
 # A term whose part of its own is smaller than this is taken for a combination.
 DEPENDENT = 1e-10
 
 COEFFICIENT_SCHEMA = "term string, estimate double, std_error double, z double, p double"
 FIT_SCHEMA = (
     "n_rows long, n_light long, n_dark long, spline_df int, deviance double, df_residual long, "
-    "null_deviance double, df_null long, aic double"
+    "null_deviance double, df_null long, aic double, iterations int, converged boolean"
 )
 
 
@@ -36,6 +38,7 @@ class DarkData:
     cities: tuple[str, ...]
     light: int
     dark: int
+    black: int
 
 
 @dataclass(frozen=True)
@@ -60,8 +63,8 @@ def _knot_columns(df: int) -> list[Column]:
     ]
 
 
-def _rows_where(dark: Column) -> Column:
-    return F.coalesce(F.sum(F.when(dark, F.col("n"))), F.lit(0))
+def _rows_where(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
 
 def dark_data(cells: DataFrame, df: int = 6) -> DarkData:
@@ -76,11 +79,19 @@ def dark_data(cells: DataFrame, df: int = 6) -> DarkData:
         F.sort_array(F.collect_set("city")).alias("cities"),
         _rows_where(~F.col("is_dark")).alias("light"),
         _rows_where(F.col("is_dark")).alias("dark"),
+        _rows_where(F.col("is_black")).alias("black"),
     ).first()
     low, high = facts["low"] or 0.0, facts["high"] or 0.0
     inner = sorted({knot for knot in facts["knots"] or [] if low < knot < high})
     return DarkData(
-        kept, low, high, tuple(inner), tuple(facts["cities"]), facts["light"], facts["dark"]
+        kept,
+        low,
+        high,
+        tuple(inner),
+        tuple(facts["cities"]),
+        facts["light"],
+        facts["dark"],
+        facts["black"],
     )
 
 
@@ -97,14 +108,16 @@ def design_columns(data: DarkData, by_city: bool = False) -> dict[str, Column]:
     return terms
 
 
-def fit_dark_model(data: DarkData, by_city: bool = False, min_rows: int = 100) -> DarkModel:
+def fit_dark_model(data: DarkData, by_city: bool = False) -> DarkModel:
     """Binomial regression on the count cells.
 
     The cells stand for their rows: estimates, errors and deviance are those of a
     fit on single stops. Repeated knots lower the degrees of freedom of the
     spline, which ``fit`` reports. A term that is a combination of the terms before
-    it, as a city that has all the dark stops, is left out with null numbers. With
-    fewer than ``min_rows`` stops in the dark or in the light all numbers are null.
+    it, as a city that has all the dark stops, is left out with null numbers. Only
+    without rows, or with drivers of one race only, are all numbers null. ``converged``
+    is false where the steps ran out, as they do for a city whose drivers are all of
+    one race: its estimate has no finite value then.
     """
     spark = data.cells.sparkSession
     terms = design_columns(data, by_city)
@@ -114,9 +127,9 @@ def fit_dark_model(data: DarkData, by_city: bool = False, min_rows: int = 100) -
     known = (rows, data.light, data.dark, spline_df)
     unknown = DarkModel(
         spark.createDataFrame([(name, *[None] * 4) for name in names], COEFFICIENT_SCHEMA),
-        spark.createDataFrame([(*known, *[None] * 5)], FIT_SCHEMA),
+        spark.createDataFrame([(*known, *[None] * 7)], FIT_SCHEMA),
     )
-    if min(data.light, data.dark) < min_rows:
+    if data.black in (0, rows):
         return unknown
 
     columns = [column.alias(f"x{i}") for i, column in enumerate(terms.values())]
@@ -133,7 +146,7 @@ def fit_dark_model(data: DarkData, by_city: bool = False, min_rows: int = 100) -
     if fitted is None:
         return unknown
 
-    numbers, deviance, null_deviance = fitted
+    numbers, deviance, null_deviance, iterations = fitted
     used = dict(zip(["intercept", *(names[i + 1] for i in kept)], numbers))
     table = [(name, *used.get(name, [None] * 4)) for name in names]
     fit = (
@@ -143,6 +156,8 @@ def fit_dark_model(data: DarkData, by_city: bool = False, min_rows: int = 100) -
         null_deviance,
         rows - 1,
         deviance + 2.0 * len(used),
+        iterations,
+        iterations < MAX_ITERATIONS,
     )
     return DarkModel(
         spark.createDataFrame(table, COEFFICIENT_SCHEMA),
@@ -158,13 +173,13 @@ def _features(design: DataFrame, terms: Sequence[int]) -> DataFrame:
 
 def _fit(
     design: DataFrame, terms: Sequence[int]
-) -> tuple[list[tuple[float, ...]], float, float] | None:
-    """Estimate, error, z and p per term, the intercept first, and both deviances.
+) -> tuple[list[tuple[float, ...]], float, float, int] | None:
+    """Estimate, error, z and p per term, the intercept first, both deviances and the steps.
 
     None where the terms depend on each other, as there are no errors then.
     """
     model = GeneralizedLinearRegression(
-        family="binomial", link="logit", weightCol="n", maxIter=50, tol=1e-12, regParam=0.0
+        family="binomial", link="logit", weightCol="n", maxIter=MAX_ITERATIONS, tol=1e-12, regParam=0.0
     ).fit(_features(design, terms))
     summary = model.summary
     try:
@@ -176,7 +191,8 @@ def _fit(
     table = [
         tuple(map(float, row)) for row in zip(estimates, errors, summary.tValues, summary.pValues)
     ]
-    return [table[-1], *table[:-1]], float(summary.deviance), float(summary.nullDeviance)
+    deviances = float(summary.deviance), float(summary.nullDeviance)
+    return [table[-1], *table[:-1]], *deviances, int(summary.numIterations)
 
 
 def _independent_terms(design: DataFrame, count: int) -> list[int]:

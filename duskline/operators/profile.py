@@ -125,12 +125,14 @@ def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct()
 
 
-def stage_counts(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
+def stage_counts(
+    df: DataFrame, stages: Mapping[str, Column], weight: str | None = None
+) -> DataFrame:
     """Rows left after each of a chain of filters, in one pass.
 
     Each stage keeps what the stages before it kept; ``step`` numbers them.
     """
-    counts = _passed(df, stages).groupBy("passed").agg(F.count(F.lit(1)).alias("n"))
+    counts = _passed(df, stages).groupBy("passed").agg(row_count(weight).alias("n"))
     return _per_stage(counts, stages, {"rows": F.col("n")})
 
 
@@ -144,6 +146,39 @@ def stage_completeness(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame
     return wide.unpivot(["step", "stage"], names, "column_name", "non_null")
 
 
+def stage_cells(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
+    """Rows and values per city, day and stage reached, from one pass over the stops.
+
+    ``cell_counts``, ``cell_completeness`` and ``date_span`` follow from it.
+    """
+    others = [name for name in df.columns if name not in ("city", "date")]
+    return (
+        _passed(df, stages)
+        .groupBy("city", "date", "passed")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.count(name).alias(name) for name in others])
+    )
+
+
+def cell_counts(cells: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
+    """``stage_counts`` from ``stage_cells``."""
+    counts = cells.groupBy("passed").agg(F.sum("n").alias("n"))
+    return _per_stage(counts, stages, {"rows": F.col("n")})
+
+
+def cell_completeness(cells: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
+    """``stage_completeness`` from ``stage_cells``."""
+    names = [name for name in cells.columns if name not in ("passed", "n")]
+    known = {
+        name: F.sum(F.when(F.col(name).isNotNull(), F.col("n")).otherwise(0))
+        if name in ("city", "date")
+        else F.sum(name)
+        for name in names
+    }
+    counts = cells.groupBy("passed").agg(*[value.alias(name) for name, value in known.items()])
+    wide = _per_stage(counts, stages, {name: F.col(name) for name in names})
+    return wide.unpivot(["step", "stage"], names, "column_name", "non_null")
+
+
 def _passed(df: DataFrame, stages: Mapping[str, Column]) -> DataFrame:
     """How many of the stages, in their order, a row passes."""
     passed = F.lit(len(stages))
@@ -178,6 +213,26 @@ def profile_cells(df: DataFrame, columns: Sequence[str] = CELL_COLUMNS) -> DataF
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
 
 
+DAY_COLUMNS = ("city", "date", "weekday")
+AGE_COLUMNS = ("subject_age",)
+
+
+def all_cells(df: DataFrame) -> DataFrame:
+    """Profile, day and age cells from one pass; ``cells`` names the kind of a row."""
+    sets = {"profile": CELL_COLUMNS, "day": DAY_COLUMNS, "age": AGE_COLUMNS}
+    names = list(dict.fromkeys(name for columns in sets.values() for name in columns))
+    # A column outside a row's set has grouping 1, a null inside it 0.
+    kind = F.when(F.grouping("type") == 0, "profile").when(F.grouping("date") == 0, "day")
+    return df.groupingSets([list(columns) for columns in sets.values()], *names).agg(
+        F.count(F.lit(1)).alias("n"), kind.otherwise("age").alias("cells")
+    )
+
+
+def cells_of(cells: DataFrame, kind: str) -> DataFrame:
+    columns = {"profile": CELL_COLUMNS, "day": DAY_COLUMNS, "age": AGE_COLUMNS}[kind]
+    return cells.where(F.col("cells") == kind).select(*columns, "n")
+
+
 def day_cells(df: DataFrame) -> DataFrame:
     """Stops per city and day; weekdays, spans and date histograms follow from it."""
-    return df.groupBy("city", "date", "weekday").agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*DAY_COLUMNS).agg(F.count(F.lit(1)).alias("n"))

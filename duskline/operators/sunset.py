@@ -13,20 +13,16 @@ CITY_SCHEMA = "city string, lat double, lon double, tz string"
 
 Point = tuple[str, float, float, str]
 
-# A city takes under 100 bytes.
-BROADCAST_CITIES = 100_000
-
 
 def city_points(spark: SparkSession, points: Sequence[Point] = CITY_POINTS) -> DataFrame:
-    """The city table, as long as the given list and broadcast if that is short.
+    """The city table, as long as the given list.
 
     A city may have one point only, as a second one would double its stops.
     """
     cities = [point[0] for point in points]
     if len(set(cities)) < len(cities):
         raise ValueError("a city has more than one point")
-    table = spark.createDataFrame(list(points), CITY_SCHEMA)
-    return F.broadcast(table) if len(points) <= BROADCAST_CITIES else table
+    return spark.createDataFrame(list(points), CITY_SCHEMA)
 
 
 def solar_table(stops: DataFrame, points: Sequence[Point] = CITY_POINTS) -> DataFrame:

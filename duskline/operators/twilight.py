@@ -8,24 +8,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duskline.functions import clock
 from duskline.operators import filters
+from duskline.operators.profile import count_where, row_count
 from duskline.operators.sunset import with_dusk_bounds
 
-# A day of the solar table takes under 100 bytes; this keeps a broadcast below 100 MB.
-BROADCAST_DAYS = 1_000_000
 
+def with_light(stops: DataFrame, solar_days: DataFrame) -> DataFrame:
+    """Stops, or cells of them, with sunset, dusk, minute of the day and both flags.
 
-def with_light(stops: DataFrame, solar_days: DataFrame, max_days: int | None = None) -> DataFrame:
-    """Stops with sunset, dusk, minute of the day and the dark and race flags.
-
-    ``max_days`` is a proven bound on the rows of ``solar_days``: cities in the
-    city table times days of the period. Within ``BROADCAST_DAYS`` the table is
-    broadcast; beyond it, or without a bound, Catalyst joins on city and date and
-    AQE splits a hot day.
+    Catalyst and AQE pick the join from the size of the solar table, and AQE splits a
+    hot day where both sides are shuffled.
     """
-    bounded = with_dusk_bounds(solar_days)
-    if max_days is not None and max_days <= BROADCAST_DAYS:
-        bounded = F.broadcast(bounded)
-    joined = stops.join(bounded, ["city", "date"], "left")
+    joined = stops.join(with_dusk_bounds(solar_days), ["city", "date"], "left")
     minute = clock.minute_of(F.col("second_of_day"))
     return joined.withColumn("minute", minute).withColumns(
         {
@@ -52,24 +45,45 @@ def twilight_stops(
     stops: DataFrame,
     solar_days: DataFrame,
     races: Sequence[str] = ("black", "white"),
-    max_days: int | None = None,
 ) -> DataFrame:
     """Stops of the two races in the evening span, dark or light beyond doubt."""
-    lit = with_light(stops, solar_days, max_days)
+    lit = with_light(stops, solar_days)
     return filters.with_races(lit.where(between_twilights() & not_ambiguous()), races)
 
 
-def dark_share(twilight: DataFrame, *groups: str) -> DataFrame:
-    """Share of Black drivers in the dark and in the light, by ``groups``."""
-    return twilight.groupBy(*groups, "is_dark").agg(
-        F.avg(F.col("is_black").cast("int")).alias("prop_black"), F.count(F.lit(1)).alias("n")
+def evening_cells(stops: DataFrame) -> DataFrame:
+    """Stops per city, day, minute, race and whether in the clock window, in one pass.
+
+    At most cities x days x 1440 x races x 2 rows, however many stops there are. The
+    days that occur follow from the cells, so the stops are read once.
+    """
+    second = (clock.minute_of(F.col("second_of_day")) * 60).alias("second_of_day")
+    window = F.coalesce(filters.clock_window(), F.lit(False)).alias("in_window")
+    return stops.groupBy("city", "date", second, "subject_race", window).agg(
+        F.count(F.lit(1)).alias("n")
     )
 
 
-def dark_share_with_total(twilight: DataFrame) -> DataFrame:
+def twilight_stages(races: Sequence[str] = ("black", "white")) -> dict[str, Column]:
+    """The filters between the vehicular stops and the stops of the twilight test."""
+    return {
+        "vehicular": F.lit(True),
+        "between twilights": between_twilights(),
+        "not ambiguous": not_ambiguous(),
+        "two races": F.col("subject_race").isin(*races),
+    }
+
+
+def dark_share(twilight: DataFrame, *groups: str, weight: str | None = None) -> DataFrame:
+    """Share of Black drivers in the dark and in the light, by ``groups``."""
+    n, black = row_count(weight), count_where(F.col("is_black"), weight)
+    return twilight.groupBy(*groups, "is_dark").agg((black / n).alias("prop_black"), n.alias("n"))
+
+
+def dark_share_with_total(twilight: DataFrame, weight: str | None = None) -> DataFrame:
     """The share by city and over all cities (``city`` null) from one pass."""
     cells = twilight.groupBy("city", "is_dark").agg(
-        F.count_if("is_black").alias("black"), F.count(F.lit(1)).alias("n")
+        count_where(F.col("is_black"), weight).alias("black"), row_count(weight).alias("n")
     )
     both = cells.groupingSets([["city", "is_dark"], ["is_dark"]], "city", "is_dark").agg(
         (F.sum("black") / F.sum("n")).alias("prop_black"), F.sum("n").alias("n")
@@ -77,8 +91,8 @@ def dark_share_with_total(twilight: DataFrame) -> DataFrame:
     return both
 
 
-def model_cells(twilight: DataFrame) -> DataFrame:
+def model_cells(twilight: DataFrame, weight: str | None = None) -> DataFrame:
     """Stops per city, minute, light and race: at most cities x 1440 x 4 rows."""
     return twilight.groupBy("city", "minute", "is_dark", "is_black").agg(
-        F.count(F.lit(1)).alias("n")
+        row_count(weight).alias("n")
     )

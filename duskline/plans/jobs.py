@@ -38,15 +38,28 @@ def inventory_table(spark: SparkSession, paths: Paths, out: str) -> None:
     write_table(harmonize.column_inventory(spark, read_cities(spark, paths)), out)
 
 
-def merge_stops(spark: SparkSession, paths: Paths, out: str, rebalance: bool = False) -> None:
-    """City files to one typed table, partitioned so that a study reads its year only."""
-    merged = clean.typed_stops(harmonize.merge_cities(read_cities(spark, paths)))
+def merge_stops(
+    spark: SparkSession,
+    paths: Paths,
+    out: str,
+    rebalance: bool = True,
+    multi_line: bool = False,
+) -> None:
+    """City files to one typed table, partitioned so that a study reads its year only.
+
+    ``rebalance`` keeps the number of files small whatever the order of the rows; leave
+    it out where every file is in order of time.
+    """
+    merged = clean.typed_stops(harmonize.merge_cities(read_cities(spark, paths, multi_line)))
     dated = merged.withColumn("year", F.year("date"))
     write_table(dated, out, ["city", "year"], rebalance=rebalance)
 
 
-def census_table(spark: SparkSession, first: str, second: str, out: str) -> None:
-    wide = census.join_parts(read_text_table(spark, first), read_text_table(spark, second))
+def census_table(
+    spark: SparkSession, first: str, second: str, out: str, multi_line: bool = False
+) -> None:
+    parts = [read_text_table(spark, path, multi_line) for path in (first, second)]
+    wide = census.join_parts(*parts)
     write_table(census.census_by_city(wide), out)
 
 
@@ -72,13 +85,16 @@ def study_stages(study: Study) -> dict[str, Column]:
 def overview(spark: SparkSession, merged: str, out: str, study: Study) -> None:
     """What the merged table holds: dates per city, rows and values after each filter.
 
-    The only job that reads all years, as it is there to choose one.
+    The only job that reads all years, as it is there to choose one. One pass makes
+    count cells, from which the tables follow.
     """
-    stops = read_table(spark, merged)
-    write_table(profile.date_span(stops), f"{out}/date_span")
-    write_table(profile.stage_counts(stops, study_stages(study)), f"{out}/stage_counts")
-    values = profile.stage_completeness(stops.drop("year"), study_stages(study))
-    write_table(values, f"{out}/stage_completeness")
+    stages = study_stages(study)
+    stops = read_table(spark, merged).drop("year")
+    write_table(profile.stage_cells(stops, stages), f"{out}/stage_cells")
+    cells = read_table(spark, f"{out}/stage_cells")
+    write_table(profile.date_span(cells), f"{out}/date_span")
+    write_table(profile.cell_counts(cells, stages), f"{out}/stage_counts")
+    write_table(profile.cell_completeness(cells, stages), f"{out}/stage_completeness")
 
 
 def export_csv(spark: SparkSession, stops: str, out: str) -> None:
@@ -87,8 +103,8 @@ def export_csv(spark: SparkSession, stops: str, out: str) -> None:
     write_table(clean.label_unknown(table), out, file_format="csv")
 
 
-def profile_tables(stops: DataFrame, cells: DataFrame, days: DataFrame) -> dict[str, DataFrame]:
-    """Every profile table; only the age histogram goes back to the stops."""
+def profile_tables(cells: DataFrame, days: DataFrame, ages: DataFrame) -> dict[str, DataFrame]:
+    """Every profile table, from count cells."""
     return {
         "date_span": profile.date_span(days),
         "city_counts": profile.frequency_by_key(days, "city", "n"),
@@ -100,18 +116,17 @@ def profile_tables(stops: DataFrame, cells: DataFrame, days: DataFrame) -> dict[
         "hour_percent": profile.hour_percent(cells, "n"),
         "weekday_percent": profile.weekday_percent(days, "n"),
         "date_histogram": histogram.date_histogram(days, weight="n"),
-        "age_histogram": histogram.age_histogram(stops),
+        "age_histogram": histogram.age_histogram(ages, weight="n"),
     }
 
 
 def profile_study(spark: SparkSession, merged: str, out: str, study: Study) -> None:
-    """Two narrow passes make count cells, a third the age histogram."""
+    """One narrow pass makes count cells of three kinds; all tables follow from them."""
     stops = study_stops(read_table(spark, merged), study)
-    write_table(profile.profile_cells(stops), f"{out}/profile_cells")
-    write_table(profile.day_cells(stops), f"{out}/day_cells")
-    cells = read_table(spark, f"{out}/profile_cells")
-    days = read_table(spark, f"{out}/day_cells")
-    for name, table in profile_tables(stops, cells, days).items():
+    write_table(profile.all_cells(stops), f"{out}/cells")
+    saved = read_table(spark, f"{out}/cells")
+    cells, days, ages = (profile.cells_of(saved, kind) for kind in ("profile", "day", "age"))
+    for name, table in profile_tables(cells, days, ages).items():
         write_table(table, f"{out}/{name}")
 
 
@@ -123,7 +138,7 @@ def rates_study(spark: SparkSession, merged: str, census_path: str, out: str, st
     stops = filters.with_races(study_stops(read_table(spark, merged), study), study.races)
     write_table(stops.drop("hour", "weekday"), f"{out}/clean_stops", ["city", "year"])
     stops = read_table(spark, f"{out}/clean_stops")
-    cells = profile.profile_cells(stops, ("city", "type", "subject_race"))
+    cells = profile.profile_cells(stops, ("city", "type", "subject_race", "date"))
     write_table(cells, f"{out}/race_cells")
     cells = read_table(spark, f"{out}/race_cells")
     write_table(rates.race_matrix(cells, study.races, "n"), f"{out}/race_counts")
@@ -132,6 +147,8 @@ def rates_study(spark: SparkSession, merged: str, census_path: str, out: str, st
     counts = read_table(spark, f"{out}/race_counts")
     heads = rates.per_capita(counts, read_table(spark, f"{out}/population"), study.races)
     write_table(heads, f"{out}/per_capita")
+    report = rates.per_capita_report(read_table(spark, f"{out}/per_capita"), study.races)
+    write_table(report, f"{out}/per_capita_report")
     means = rates.rate_means(read_table(spark, f"{out}/per_capita"), study.races)
     write_table(means, f"{out}/rate_means")
     means = read_table(spark, f"{out}/rate_means")
@@ -147,11 +164,15 @@ def twilight_study(spark: SparkSession, out: str, study: Study) -> None:
     write_table(profile.frequency_by_key(cells, "city", "n"), f"{out}/vehicular_counts")
     stops = filters.of_type(read_table(spark, f"{out}/clean_stops"))
     stops = filters.in_cities(stops, study.twilight_cities)
-    write_table(sunset.solar_table(stops, study.twilight_points), f"{out}/solar_table")
+    evenings = filters.in_cities(cells, study.twilight_cities)
+    write_table(sunset.solar_table(evenings, study.twilight_points), f"{out}/solar_table")
     days = read_table(spark, f"{out}/solar_table")
     write_table(sunset.dusk_extremes(days), f"{out}/dusk_extremes")
 
-    kept = twilight.twilight_stops(stops, days, max_days=study.max_solar_days)
+    lit = twilight.with_light(twilight.evening_cells(stops), days)
+    counts = profile.stage_counts(lit, twilight.twilight_stages(), "n")
+    write_table(counts, f"{out}/twilight_stages")
+    kept = twilight.twilight_stops(stops, days)
     write_table(kept, f"{out}/twilight_stops")
     kept = read_table(spark, f"{out}/twilight_stops")
     write_table(profile.frequency_by_key(kept, "city"), f"{out}/twilight_counts")

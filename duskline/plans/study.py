@@ -16,15 +16,15 @@ class Study:
     races: tuple[str, ...] = RATE_RACES
     points: tuple[tuple[str, float, float, str], ...] = CITY_POINTS
 
+    def __post_init__(self) -> None:
+        known = {point[0] for point in self.points}
+        if missing := [city for city in self.twilight_cities if city not in known]:
+            raise ValueError(f"twilight cities without a point: {', '.join(missing)}")
+
     @property
     def twilight_points(self) -> list[tuple[str, float, float, str]]:
         return [point for point in self.points if point[0] in self.twilight_cities]
 
-    @property
-    def max_solar_days(self) -> int:
-        """Upper bound on the rows of the solar table."""
-        return len(self.twilight_points) * self.period.days
-
 
 # The cities of each year's analysis.
 STUDY_2014 = Study(

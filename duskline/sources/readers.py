@@ -4,40 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from duskline.fixed import INDEX_COLUMNS
 from duskline.functions.text import blank_to_null
 
 
+MALFORMED = "_malformed_row"
+
+
 def read_text_table(
-    spark: SparkSession, path: str | Sequence[str], multi_line: bool = False
+    spark: SparkSession,
+    path: str | Sequence[str],
+    multi_line: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """A CSV with a header, all columns text, missing-value tokens as null.
 
+    A row with more or fewer fields than the header stops the job, as does a quoted
+    line break without ``multi_line``. With ``strict=False`` such a row is kept, and
+    the column ``MALFORMED`` holds its text, null in all other rows.
+
     Nothing is inferred, so only the header is read before the query runs. With
     several files, a file whose header differs from the first one's stops the job.
     ``multi_line`` accepts line breaks inside quotes but makes each file one task;
     leave it off for large files.
     """
     files = path if isinstance(path, str) else list(path)
-    table = spark.read.csv(
-        files,
-        header=True,
-        inferSchema=False,
-        enforceSchema=False,
-        quote='"',
-        escape='"',
-        multiLine=multi_line,
+    options = dict(header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
+    names = spark.read.csv(files, inferSchema=False, **options).columns
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, MALFORMED]])
+    table = spark.read.schema(schema).csv(
+        files, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED, **options
     )
+    if strict:
+        bad = F.raise_error(F.concat(F.lit("malformed row: "), F.col(MALFORMED))).cast("boolean")
+        # Looked at with every column, so that pruning cannot leave the check out.
+        table = table.where(F.when(F.col(MALFORMED).isNull(), True).otherwise(bad)).drop(MALFORMED)
     return drop_index(blank_to_null(table))
 
 
 def read_cities(
-    spark: SparkSession, paths: Mapping[str, str | Sequence[str]], multi_line: bool = False
+    spark: SparkSession,
+    paths: Mapping[str, str | Sequence[str]],
+    multi_line: bool = False,
+    strict: bool = True,
 ) -> dict[str, DataFrame]:
     """One text table per city; the columns may differ from city to city."""
-    return {city: read_text_table(spark, path, multi_line) for city, path in paths.items()}
+    return {
+        city: read_text_table(spark, path, multi_line, strict) for city, path in paths.items()
+    }
 
 
 def read_table(
