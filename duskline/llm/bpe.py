@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from duskline.llm.common import ready, saved
-from duskline.llm.tokens import load, pieces
+from duskline.llm.common import dropped, new_folder, ready, saved
+from duskline.llm.tokens import load, plain, words
 
 # A block ends once its texts hold so many characters; one document is never cut.
 BLOCK_CHARS = 24_000_000
@@ -34,49 +35,61 @@ MAX_WORDS = 400_000
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def word_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``block, doc_ids, lengths, places, words``, written to the shared folder.
+def word_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> str:
+    """Name of a table ``block, doc_ids, lengths, places, words``, bucketed by block in the shared folder.
 
     ``places`` holds the places of all words of the block's documents, one after
-    another, and ``lengths`` the number of words of each document.
+    another, and ``lengths`` the number of words of each document. As the table lies by
+    block, what comes back to the blocks meets it without moving it.
     """
-    ready(docs.sparkSession)
+    spark = docs.sparkSession
+    ready(spark)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+
         def fresh():
-            return [], [], [], {}, 0
+            return [], [], [], {}, {}, 0
 
-        doc_ids, lengths, places, words, size = fresh()
+        # table: words to places; known: the same for words as they stand in the texts
+        doc_ids, lengths, places, table, known, size = fresh()
 
         def close() -> pa.RecordBatch:
-            row = dict(block=uuid.uuid4().hex, doc_ids=doc_ids, lengths=lengths)
+            row = dict(block=part << 32 | seq, doc_ids=doc_ids, lengths=lengths)
             # Each byte of the places apart, as the high ones are much alike.
             flat = np.concatenate(places) if places else np.zeros(0, "<u4")
-            row |= dict(places=flat.view(np.uint8).reshape(-1, 4).T.tobytes(), words=list(words))
+            row |= dict(places=flat.view(np.uint8).reshape(-1, 4).T.tobytes(), words=list(table))
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = pieces(text or "")
+                found = words(text or "")
+                for word in found:
+                    if word not in known:
+                        known[word] = table.setdefault(plain(word), len(table))
                 doc_ids.append(doc_id)
                 lengths.append(len(found))
-                at = [words.setdefault(word, len(words)) for word in found]
-                places.append(np.array(at, "<u4"))
+                places.append(np.fromiter(map(known.__getitem__, found), "<u4", len(found)))
                 size += len(text or "")
-                if size >= block_chars or len(words) >= MAX_WORDS:
+                if size >= block_chars or len(table) >= MAX_WORDS:
                     yield close()
-                    doc_ids, lengths, places, words, size = fresh()
+                    doc_ids, lengths, places, table, known, size = fresh()
+                    seq += 1
         if doc_ids:
             yield close()
 
     schema = pa.schema(
-        [("block", pa.string()), ("doc_ids", pa.list_(pa.string())), ("lengths", pa.list_(pa.int32()))]
+        [("block", pa.int64()), ("doc_ids", pa.list_(pa.string())), ("lengths", pa.list_(pa.int32()))]
         + [("places", pa.binary()), ("words", pa.list_(pa.string()))]
     )
-    kinds = "block string, doc_ids array<string>, lengths array<int>, places binary, words array<string>"
+    kinds = "block long, doc_ids array<string>, lengths array<int>, places binary, words array<string>"
     # Ids travel as text, which keeps null and large ones whole on the way through pandas.
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
-    return saved(rows.mapInArrow(split, kinds), "blocks")
+    name = f"blocks_{uuid.uuid4().hex}"
+    writer = rows.mapInArrow(split, kinds).write.option("compression", "zstd")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer.bucketBy(buckets, "block").saveAsTable(name, path=new_folder(spark, "blocks"))
+    return name
 
 
 def vocabulary(spark: SparkSession, tokenizer: str) -> DataFrame:
@@ -85,7 +98,7 @@ def vocabulary(spark: SparkSession, tokenizer: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"id": table.values(), "piece": table.keys()}), "id int, piece string")
 
 
-def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
+def encoded_words(distinct: DataFrame, tokenizer: str) -> DataFrame:
     """``word, ids`` of distinct words. A column function, so the rows stay dealt out by word."""
     loaded = []
 
@@ -96,22 +109,24 @@ def encoded_words(words: DataFrame, tokenizer: str) -> DataFrame:
         found = loaded[0].encode_batch(column.to_pylist(), add_special_tokens=False)
         return pa.array([one.ids for one in found], pa.list_(pa.int32()))
 
-    return words.select("word", encode("word").alias("ids"))
+    return distinct.select("word", encode("word").alias("ids"))
 
 
 def decoded_words(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``word, ids, text``: the pieces of each word's ids, by a join, with spaces between.
+    """``word, numbers, text``: the ids of each word, and their pieces by a join, with spaces between.
 
     The vocabulary is fixed by the tokenizer and so is small enough to be broadcast.
-    Words that encode to nothing keep an empty text.
+    Words that encode to nothing keep empty texts.
     """
     exploded = encoded.select("word", F.posexplode_outer("ids").alias("at", "id"))
     known = F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece"))
     rows = exploded.join(F.broadcast(vocabulary), "id", "left").groupBy("word")
+
+    def joined(name: str) -> Column:
+        return F.array_join(F.transform("found", lambda x: x[name].cast("string")), " ")
+
     return rows.agg(F.sort_array(F.collect_list(known)).alias("found")).select(
-        "word",
-        F.transform("found", lambda x: x["id"]).alias("ids"),
-        F.array_join(F.transform("found", lambda x: x["piece"]), " ").alias("text"),
+        "word", joined("id").alias("numbers"), joined("piece").alias("text")
     )
 
 
@@ -127,23 +142,6 @@ def encoded_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     return _by_block(docs, tokenizer, _digests, ENCODED)
 
 
-def _digests(ids: list[list[int]], texts: list[str]):
-    numbers = [" ".join(map(str, one)) for one in ids]
-    sizes = np.array([len(one) for one in ids], np.int64)
-
-    def of(at: np.ndarray) -> dict:
-        places = at.tolist()
-        coded = " ".join([numbers[i] for i in places if numbers[i]])
-        text = " ".join([texts[i] for i in places if numbers[i]])
-        return dict(
-            n_tokens=int(sizes[at].sum()),
-            ids_sha256=hashlib.sha256(coded.encode()).hexdigest(),
-            decoded_sha256=hashlib.sha256(text.encode()).hexdigest(),
-        )
-
-    return of
-
-
 def token_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document: ``doc_id, ids, n_tokens, ids_sha256, decoded_sha256``."""
     return _by_block(docs, tokenizer, _tokens, f"ids array<int>, {ENCODED}")
@@ -154,37 +152,56 @@ def decoded_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     return _by_block(docs, tokenizer, _texts, "ids array<int>, decoded string")
 
 
-def _ids(ids: list[list[int]]):
-    coded = [np.array(one, np.int32) for one in ids]
+def _joined(parts: list[str]):
+    """Texts of the words at some places, with spaces between; empty ones leave none."""
+    return lambda at: " ".join([parts[i] for i in at.tolist() if parts[i]])
+
+
+def _digests(numbers: list[str], texts: list[str]):
+    coded, decoded = _joined(numbers), _joined(texts)
+    sizes = np.array([one.count(" ") + 1 if one else 0 for one in numbers], np.int64)
+
+    def of(at: np.ndarray) -> dict:
+        return dict(
+            n_tokens=int(sizes[at].sum()),
+            ids_sha256=hashlib.sha256(coded(at).encode()).hexdigest(),
+            decoded_sha256=hashlib.sha256(decoded(at).encode()).hexdigest(),
+        )
+
+    return of
+
+
+def _ids(numbers: list[str]):
+    coded = [np.array(one.split(), np.int32) for one in numbers]
     none = np.zeros(0, np.int32)
     return lambda at: np.concatenate([none, *[coded[i] for i in at.tolist()]])
 
 
-def _tokens(ids: list[list[int]], texts: list[str]):
-    digests, joined = _digests(ids, texts), _ids(ids)
-    return lambda at: {"ids": joined(at)} | digests(at)
+def _tokens(numbers: list[str], texts: list[str]):
+    digests, ids = _digests(numbers, texts), _ids(numbers)
+    return lambda at: {"ids": ids(at)} | digests(at)
 
 
-def _texts(ids: list[list[int]], texts: list[str]):
-    joined = _ids(ids)
-    return lambda at: dict(
-        ids=joined(at), decoded=" ".join([texts[i] for i in at.tolist() if ids[i]])
-    )
+def _texts(numbers: list[str], texts: list[str]):
+    ids, decoded = _ids(numbers), _joined(texts)
+    return lambda at: {"ids": ids(at), "decoded": decoded(at)}
 
 
 def _by_block(docs: DataFrame, tokenizer: str, describe, kinds: str) -> DataFrame:
     check_decoder(tokenizer)
     spark = docs.sparkSession
-    blocks = word_blocks(docs)
+    blocks = spark.table(word_blocks(docs))
     used = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    distinct = used.select("word").distinct()
-    table = decoded_words(encoded_words(distinct, tokenizer), vocabulary(spark, tokenizer))
-    back = used.join(table, "word").select("block", "place", "ids", "text")
+    coded = encoded_words(used.select("word").distinct(), tokenizer)
+    table = saved(decoded_words(coded, vocabulary(spark, tokenizer)), "words")
+    # A word comes once per block, so no word is hot beyond the number of blocks.
+    back = saved(used.join(table, "word").select("block", "place", "numbers", "text"), "back")
+    dropped(table)
     schema = f"doc_id long, {kinds}"
 
     def assemble(found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values("place")
-        of = describe([some.tolist() for some in found["ids"]], found["text"].tolist())
+        of = describe(found["numbers"].tolist(), found["text"].tolist())
         rows, names = [], []
         for doc_ids, lengths, data in zip(own["doc_ids"], own["lengths"], own["places"]):
             places = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()

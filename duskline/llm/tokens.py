@@ -34,6 +34,33 @@ def pieces(text: str) -> list[str]:
     return text.split()
 
 
+_ENDS = ".,!?;:"
+
+
+def words(text: str) -> list[str]:
+    """``pieces`` with fewer distinct ones: end marks apart, and Latin letters in lower case.
+
+    For tokenizers that change to lower case and part letters and digits from other
+    characters. Marks stay on a piece in which none of these is before them.
+    """
+    found = []
+    for piece in pieces(text):
+        core = piece.rstrip(_ENDS)
+        if core == piece:
+            found.append(piece)
+        elif core and core[-1].isalnum():
+            found.append(core)
+            found.append(piece[len(core) :])
+        else:
+            found.append(piece)
+    return found
+
+
+def plain(word: str) -> str:
+    """Lower case where every library agrees on it, as in Latin letters."""
+    return word.lower() if word.isascii() or max(word) < "\u0130" else word
+
+
 class Encoder:
     """Ids of texts through the library, which sees each distinct piece once while it is remembered."""
 
