@@ -33,7 +33,7 @@ THRESHOLD = 0.6
 SHINGLE = 5
 WHOLE_OVERLAP, PART_OVERLAP = 0.75, 0.5
 # Pieces of an index that one pass over the documents carries, and in one block of it.
-INDEX_PIECES, BLOCK = 512, 8
+INDEX_PIECES, BLOCK = 512, 4
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 LEAK = "struct<item_id:bigint,score:double,overlap:double,question:double,answer:double>"
@@ -261,6 +261,16 @@ class Searcher:
         return self.parts[item]
 
 
+#: The last searcher of a worker, which the next task of the same index goes on with.
+_KEPT: list[Searcher] = []
+
+
+def kept_searcher(index: Index, threshold: float) -> Searcher:
+    if not (_KEPT and _KEPT[0].index is index and _KEPT[0].threshold == threshold):
+        _KEPT[:] = [Searcher(index, threshold)]
+    return _KEPT[0]
+
+
 def _shingles_of_any(words: list[str], items: dict[int, float], searcher: Searcher) -> set:
     """The shingles a document shares with some item, of every length those have."""
     wanted = set().union(*(part for item in items for part in searcher._parts(item)))
@@ -286,7 +296,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, *keep: Column, threshold:
         kind = T.StructType.fromJson(rows.schema.jsonValue())
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(shared.value, threshold)
+            searcher = kept_searcher(shared.value, threshold)
             for batch in batches:
                 texts, before = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 found = [old + searcher.leaks(text) for text, old in zip(texts, before)]
