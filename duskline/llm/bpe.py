@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duskline.llm.common import dropped, new_folder, ready, saved
-from duskline.llm.tokens import load, plain, words
+from duskline.llm.tokens import WordEncoder, load, plain, words
 
 # A block ends once its texts hold so many characters; one document is never cut.
 BLOCK_CHARS = 24_000_000
@@ -105,9 +105,8 @@ def encoded_words(distinct: DataFrame, tokenizer: str) -> DataFrame:
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         if not loaded:
-            loaded.append(load(tokenizer))
-        found = loaded[0].encode_batch(column.to_pylist(), add_special_tokens=False)
-        return pa.array([one.ids for one in found], pa.list_(pa.int32()))
+            loaded.append(WordEncoder(tokenizer))
+        return pa.array(loaded[0].encode(column.to_pylist()), pa.list_(pa.int32()))
 
     return distinct.select("word", encode("word").alias("ids"))
 

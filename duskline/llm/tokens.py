@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -61,27 +62,97 @@ def plain(word: str) -> str:
     return word.lower() if word.isascii() or max(word) < "\u0130" else word
 
 
+# The parts of a tokenizer file for which ``WordEncoder`` knows a shorter way.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte: itself where it prints, else the next free one."""
+    hidden = [byte for byte in range(256) if byte not in _PRINTED]
+    return {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class WordEncoder:
+    """Ids of pieces of text without white space.
+
+    The library takes a text through its normaliser, its pattern and its merges. A word of
+    Latin letters only is one match of the pattern, and all that changes is its case, so
+    the library's merges are asked for directly. All else goes the whole way.
+    """
+
+    def __init__(self, path: str, remembered: int = 300_000):
+        self.tokenizer = load(path)
+        self.remembered = remembered
+        self.merged: dict[str, list[int]] = {}
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        normal = (said.get("normalizer") or {}).get("normalizers") or []
+        parts = (said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.direct = (
+            [part["type"] for part in normal] == _NORMALIZERS
+            and (parts[0].get("pattern") or {}).get("Regex") == _PATTERN
+            and [part["type"] for part in parts] == ["Split", "ByteLevel"]
+        )
+        self.letters = _byte_letters()
+        self.ends: dict[str, list[int]] = {"": []}
+
+    def _whole(self, found: list[str]) -> list[list[int]]:
+        return [one.ids for one in self.tokenizer.encode_batch(found, add_special_tokens=False)]
+
+    def _merged(self, piece: str) -> list[int] | None:
+        core = piece.rstrip(_ENDS)
+        if not (core.isalpha() and max(core) < "\u0130"):
+            return None
+        word = core.lower()
+        ids = self.merged.get(word)
+        if ids is None:
+            coded = word
+            if not word.isascii():
+                coded = "".join(map(self.letters.__getitem__, word.encode()))
+            ids = [token.id for token in self.tokenizer.model.tokenize(coded)]
+            if len(self.merged) > self.remembered:
+                self.merged = {}
+            self.merged[word] = ids
+        end = piece[len(core) :]
+        if end not in self.ends:
+            self.ends[end] = self._whole([end])[0]
+        return ids + self.ends[end]
+
+    def encode(self, found: list[str]) -> list[list[int]]:
+        ids = [self._merged(piece) if self.direct else None for piece in found]
+        rest = [i for i, one in enumerate(ids) if one is None]
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
+            for i, one in zip(some, self._whole([found[i] for i in some])):
+                ids[i] = one
+        return ids
+
+
 class Encoder:
     """Ids of texts through the library, which sees each distinct piece once while it is remembered."""
 
     def __init__(self, path: str, form: Callable[[list[int]], object], remembered: int = 1_000_000):
-        self.tokenizer = load(path)
+        self.words = WordEncoder(path)
         self.form = form
         self.remembered = remembered
         self.known: dict[str, object] = {}
 
-    def encode(self, texts: Iterable[str]) -> list[list[object]]:
+    def encode(self, texts: Iterable[str]) -> Iterator[list[object]]:
         """Per text the formed ids of its pieces, in order."""
-        split = [pieces(text) for text in texts]
-        if len(self.known) > self.remembered:
-            self.known = {}
-        known = self.known
-        new = list({piece for parts in split for piece in parts if piece not in known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            known.update((piece, self.form(one.ids)) for piece, one in zip(some, found))
-        return [list(map(known.__getitem__, parts)) for parts in split]
+        for text in texts:
+            parts = pieces(text)
+            found = list(map(self.known.get, parts))
+            if None in found:
+                if len(self.known) > self.remembered:
+                    self.known = {}
+                new = list({piece for piece, one in zip(parts, found) if one is None})
+                self.known.update(zip(new, map(self.form, self.words.encode(new))))
+                for i, one in enumerate(found):
+                    if one is None:
+                        found[i] = self.known[parts[i]]
+            yield found
 
 
 _KEPT: dict[tuple[str, str], Encoder] = {}
