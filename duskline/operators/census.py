@@ -50,12 +50,13 @@ def transpose(wide: DataFrame, key: str, facts: list[str], into: str) -> DataFra
     """
     cities = [F.col(f"`{c}`") for c in wide.columns if c != key]
     long = wide.where(F.col(key).isin(*facts)).unpivot([key], cities, into, "value")
-    listed = long.groupBy(into).pivot(key, facts).agg(F.struct(F.first("value").alias("value")))
+    both = F.first("value").alias("value"), F.count(F.lit(1)).alias("rows")
+    listed = long.groupBy(into).pivot(key, facts).agg(*both)
     columns = []
     for fact in facts:
         missing = F.raise_error(F.lit(f"fact not listed: {fact}")).cast("string")
-        there = F.col(f"`{fact}`").isNotNull()
-        columns.append(F.when(there, F.col(f"`{fact}`.value")).otherwise(missing).alias(fact))
+        there = F.coalesce(F.col(f"`{fact}_rows`"), F.lit(0)) > 0
+        columns.append(F.when(there, F.col(f"`{fact}_value`")).otherwise(missing).alias(fact))
     return listed.select(into, *columns)
 
 

@@ -33,13 +33,20 @@ def read_text_table(
     files = path if isinstance(path, str) else list(path)
     options = dict(header=True, quote='"', escape='"', multiLine=multi_line, enforceSchema=False)
     names = spark.read.csv(files, inferSchema=False, **options).columns
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, MALFORMED]])
-    table = spark.read.schema(schema).csv(
+    # Spark names a column without a heading; the files are compared by what they hold.
+    first = spark.read.csv(files, quote='"', escape='"').first() or names
+    heads = [name if head is not None else "" for name, head in zip(names, first)]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*heads, MALFORMED]])
+    # A row is only malformed where all its fields are read, so none are left out.
+    reader = spark.read.schema(schema).option("columnPruning", False)
+    table = reader.csv(
         files, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED, **options
-    )
+    ).toDF(*names, MALFORMED)
     if strict:
-        bad = F.raise_error(F.concat(F.lit("malformed row: "), F.col(MALFORMED))).cast("boolean")
-        # Looked at with every column, so that pruning cannot leave the check out.
+        # Spark refuses to read the text of malformed rows alone; so another column goes with it.
+        shown = F.concat(F.col(MALFORMED), F.lit(" in a row with first field "), table[names[0]])
+        told = F.concat(F.lit("malformed row: "), F.coalesce(shown, F.col(MALFORMED)))
+        bad = F.raise_error(told).cast("boolean")
         table = table.where(F.when(F.col(MALFORMED).isNull(), True).otherwise(bad)).drop(MALFORMED)
     return drop_index(blank_to_null(table))
 

@@ -77,10 +77,20 @@ def test_unreadable_text_fails_unless_lenient(spark, column, text):
     one = raw(spark, ("2014-01-01", "10:00:00", "30", "male", "white", "vehicular", "Oakland"))
     bad = one.withColumn(column, F.lit(text))
     assert clean.typed_stops(bad, strict=False).first()[column] is None
-    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+    with pytest.raises(Exception, match="not a (date|double)"):
         clean.typed_stops(bad).collect()
 
 
+def test_strictness_does_not_depend_on_the_ansi_mode(spark):
+    one = raw(spark, ("01/02/2014", "10:00:00", "30", "male", "white", "vehicular", "Oakland"))
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception, match="not a date: 01/02/2014"):
+            clean.typed_stops(one).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_clock_fields(spark):
     texts = ["18:31:59", "9:05:00", "00:00:00", "23:59:59", "N/A", "", "25:00:00", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(

@@ -1,9 +1,10 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from duskline.operators import harmonize
 from duskline.plans.jobs import merge_stops
-from duskline.sources.readers import drop_index, read_cities, read_table, read_text_table
+from duskline.sources.readers import MALFORMED, drop_index, read_cities, read_table, read_text_table
 from duskline.sources.writers import write_table
 
 WANTED = ["date", "time", "type"]
@@ -126,3 +127,17 @@ def test_counting_and_pruning_pass_the_header_check(spark, tmp_path):
     assert table.count() == 2
     assert rows(table.select("beat")) == [("3",), ("3",)]
     assert rows(table.select("beat", "date")) == [("3", "2014-01-01")] * 2
+
+
+def test_malformed_rows_stop_the_job_or_are_told(spark, tmp_path):
+    good = "date,type,beat\n2014-01-01,vehicular,3\n"
+    for name, bad in {"more": "2014-01-02,vehicular,3,4", "fewer": "2014-01-02,vehicular", "broken": '2014-01-02,"a\nb",3'}.items():
+        path = tmp_path / f"{name}.csv"
+        path.write_text(good + bad + "\n")
+        for wanted in (["date", "type", "beat"], ["date"]):
+            with pytest.raises(Exception, match="malformed row"):
+                read_text_table(spark, str(path)).select(wanted).collect()
+        kept = read_text_table(spark, str(path), strict=False)
+        told = kept.where(F.col(MALFORMED).isNotNull()).select("date", MALFORMED).collect()
+        assert told[0][1].startswith("2014-01-02")
+    assert read_text_table(spark, str(tmp_path / "broken.csv"), multi_line=True).count() == 2

@@ -165,5 +165,5 @@ def test_no_shuffle_of_stops_before_the_twilight_filter(spark, folder):
 
     stops = table(spark, folder, "2014/rates/clean_stops")
     days = table(spark, folder, "2014/rates/solar_table")
-    text = plan(twilight.twilight_stops(stops, days, max_days=STUDY_2014.max_solar_days))
+    text = plan(twilight.twilight_stops(stops, days))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text

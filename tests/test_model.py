@@ -101,10 +101,32 @@ def test_fit_on_cells_equals_fit_on_rows(stops, data, by_city):
     assert dark_row.estimate == table[1].estimate and dark_row.std_error == table[1].std_error
 
 
-def test_too_few_rows_give_null_estimates(data):
-    fitted = model.fit_dark_model(data, min_rows=10_000)
-    assert {r.estimate for r in fitted.coefficients.collect()} == {None}
-    assert fitted.fit.first().n_rows == 3000
+CELLS = "city string, minute int, is_dark boolean, is_black boolean, n long"
+
+
+def test_few_rows_are_fitted_too(spark):
+    rows = [("A", 1000 + 13 * i % 97, i % 2 == 1, i % 3 == 0, 1) for i in range(40)]
+    fitted = model.fit_dark_model(model.dark_data(spark.createDataFrame(rows, CELLS)))
+    fit = fitted.fit.first()
+    assert (fit.n_rows, fit.n_light, fit.n_dark, fit.converged) == (40, 20, 20, True)
+    assert 0 < fit.iterations < model.MAX_ITERATIONS
+    assert None not in {r.estimate for r in fitted.coefficients.collect()}
+
+
+def test_one_race_or_no_row_gives_null_estimates(spark):
+    rows = [("A", 1000 + i, i % 2 == 1, True, 1) for i in range(40)]
+    for kept in (rows, []):
+        fitted = model.fit_dark_model(model.dark_data(spark.createDataFrame(kept, CELLS)))
+        assert {r.estimate for r in fitted.coefficients.collect()} == {None}
+        assert fitted.fit.first().n_rows == len(kept)
+
+
+def test_a_city_of_one_race_is_told_by_the_fit(spark):
+    rows = [("A", 1000 + i * 7 % 200, i % 2 == 1, i % 5 < 2, 1) for i in range(400)]
+    rows += [("B", 1000 + i * 7 % 200, i % 2 == 1, True, 1) for i in range(50)]
+    data = model.dark_data(spark.createDataFrame(rows, CELLS))
+    assert not model.fit_dark_model(data, by_city=True).fit.first().converged
+    assert model.fit_dark_model(data).fit.first().converged
 
 
 def test_a_term_that_depends_on_others_is_left_out(spark):

@@ -8,7 +8,7 @@ from duskline.operators import census, rates
 FACT = "Fact string, `Fact Note` string"
 
 
-def wide(spark, city, total, black):
+def wide(spark, city, total, black, white="60%"):
     heading = f"`{city} city, California` string, `Value Note for {city} city, California` string"
     facts = [
         ("Population, Census, April 1, 2010", total),
@@ -16,7 +16,7 @@ def wide(spark, city, total, black):
         ("Black or African American alone, percent", black),
         ("Female persons, percent", "50%"),
         ("Hispanic or Latino, percent", "1%"),
-        ("White alone, not Hispanic or Latino, percent", "Z"),
+        ("White alone, not Hispanic or Latino, percent", white),
         (None, None),
     ]
     return spark.createDataFrame([(f, None, v, None) for f, v in facts], f"{FACT}, {heading}")
@@ -26,7 +26,7 @@ def test_census_rows_are_typed_people(spark):
     parts = wide(spark, "B", "2,000", "2%"), wide(spark, "A", "1,000", "10.5%").orderBy("Fact")
     table = census.census_by_city(census.join_parts(*parts))
     found = rows(table.select("City", "Total", "black", "white"), "City")
-    assert found == [("A", 1000.0, 105.0, None), ("B", 2000.0, 40.0, None)]
+    assert found == [("A", 1000.0, 105.0, 600.0), ("B", 2000.0, 40.0, 1200.0)]
     assert census.census_report(table).columns == [
         "city",
         "total_pop",
@@ -43,6 +43,22 @@ def test_census_parts_must_have_the_same_facts(spark):
         census.census_by_city(census.join_parts(left, right)).collect()
 
 
+def test_census_text_that_is_no_number_stops_the_job(spark):
+    parts = wide(spark, "A", "1,000", "10%", white="Z"), wide(spark, "B", "2,000", "2%")
+    with pytest.raises(Exception, match="not a double: Z"):
+        census.census_by_city(census.join_parts(*parts)).collect()
+
+
+def test_census_facts_must_be_listed_once(spark):
+    left, right = wide(spark, "A", "1,000", "10%"), wide(spark, "B", "2,000", "2%")
+    again = left.union(left.where("Fact = 'Female persons, percent'"))
+    with pytest.raises(Exception, match="fact listed twice: Female"):
+        census.census_by_city(census.join_parts(again, right)).collect()
+    kept = "Fact <> 'Female persons, percent'"
+    with pytest.raises(Exception, match="fact not listed: Female"):
+        census.census_by_city(census.join_parts(left.where(kept), right.where(kept))).collect()
+
+
 def test_matrix_is_null_where_a_city_lacks_a_race(spark):
     stops = spark.createDataFrame(
         [("A", "black"), ("A", "white"), ("B", "white"), ("C", "other")],

@@ -3,6 +3,8 @@ from conftest import day, final_plan, plan, rows
 from pyspark.sql import functions as F
 
 from duskline.operators import sunset, twilight
+from duskline.operators.filters import Period
+from duskline.plans.study import Study
 
 SOLAR = {
     "Bakersfield": "16:55:26 17:23:38 19:08:44 19:34:07 20:15:34 20:45:30 17:01:50 17:28:11 16:48:29 17:16:49",
@@ -87,9 +89,8 @@ def stops(spark):
     )
 
 
-@pytest.mark.parametrize("max_days", [None, 10])
-def test_twilight_boundaries(stops, days, max_days):
-    kept = twilight.twilight_stops(stops, days, max_days=max_days)
+def test_twilight_boundaries(stops, days):
+    kept = twilight.twilight_stops(stops, days)
     found = rows(kept.select(F.dayofmonth("date"), "minute", "subject_race", "is_dark", "is_black"))
     assert sorted(found) == [
         (1, 1030, "black", False, True),
@@ -108,16 +109,18 @@ def test_bounds_come_from_all_days_with_stops(stops, days):
     assert {r.max_dusk_minute for r in kept.collect()} == {1130}
 
 
-def test_small_solar_table_is_broadcast_and_large_is_not(spark, stops, days):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        small = plan(twilight.twilight_stops(stops, days, max_days=2000))
-        large = plan(twilight.twilight_stops(stops, days, max_days=10**9))
-        unknown = plan(twilight.twilight_stops(stops, days))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "BroadcastHashJoin" in small and "SortMergeJoin" not in small
-    assert "SortMergeJoin" in large and "SortMergeJoin" in unknown
+def test_cells_give_what_stops_give(stops, days):
+    cells = twilight.evening_cells(stops.union(stops))
+    lit = twilight.with_light(cells, days).where(twilight.between_twilights() & twilight.not_ambiguous())
+    kept = twilight.twilight_stops(stops.union(stops), days)
+    two = lit.where("subject_race <> 'hispanic'")
+    assert sorted(rows(twilight.model_cells(two, "n"))) == sorted(rows(twilight.model_cells(kept)))
+    assert sorted(rows(twilight.dark_share(two, weight="n"))) == sorted(rows(twilight.dark_share(kept)))
+
+
+def test_a_twilight_city_needs_a_point():
+    with pytest.raises(ValueError, match="Fresno"):
+        Study(Period.of_year(2014), (), ("Oakland", "Fresno"))
 
 
 def test_a_hot_day_is_split_when_the_solar_table_is_not_broadcast(spark, tmp_path):
