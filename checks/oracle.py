@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import pi
 
+from checks import newton
+
 STOPS = """
 raw AS (
   SELECT *, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INT) AS k FROM events
@@ -363,6 +365,22 @@ def _stage_completeness() -> str:
     return _with(STOPS, "\nUNION ALL ".join(parts))
 
 
+ALL_CITIES = "'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'"
+FEWER_CITIES = "'AMERICA', 'ASIA', 'MIDDLE EAST'"
+
+
+def _fit(by_city: bool, query: str, cities: str = ALL_CITIES, where: str = "TRUE") -> str:
+    parts = _with(STOPS, SUN, newton.model(cities, by_city, where), query)
+    return parts.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+COEFFICIENTS = f"""
+SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
+       round(z, 6) AS z, round({newton.P_VALUE}, 6) AS p
+FROM estimates WHERE term = 'is_dark' OR term LIKE 'city%'
+"""
+
+
 ORACLE: dict[str, str] = {
     "stage_completeness": _stage_completeness(),
     "column_inventory": INVENTORY,
@@ -562,4 +580,42 @@ ORACLE: dict[str, str] = {
         )
         + " FROM vod",
     ),
+    "spline_basis": _with(
+        STOPS,
+        SUN,
+        "used AS (SELECT * FROM vod)",
+        newton.ENDS,
+        f"""SELECT DISTINCT at_minute AS minute, {", ".join(
+            f"round({name}, 6) AS {name}"
+            for name in ["scaled", *[f"bend_{i}" for i in range(1, newton.INNER + 1)]]
+        )}
+        FROM (SELECT at_minute, {newton.spline_terms()}
+              FROM (SELECT at_minute, (at_minute - low) / (high - low) AS s, ends.*
+                    FROM used, ends))""",
+    ),
+    "model_base": _fit(False, COEFFICIENTS),
+    "model_city": _fit(True, COEFFICIENTS),
+    "model_city_fewer": _fit(True, COEFFICIENTS, FEWER_CITIES, "city <> 'EUROPE'"),
+    "model_fit": _fit(
+        True,
+        """SELECT CAST(n_rows AS BIGINT) AS n_rows, CAST(n_light AS BIGINT) AS n_light,
+               CAST(n_dark AS BIGINT) AS n_dark, 6 AS spline_df, round(deviance, 6) AS deviance,
+               CAST(n_rows - p.p AS BIGINT) AS df_residual,
+               round(null_deviance, 6) AS null_deviance, CAST(n_rows - 1 AS BIGINT) AS df_null,
+               round(deviance + 2 * p.p, 6) AS aic, TRUE AS converged
+        FROM summary, p""",
+    ),
 }
+ORACLE["model_margins"] = _with(
+    STOPS,
+    SUN,
+    """SELECT is_dark, city, count(*) AS n, CAST(count(*) FILTER (is_black) AS DOUBLE) AS black
+    FROM vod GROUP BY GROUPING SETS ((is_dark), (city))""",
+)
+ORACLE["model_estimates"] = (
+    "SELECT estimate, std_error, FALSE AS by_city FROM ("
+    + ORACLE["model_base"]
+    + ") WHERE term = 'is_dark' UNION ALL SELECT estimate, std_error, TRUE FROM ("
+    + ORACLE["model_city"]
+    + ") WHERE term = 'is_dark'"
+)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from checks import views
 from duskline.fixed import INDEX_COLUMNS
+from duskline.functions import spline
 from duskline.functions.text import blank_to_null
 from duskline.operators import (
     census,
@@ -320,31 +321,39 @@ def spline_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spline_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The truncated powers from which the spline's columns are made."""
     data = model.dark_data(model_cells(spark, sf_dir))
-    terms = model.design_columns(data)
-    names = [name for name in terms if name.startswith("minute_")]
-    return data.cells.select("minute", *[terms[name].alias(name) for name in names]).distinct()
+    powers = spline.truncated_powers(F.col("minute"), data.knots, data.low, data.high)
+    names = ["scaled", *[f"bend_{i}" for i in range(1, len(powers))]]
+    columns = [power.alias(name) for name, power in zip(names, powers)]
+    return _rounded(data.cells.select("minute", *columns).distinct())
+
+
+def _effects(fitted: model.DarkModel) -> DataFrame:
+    """What does not depend on the form of the spline: darkness and the cities."""
+    term = F.col("term")
+    return _rounded(fitted.coefficients.where((term == "is_dark") | term.startswith("city")))
 
 
 def model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = model.dark_data(model_cells(spark, sf_dir))
-    return model.fit_dark_model(data).coefficients
+    return _effects(model.fit_dark_model(data))
 
 
 def model_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = model.dark_data(model_cells(spark, sf_dir))
-    return model.fit_dark_model(data, by_city=True).coefficients
+    return _effects(model.fit_dark_model(data, by_city=True))
 
 
 def model_city_fewer(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = model.dark_data(twilight.model_cells(_twilight(spark, sf_dir, FEWER), "n"))
-    return model.fit_dark_model(data, by_city=True).coefficients
+    return _effects(model.fit_dark_model(data, by_city=True))
 
 
 def model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, degrees of freedom, deviance and AIC of the model by city."""
     data = model.dark_data(model_cells(spark, sf_dir))
-    return model.fit_dark_model(data, by_city=True).fit
+    return _rounded(model.fit_dark_model(data, by_city=True).fit.drop("iterations"))
 
 
 def model_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,7 +363,17 @@ def model_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
         model.dark_estimate(model.fit_dark_model(data, by_city)).withColumn("by_city", F.lit(by_city))
         for by_city in (False, True)
     ]
-    return harmonize.union_shared(parts)
+    return _rounded(harmonize.union_shared(parts))
+
+
+def model_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted sums per light and per city, which equal the observed ones at the optimum."""
+    data = model.dark_data(model_cells(spark, sf_dir))
+    fitted = model.fitted_cells(data, model.fit_dark_model(data, by_city=True))
+    sums = fitted.groupingSets([["is_dark"], ["city"]], "is_dark", "city").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("fitted")).alias("black")
+    )
+    return _rounded(sums)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -414,4 +433,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_city_fewer": model_city_fewer,
     "model_fit": model_fit,
     "model_estimates": model_estimates,
+    "model_margins": model_margins,
 }

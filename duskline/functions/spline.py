@@ -16,9 +16,7 @@ from pyspark.sql import Column, functions as F
 
 def spline_columns(x: Column, inner: Sequence[float], low: float, high: float) -> list[Column]:
     """One column per degree of freedom: ``len(inner) + 1`` of them."""
-    scaled = (x - F.lit(float(low))) / F.lit(float(high - low))
-    knots = _scaled_knots(inner, low, high)
-    powers = [F.lit(1.0), scaled, *_bends(scaled, knots, lambda v: F.greatest(v, F.lit(0.0)))]
+    powers = [F.lit(1.0), *truncated_powers(x, inner, low, high)]
     weights = power_weights(inner, low, high)
     return [
         sum((F.lit(float(w)) * p for w, p in zip(column[1:], powers[1:])), F.lit(float(column[0])))
@@ -26,6 +24,13 @@ def spline_columns(x: Column, inner: Sequence[float], low: float, high: float) -
     ]
 
 
+def truncated_powers(x: Column, inner: Sequence[float], low: float, high: float) -> list[Column]:
+    """The scaled number and its bends at the knots, straight beyond both ends."""
+    scaled = (x - F.lit(float(low))) / F.lit(float(high - low))
+    knots = _scaled_knots(inner, low, high)
+    return [scaled, *_bends(scaled, knots, lambda v: F.greatest(v, F.lit(0.0)))]
+
+
 def power_weights(inner: Sequence[float], low: float, high: float) -> np.ndarray:
     """Matrix from the truncated power form to the spline columns."""
     knots = _scaled_knots(inner, low, high)

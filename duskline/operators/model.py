@@ -214,3 +214,19 @@ def _independent_terms(design: DataFrame, count: int) -> list[int]:
 def dark_estimate(model: DarkModel) -> DataFrame:
     """Estimate and standard error of the effect of darkness."""
     return model.coefficients.where(F.col("term") == "is_dark").select("estimate", "std_error")
+
+
+def fitted_cells(data: DarkData, model: DarkModel) -> DataFrame:
+    """The cells with ``fitted``, the share of Black drivers the model gives them.
+
+    The driver reads the coefficients, one row per term.
+    """
+    table = {row["term"]: row["estimate"] for row in model.coefficients.collect()}
+    terms = design_columns(data, by_city=any(name.startswith("city_") for name in table))
+    parts = [
+        F.lit(float(table[name])) * column
+        for name, column in terms.items()
+        if table.get(name) is not None
+    ]
+    line = sum(parts, F.lit(table["intercept"]).cast("double"))
+    return data.cells.withColumn("fitted", 1 / (1 + F.exp(-line)))
