@@ -243,13 +243,11 @@ def _evening(spark: SparkSession, sf_dir: str, study: Study) -> DataFrame:
 def _lit_cells(spark: SparkSession, sf_dir: str, study: Study) -> DataFrame:
     """Evening cells with the light they were in.
 
-    The days come from the same cells, so both sides of the join share their shuffle and the
-    stops are read once.
+    The days come from the same cells. These are cut off from the stops, as Catalyst would
+    push different filters into both uses and read the stops twice.
     """
-    cells = twilight.evening_cells(_evening(spark, sf_dir, study))
-    # The test on ``n`` keeps Catalyst from dropping the counts and so from a second shuffle.
-    days = sunset.solar_table(cells.where("n > 0"), study.twilight_points)
-    return twilight.with_light(cells.where("n > 0"), days)
+    cells = cut_lineage(twilight.evening_cells(_evening(spark, sf_dir, study)))
+    return twilight.with_light(cells, sunset.solar_table(cells, study.twilight_points))
 
 
 def _twilight(spark: SparkSession, sf_dir: str, study: Study = YEAR) -> DataFrame:

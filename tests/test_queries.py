@@ -3,24 +3,31 @@ from conftest import plan
 
 import __spark_entry__ as entry
 from checks.compare import connect, spark_rows, sql_rows
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
-WITHOUT_SQL = {
-    "spline_basis",
-    "model_base",
-    "model_city",
-    "model_city_fewer",
-    "model_fit",
-    "model_estimates",
-}
+# They write files or fit a model while the frame is built.
+EAGER = {"csv_files", "census_files", "indexed_file", "spline_basis"}
+EAGER |= {name for name in QUERIES if name.startswith("model_")} - {"model_cells"}
+FROM_CELLS = [
+    "twilight_stages",
+    "twilight_counts",
+    "dark_share_slice",
+    "dark_share_overall",
+    "dark_share_total",
+    "model_cells",
+    "spline_knots",
+]
 
 
-def test_all_other_queries_have_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+def test_all_queries_are_registered_and_have_sql():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_returns_rows(spark):
-    assert entry.entry(spark).columns == ["city", "hour", "pct"]
+    assert entry.entry(spark).columns == ["city", "hour", "pct", "rank"]
     assert entry.entry(spark).count() > 0
 
 
@@ -29,19 +36,26 @@ def connection(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, connection, sf_dir, name):
-    found = spark_rows(entry.queries()[name](spark, sf_dir))
-    assert found == sql_rows(connection, entry.oracle_sql()[name])
+    found = spark_rows(QUERIES[name](spark, sf_dir))
+    assert found == sql_rows(connection, ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_query_without_sql_returns_rows(spark, sf_dir, name):
-    assert entry.queries()[name](spark, sf_dir).count() > 0
+def test_estimates_are_numbers_on_few_rows(spark, sf_dir):
+    rows = QUERIES["model_base"](spark, sf_dir).collect()
+    assert [row.term for row in rows] == ["is_dark"] and rows[0].estimate is not None
 
 
-@pytest.mark.parametrize("name", ["clean_stops", "hour_pct", "twilight_stops", "model_cells", "per_capita"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
 def test_plans_stay_in_the_jvm(spark, sf_dir, name):
-    text = plan(entry.queries()[name](spark, sf_dir))
-    for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
+    text = plan(QUERIES[name](spark, sf_dir))
+    for node in ("Python", "Pandas", "Arrow", "CartesianProduct"):
         assert node not in text
+
+
+@pytest.mark.parametrize("name", FROM_CELLS)
+def test_twilight_tables_follow_from_cells(spark, sf_dir, name):
+    """The stops are read once, for the cells; no plan behind them scans a table again."""
+    text = plan(QUERIES[name](spark, sf_dir))
+    assert "Scan ExistingRDD" in text and "FileScan" not in text
