@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from duskline.llm.common import dropped, new_folder, ready, saved
+from duskline.llm.common import dropped, new_folder, ready, release, saved
 from duskline.llm.tokens import WordEncoder, load, plain, words
 
 # A block ends once its texts hold so many characters; one document is never cut.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 32_000_000
 MAX_WORDS = 400_000
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -56,9 +56,13 @@ def word_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> str:
 
         def close() -> pa.RecordBatch:
             row = dict(block=part << 32 | seq, doc_ids=doc_ids, lengths=lengths)
+            # Words in order, as neighbours then begin alike and pack well.
+            ordered = sorted(table)
+            place = np.empty(len(ordered), "<u4")
+            place[[table[word] for word in ordered]] = np.arange(len(ordered))
+            flat = place[np.concatenate(places)]
             # Each byte of the places apart, as the high ones are much alike.
-            flat = np.concatenate(places) if places else np.zeros(0, "<u4")
-            row |= dict(places=flat.view(np.uint8).reshape(-1, 4).T.tobytes(), words=list(table))
+            row |= dict(places=flat.view(np.uint8).reshape(-1, 4).T.tobytes(), words=ordered)
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
@@ -196,6 +200,7 @@ def _by_block(docs: DataFrame, tokenizer: str, describe, kinds: str) -> DataFram
     # A word comes once per block, so no word is hot beyond the number of blocks.
     back = saved(used.join(table, "word").select("block", "place", "numbers", "text"), "back")
     dropped(table)
+    release(spark)
     schema = f"doc_id long, {kinds}"
 
     def assemble(found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:

@@ -27,11 +27,18 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
+    release(spark)
     df.write.option("compression", "zstd").parquet(path)
-    # What the plan shuffled is not needed any more; Spark removes it once its objects are collected.
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps, as soon as nothing refers to them.
+
+    It does so when the driver collects its garbage, which else may take half an hour.
+    """
     gc.collect()
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(df: DataFrame) -> None:
