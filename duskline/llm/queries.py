@@ -20,6 +20,7 @@ from duskline.llm import (
     toxicity,
 )
 from duskline.llm.common import documents
+from duskline.llm.oracle import ORACLE as ORACLE
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -82,5 +83,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
-
-ORACLE: dict[str, str] = {}
