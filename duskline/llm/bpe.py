@@ -99,7 +99,8 @@ def word_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> str:
 def vocabulary(spark: SparkSession, tokenizer: str) -> DataFrame:
     """``id, piece`` of a tokenizer file; as large as its vocabulary and no larger."""
     table = load(tokenizer).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pd.DataFrame({"id": table.values(), "piece": table.keys()}), "id int, piece string")
+    rows = pd.DataFrame({"id": table.values(), "piece": table.keys()})
+    return spark.createDataFrame(rows, "id int, piece string")
 
 
 def encoded_words(distinct: DataFrame, tokenizer: str) -> DataFrame:

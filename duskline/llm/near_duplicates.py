@@ -126,8 +126,13 @@ def _estimated(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         return np.array([s[SKETCH - 1] if len(s) >= SKETCH else top for s in x], np.uint64)
 
     a_reach, b_reach = reach(a), reach(b)
-    in_a = np.array([np.searchsorted(s[:SKETCH], np.minimum(r, b_reach), "right") for s, r in zip(a, a_reach)])
-    in_b = np.array([np.searchsorted(s[:SKETCH], np.minimum(r, a_reach), "right") for s, r in zip(b, b_reach)]).T
+
+    def reached(x: list[np.ndarray], own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Values of each sketch up to where both sketches of a pair reach."""
+        ends = [np.searchsorted(s[:SKETCH], np.minimum(r, other), "right") for s, r in zip(x, own)]
+        return np.array(ends)
+
+    in_a, in_b = reached(a, a_reach, b_reach), reached(b, b_reach, a_reach).T
     return both / np.maximum(in_a + in_b - both, 1)
 
 
@@ -210,7 +215,9 @@ def _remaining_links(members: DataFrame, texts: DataFrame, found: DataFrame) ->
     of_leader = found.select(F.col("node").alias("leader"), F.col("component").alias("home_component"))
     home = F.col("component") == F.coalesce("home_component", "leader")
     placed = saved(
-        placed.join(splittable(of_leader), "leader", "left").select("leader", "member", "component", home.alias("home")),
+        placed.join(splittable(of_leader), "leader", "left").select(
+            "leader", "member", "component", home.alias("home")
+        ),
         "placed",
     )
 
@@ -219,9 +226,16 @@ def _remaining_links(members: DataFrame, texts: DataFrame, found: DataFrame) ->
 
     sizes = (
         placed.groupBy("leader")
-        .agg(F.count(F.when(F.col("home"), 1)).alias("n_home"), F.count(F.when(~F.col("home"), 1)).alias("n_out"))
+        .agg(
+            F.count(F.when(F.col("home"), 1)).alias("n_home"),
+            F.count(F.when(~F.col("home"), 1)).alias("n_out"),
+        )
         .where(F.col("n_out") > 0)
-        .select("leader", chunks(F.col("n_home")).alias("homes"), chunks(F.col("n_out")).alias("outs"))
+        .select(
+            "leader",
+            chunks(F.col("n_home")).alias("homes"),
+            chunks(F.col("n_out")).alias("outs"),
+        )
     )
     own = F.pmod(F.xxhash64("member"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("outs"))).cast("int")
     rows = placed.join(splittable(sizes), "leader").withColumn("own", own)

@@ -53,7 +53,8 @@ def own_text(lines: Column) -> Column:
         lambda line, i: (line["level"] == 0)
         & ~(line["attribution"] & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)),
     )
-    return F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda x: x["text"]), "\n"), r"^\s+|\s+$", ""))
+    joined = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
+    return F.trim(F.regexp_replace(joined, r"^\s+|\s+$", ""))
 
 
 def passages(text: Column) -> Column:
@@ -74,7 +75,8 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
         parsed_lines(F.col("text")).alias("lines"),
     )
     levels = F.array_max(F.transform("lines", lambda line: line["level"]))
-    return lines.select("conv_id", "turn", "role", own_text(F.col("lines")).alias("text"), "lines", levels.alias("levels"))
+    text = own_text(F.col("lines")).alias("text")
+    return lines.select("conv_id", "turn", "role", text, "lines", levels.alias("levels"))
 
 
 def quotation_links(parsed: DataFrame) -> DataFrame:
@@ -135,7 +137,12 @@ def threads(links: DataFrame) -> DataFrame:
     """
     moved = links.where(F.col("parent_conv_id") != F.col("conv_id"))
     at = saved(
-        moved.select("conv_id", "turn", F.col("parent_conv_id").alias("to_conv"), F.col("parent_turn").alias("to_turn")),
+        moved.select(
+            "conv_id",
+            "turn",
+            F.col("parent_conv_id").alias("to_conv"),
+            F.col("parent_turn").alias("to_turn"),
+        ),
         "threads",
     )
     while True:

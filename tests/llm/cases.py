@@ -2,7 +2,8 @@
 
 from collections import Counter
 
-WORDS = [f"{a}{b}{c}" for a in ("th", "er", "on", "an") for b in ("ing", "at", "o", "en") for c in ("", "s", "ly", "ed")]
+PARTS = ("th", "er", "on", "an"), ("ing", "at", "o", "en"), ("", "s", "ly", "ed")
+WORDS = [f"{a}{b}{c}" for a in PARTS[0] for b in PARTS[1] for c in PARTS[2]]
 
 
 def prose(seed: int, n: int) -> str:
