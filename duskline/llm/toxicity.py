@@ -36,9 +36,9 @@ SEGMENT_BYTES = 4096
 THRESHOLDS = (1, 2, 3, 4, 5, 6, 7)
 
 
-def labelled_sample(labels: DataFrame, label: str, size: dict[int, int]) -> DataFrame:
-    """``doc_id, label`` of at most ``size`` rows of each class, chosen by a hash of the id."""
-    known = (
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, label`` of ids with one label, 0 or 1."""
+    return (
         labels.select(F.col("doc_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
         .groupBy("doc_id")
@@ -46,6 +46,11 @@ def labelled_sample(labels: DataFrame, label: str, size: dict[int, int]) -> Data
         .where(F.col("label") == F.col("other"))
         .select("doc_id", "label")
     )
+
+
+def labelled_sample(labels: DataFrame, label: str, size: dict[int, int]) -> DataFrame:
+    """``doc_id, label`` of at most ``size`` rows of each class, chosen by a hash of the id."""
+    known = learnable(labels, label)
     parts = [
         known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         for value, rows in size.items()
@@ -53,6 +58,13 @@ def labelled_sample(labels: DataFrame, label: str, size: dict[int, int]) -> Data
     return parts[0].unionByName(parts[1])
 
 
+def sample_weights(labels: DataFrame, label: str, size: dict[int, int]) -> dict[int, float]:
+    """How many labelled rows of a class each of its rows in the sample stands for."""
+    counts = learnable(labels, label).groupBy("label").count().collect()
+    whole = {row["label"]: row["count"] for row in counts}
+    return {y: max(1.0, whole.get(y, 0) / rows) if rows else 1.0 for y, rows in size.items()}
+
+
 def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, size: dict[int, int]) -> DataFrame:
     """Distinct texts of the sample with ``label`` and ``calibrates``, every other text by hash.
 
@@ -175,16 +187,22 @@ class Gains:
         return np.log1p(np.append(reached, len(chunks)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights, the constant last, of a logistic regression by Newton steps."""
+def fit_logistic(
+    x: np.ndarray, y: np.ndarray, ridge: float = 0.1, stands_for: np.ndarray | None = None
+) -> np.ndarray:
+    """Weights, the constant last, of a logistic regression by Newton steps.
+
+    ``stands_for`` is the number of rows that each row counts as, 1 by default.
+    """
+    n = np.ones(len(x)) if stands_for is None else stands_for
     x = np.column_stack([x, np.ones(len(x))])
     weights = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, x.T @ (y - p) - penalty * weights)
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(curve, x.T @ (n * (y - p)) - penalty * weights)
         # Short steps keep it from overshooting where the classes part cleanly.
         weights += step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
@@ -203,7 +221,9 @@ class ToxicityModel:
 def learn_toxicity(docs: DataFrame, labels: DataFrame, size: dict[int, int] = SAMPLE) -> ToxicityModel:
     """Dictionaries from one half of the sample, calibration on the other.
 
-    The driver receives at most ``VOCABULARY`` words and one small row per text.
+    The calibration weights the classes back to their shares among all labels, so the
+    score stays a probability however the sample was cut. Segments are chosen by the
+    shares of documents within each class, which the cut leaves as they are. The driver receives at most ``VOCABULARY`` words and one small row per text.
     """
     ready(docs.sparkSession)
     texts = sampled_texts(docs, labels, "toxic", size)
@@ -217,7 +237,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, size: dict[int, int] = SA
 
     counts = texts.groupBy("label", "calibrates").count().collect()
     n = {(row["label"], row["calibrates"]): row["count"] for row in counts}
-    both = [sum(v for (label, _), v in n.items() if label == value) for value in (0, 1)]
+    weight = sample_weights(labels, "toxic", size)
+    both = [weight[y] * sum(v for (label, _), v in n.items() if label == y) for y in (0, 1)]
     if min(n.get((0, False), 0), n.get((1, False), 0), n.get((0, True), 0), n.get((1, True), 0)) == 0:
         return ToxicityModel(None, np.array([both[1] / sum(both) if sum(both) else 0.0]))
     learned = (
@@ -235,7 +256,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, size: dict[int, int] = SA
     )
     rows = _features(texts.where("calibrates"), dictionaries, F.col("label")).collect()
     x = np.array([row["features"] for row in rows])
-    return ToxicityModel(dictionaries, fit_logistic(x, np.array([row["label"] for row in rows], float)))
+    y = np.array([row["label"] for row in rows], float)
+    stands_for = np.where(y == 1, weight[1], weight[0])
+    return ToxicityModel(dictionaries, fit_logistic(x, y, stands_for=stands_for))
 
 
 def _features(docs: DataFrame, dictionaries: Dictionaries, *keep: Column) -> DataFrame:

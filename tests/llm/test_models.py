@@ -101,6 +101,38 @@ def test_odd_texts_have_a_toxicity(spark, toxic):
     assert toxicity.score_toxicity(odd.where("false"), model, F.col("doc_id")).count() == 0
 
 
+def test_a_score_does_not_depend_on_how_the_sample_is_cut(spark):
+    texts, labels = [], []
+    for i in range(2400):
+        rng = random.Random(i)
+        words = text_of("en", i, 30).split()
+        toxic = int(i % 10 == 0)
+        if rng.random() < (0.9 if toxic else 0.04):
+            words.insert(rng.randrange(len(words)), rng.choice(BAD))
+        texts.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    fixed = docs(spark, [(1, f"{text_of('en', 9999, 30)} {BAD[0]}"), (2, text_of("en", 9998, 30))])
+
+    def scores(size):
+        model = toxicity.learn_toxicity(docs(spark, texts), labels, size)
+        assert model.dictionaries is not None
+        rows = toxicity.score_toxicity(fixed, model, F.col("doc_id")).orderBy("doc_id").collect()
+        return np.array([r["score"] for r in rows])
+
+    whole, cut = scores({1: 3000, 0: 8000}), scores({1: 200, 0: 400})
+    assert 0.5 < whole[0] < 0.85 and np.abs(whole - cut).max() < 0.12
+    weighed = toxicity.sample_weights(labels, "toxic", {1: 200, 0: 400})
+    assert weighed == {1: 1.2, 0: 5.4}
+
+
+def test_a_share_without_a_model_is_that_of_all_labels(spark):
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(20)], "doc_id long, toxic int")
+    texts = docs(spark, [(i, f"text {i}") for i in range(20)])
+    model = toxicity.learn_toxicity(texts, labels, {1: 1, 0: 1})
+    assert model.dictionaries is None and model.weights.tolist() == [0.1]
+
+
 def test_conflicting_and_empty_labels_are_not_learned_from(spark):
     labels = spark.createDataFrame(
         [(1, 0), (1, 1), (2, 1), (2, 1), (3, None), (None, 1), (4, 0), (5, 7)], "doc_id long, toxic int"
