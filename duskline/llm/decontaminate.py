@@ -5,8 +5,12 @@ holds with their BM25 weights, scaled so that a piece's own words score 1. Every
 passage of every document is a query; passages overlap by half, so that a piece is
 whole in one of them. The largest weight of each term in each block of pieces bounds
 what a block can score; inside the blocks that can reach the threshold, WAND moves
-to the pieces that can. Items found are verified on the whole document: the share of
-their shingles that it holds, for all of the item and for its question and its answer.
+to the pieces that can. An item whose parts lie in different passages need not reach
+the threshold in any of them, so the shingles of all items are looked up in the whole
+document besides, and no item that verification would accept is missed. Items found
+are verified on the whole document: the share of their shingles that it holds, for all
+of the item and for its question and its answer. The score is that of the best passage,
+or of the whole document where no passage reaches the threshold.
 
 Defined cases: null and empty texts hold nothing and items without a word are never
 found; an item with fewer words than a shingle is one shingle; equal items are all
@@ -34,6 +38,8 @@ SHINGLE = 5
 WHOLE_OVERLAP, PART_OVERLAP = 0.75, 0.5
 # Pieces of an index that one pass over the documents carries, and in one block of it.
 INDEX_PIECES, BLOCK = 512, 4
+# Of the shingles' hashes; equal hashes of different shingles only cost a verification.
+_FACTOR, _ONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 LEAK = "struct<item_id:bigint,score:double,overlap:double,question:double,answer:double>"
@@ -69,7 +75,10 @@ def _shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings of some pieces. ``weights``: terms x pieces; ``bounds``: terms x blocks."""
+    """Postings of some pieces. ``weights``: terms x pieces; ``bounds``: terms x blocks.
+
+    ``first`` are the items whose first piece is here; only this index reports them.
+    """
 
     terms: dict[str, int]
     weights: np.ndarray
@@ -77,6 +86,7 @@ class Index:
     most: np.ndarray
     item_of: list[int]
     items: list[tuple[int | None, str]]
+    first: frozenset[int]
 
     def block_lists(self, block: int, query: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
         """Of each query term with postings in a block: pieces, weights and the largest weight."""
@@ -194,7 +204,25 @@ def _index(rows: list) -> Index:
     starts = np.arange(0, len(pieces), BLOCK)
     bounds = np.maximum.reduceat(weights, starts, axis=1)
     item_of = [items[item, text] for item, text, _ in pieces]
-    return Index(terms, weights, bounds, weights.max(axis=1), item_of, list(items))
+    first = frozenset(items[item, text] for item, text, number in pieces if number == 0)
+    return Index(terms, weights, bounds, weights.max(axis=1), item_of, list(items), first)
+
+
+def _hashes(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` word numbers from each start on."""
+    found = np.zeros(len(starts), np.uint64)
+    for i in range(size):
+        found = found * _FACTOR + ids[starts + i].astype(np.uint64) + _ONE
+    return found
+
+
+@dataclass(frozen=True)
+class ShingleList:
+    """Sorted ``hashes`` of shingles; those of place ``i`` are in ``items[starts[i] : starts[i + 1]]``."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    items: np.ndarray
 
 
 class Searcher:
@@ -204,14 +232,55 @@ class Searcher:
         self.index, self.threshold, self.remembered = index, threshold, remembered
         self.known: dict[str, int] = {}
         self.parts: dict[int, tuple[set, set, set]] = {}
+        # The index's terms, then words of its items that only pieces elsewhere hold.
+        self.terms = dict(index.terms)
+        self.sizes = np.ones(len(index.items))
+        self.lists = self._shingle_lists()
+
+    def _shingle_lists(self) -> dict[int, ShingleList]:
+        """By number of words, the shingles of the items that this index reports."""
+        parts: dict[int, tuple[list, list]] = {}
+        for item in sorted(self.index.first):
+            words = words_of(self.index.items[item][1])
+            ids = np.array([self.terms.setdefault(word, len(self.terms)) for word in words], np.int64)
+            size = min(SHINGLE, len(ids))
+            own = np.unique(_hashes(ids, np.arange(len(ids) - size + 1), size))
+            self.sizes[item] = len(own)
+            hashes, items = parts.setdefault(size, ([], []))
+            hashes.append(own)
+            items.append(np.full(len(own), item))
+        lists = {}
+        for size, (hashes, items) in parts.items():
+            every = np.concatenate(hashes)
+            order = np.argsort(every, kind="stable")
+            distinct, starts = np.unique(every[order], return_index=True)
+            lists[size] = ShingleList(
+                distinct, np.append(starts, len(every)), np.concatenate(items)[order]
+            )
+        return lists
 
     def _term(self, chunk: str) -> int:
-        """The term's number, -1 for a word that is no term, -2 for no word."""
+        """The word's number, -1 for a word of no item, -2 for no word."""
         word = _EDGES.sub("", chunk.lower())
-        return self.index.terms.get(word, -1) if word else -2
+        return self.terms.get(word, -1) if word else -2
+
+    def _held(self, ids: np.ndarray) -> list[int]:
+        """Items of whose shingles the words hold enough, wherever they stand."""
+        counts = np.zeros(len(self.sizes))
+        unknown = np.concatenate([[0], np.cumsum(ids < 0)])
+        for size, shingles in self.lists.items():
+            starts = np.flatnonzero(unknown[size:] == unknown[:-size])
+            hashes = np.unique(_hashes(ids, starts, size))
+            at = np.searchsorted(shingles.hashes, hashes)
+            inside = at < len(shingles.hashes)
+            at, hashes = at[inside], hashes[inside]
+            for i in at[shingles.hashes[at] == hashes].tolist():
+                counts[shingles.items[shingles.starts[i] : shingles.starts[i + 1]]] += 1
+        return np.flatnonzero(counts >= WHOLE_OVERLAP * self.sizes - 1e-9).tolist()
 
     def candidates(self, text: str) -> dict[int, float]:
-        """Items of which some passage reaches the threshold, with the best score."""
+        """Items of which some passage reaches the threshold, or whose shingles the text
+        holds, with the best score."""
         chunks = text.split()
         known = self.known
         if len(known) > self.remembered:
@@ -222,6 +291,8 @@ class Searcher:
         ids = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
         ids = ids[ids != -2]
         index, best = self.index, {}
+        held = self._held(ids)
+        ids = np.where(ids < len(index.terms), ids, -1)
         # What terms can add at most, counted for each time they occur, bounds every passage from above.
         most = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, index.most[ids], 0.0))])
         step = PASSAGE // 2
@@ -234,7 +305,13 @@ class Searcher:
             for block in np.flatnonzero(bounds >= self.threshold - 1e-6).tolist():
                 for piece, score in wand(index.block_lists(block, query), self.threshold - 1e-6):
                     item = index.item_of[piece]
-                    best[item] = max(score, best.get(item, 0.0))
+                    if item in index.first:
+                        best[item] = max(score, best.get(item, 0.0))
+        if apart := [item for item in held if item not in best]:
+            query = np.unique(ids)
+            scores = index.weights[query[query >= 0]].sum(axis=0)
+            for item in apart:
+                best[item] = float(scores[np.array(index.item_of) == item].max())
         return best
 
     def leaks(self, text: str | None) -> list[dict]:

@@ -51,6 +51,29 @@ def test_leaks_equal_brute_force(spark, monkeypatch, pieces):
     assert all(r["score"] >= decontaminate.THRESHOLD and r["overlap"] >= 0.75 for r in found)
 
 
+def scattered():
+    """Documents with the parts of items further apart than a passage is long."""
+    texts = []
+    for i in range(4, 24, 3):
+        words = ITEMS[i][1].split()
+        for pieces in (2, 3):
+            cuts = [len(words) * k // pieces for k in range(pieces + 1)]
+            found = [" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+            texts.append((1000 * pieces + i, f" {prose(90 + i, 150)} ".join(found)))
+    return texts
+
+
+@pytest.mark.parametrize("pieces", [decontaminate.INDEX_PIECES, 6])
+def test_leaks_in_parts_far_apart_equal_brute_force(spark, monkeypatch, pieces):
+    monkeypatch.setattr(decontaminate, "INDEX_PIECES", pieces)
+    texts = scattered() + leaking()
+    found = decontaminate.find_leaks(docs(spark, texts), bench(spark)).collect()
+    pairs = [(r["doc_id"], r["item_id"]) for r in found]
+    assert sorted(pairs) == sorted(expected(texts, ITEMS))
+    assert {(2000 + i, i) for i in range(7, 24, 3)} <= set(pairs)
+    assert all(r["score"] >= decontaminate.THRESHOLD for r in found)
+
+
 def test_clean_documents_keep_all_columns(spark):
     table = docs(spark, leaking() + ODD)
     kept = decontaminate.without_leaks(table, bench(spark))
