@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duskline.llm.common import dropped, new_folder, ready, release, saved
-from duskline.llm.tokens import WordEncoder, load, plain, words
+from duskline.llm.tokens import WordEncoder, added_texts, load, plain, words
 
 # A block ends once its texts hold so many characters; one document is never cut.
 BLOCK_CHARS = 32_000_000
@@ -35,7 +35,7 @@ MAX_WORDS = 400_000
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def word_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> str:
+def word_blocks(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK_CHARS) -> str:
     """Name of a table ``block, doc_ids, lengths, places, words``, bucketed by block in the shared folder.
 
     ``places`` holds the places of all words of the block's documents, one after
@@ -45,6 +45,8 @@ def word_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> str:
     spark = docs.sparkSession
     ready(spark)
 
+    added = added_texts(tokenizer)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
 
@@ -67,10 +69,10 @@ def word_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> str:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(text or "")
+                found = words(text or "", added)
                 for word in found:
                     if word not in known:
-                        known[word] = table.setdefault(plain(word), len(table))
+                        known[word] = table.setdefault(plain(word, added), len(table))
                 doc_ids.append(doc_id)
                 lengths.append(len(found))
                 places.append(np.fromiter(map(known.__getitem__, found), "<u4", len(found)))
@@ -194,7 +196,7 @@ def _texts(numbers: list[str], texts: list[str]):
 def _by_block(docs: DataFrame, tokenizer: str, describe, kinds: str) -> DataFrame:
     check_decoder(tokenizer)
     spark = docs.sparkSession
-    blocks = spark.table(word_blocks(docs))
+    blocks = spark.table(word_blocks(docs, tokenizer))
     used = blocks.select("block", F.posexplode("words").alias("place", "word"))
     coded = encoded_words(used.select("word").distinct(), tokenizer)
     table = saved(decoded_words(coded, vocabulary(spark, tokenizer)), "words")

@@ -38,16 +38,31 @@ def pieces(text: str) -> list[str]:
 _ENDS = ".,!?;:"
 
 
-def words(text: str) -> list[str]:
-    """``pieces`` with fewer distinct ones: end marks apart, and Latin letters in lower case.
+def added_texts(path: str) -> tuple[str, ...]:
+    """Texts, in lower case, that the library looks for before it changes anything."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    return tuple(sorted({token["content"].lower() for token in said.get("added_tokens") or []}))
+
+
+def _holds(piece: str, added: tuple[str, ...]) -> bool:
+    """Whether a text holds that of an added token, in any case."""
+    low = piece.lower()
+    return any(text in low for text in added)
+
+
+def words(text: str, added: tuple[str, ...] = ()) -> list[str]:
+    """``pieces`` with fewer distinct ones: end marks apart.
 
     For tokenizers that change to lower case and part letters and digits from other
-    characters. Marks stay on a piece in which none of these is before them.
+    characters. Marks stay on a piece in which none of these is before them, and on
+    one that holds an added token, which is looked for in the text as it stands.
     """
     found = []
+    kept = added if _holds(text, added) else ()
     for piece in pieces(text):
         core = piece.rstrip(_ENDS)
-        if core == piece:
+        if core == piece or _holds(piece, kept):
             found.append(piece)
         elif core and core[-1].isalnum():
             found.append(core)
@@ -57,8 +72,10 @@ def words(text: str) -> list[str]:
     return found
 
 
-def plain(word: str) -> str:
-    """Lower case where every library agrees on it, as in Latin letters."""
+def plain(word: str, added: tuple[str, ...] = ()) -> str:
+    """Lower case where every library agrees on it, as in Latin letters; words with added tokens stay."""
+    if _holds(word, added):
+        return word
     return word.lower() if word.isascii() or max(word) < "\u0130" else word
 
 

@@ -92,6 +92,16 @@ def test_blocks_encode_and_decode_like_the_library(spark, monkeypatch):
         assert sorted((str(r[0]), *r[1:]) for r in found) == wanted
 
 
+def test_added_tokens_are_found_as_the_text_writes_them(spark):
+    library = load(PATH)
+    texts = ["A <|ENDOFTEXT|> B", "x<|EndOfText|>.", "<|endoftext|>! Yes<|STARTOFTEXT|>no.", "<|EndOfText|>"]
+    found = bpe.decoded_documents(docs(spark, list(enumerate(texts))), PATH).orderBy("doc_id").collect()
+    assert [r["ids"] for r in found] == [expected_ids(text) for text in texts]
+    assert [r["decoded"] for r in found] == [
+        library.decode(expected_ids(text), skip_special_tokens=False) for text in texts
+    ]
+
+
 def test_decoded_documents_are_texts(spark):
     library = load(PATH)
     rows = bpe.decoded_documents(docs(spark, ODD), PATH).where("doc_id = 9").collect()
