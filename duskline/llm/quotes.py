@@ -5,7 +5,8 @@ marks count. The lines of a level are one quotation; its sentences, normalised a
 hashed, are its passages. A passage is joined to the first message that says it: in
 the same conversation, or else in any conversation that comes before. The
 message that holds most of the quotation by length is the one it answers. Messages
-that quote another conversation move into its thread, behind what they answer.
+that quote another conversation move into its thread, behind what they answer, and
+take along those that answer them.
 
 Only DataFrame functions are used. Originals are reduced to one per passage before
 the join, so a passage that a third of all messages say or quote is one row there.
@@ -130,14 +131,15 @@ def quotation_links(parsed: DataFrame) -> DataFrame:
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """``conv_id, turn, thread`` of messages that moved to the conversation they answer.
+    """``conv_id, turn, thread`` of messages that answer another.
 
-    Pointers are doubled until none leads further. A parent comes before its child in
-    ``conv_id``, so there is no circle.
+    The thread is the conversation of the first message of the chain, so a message goes
+    with the one it answers also inside its own conversation. Pointers are doubled until
+    none leads further. A parent comes before its child in ``conv_id`` and ``turn``, so
+    there is no circle.
     """
-    moved = links.where(F.col("parent_conv_id") != F.col("conv_id"))
     at = saved(
-        moved.select(
+        links.select(
             "conv_id",
             "turn",
             F.col("parent_conv_id").alias("to_conv"),

@@ -170,6 +170,25 @@ def test_replies_are_linked_and_ordered(spark):
             assert place[parent] < place[child] and threads[parent] == threads[child]
 
 
+def test_answers_to_a_moved_message_move_with_it(spark):
+    rows = [
+        (1, 0, "user", "The first remark."),
+        (2, 0, "user", "> The first remark.\nAn answer to it."),
+        (2, 1, "user", "> An answer to it.\nAnother answer."),
+        (2, 2, "user", "> Another answer.\nThe third answer."),
+        (2, 3, "user", "By the way."),
+        (3, 0, "user", "> The third answer.\nFrom elsewhere."),
+        (3, 1, "user", "> From elsewhere.\nThe last."),
+    ]
+    found = quotes.conversations_in_reply_order(messages(spark, rows)).collect()
+    assert [(r["thread"], r["conv_id"], r["turn"]) for r in found] == [
+        (1, 1, 0), (1, 2, 0), (1, 2, 1), (1, 2, 2), (1, 3, 0), (1, 3, 1), (2, 2, 3)
+    ]
+    assert [(r["parent_conv_id"], r["parent_turn"]) for r in found if r["parent_turn"] is not None] == [
+        (1, 0), (2, 0), (2, 1), (2, 2), (3, 0)
+    ]
+
+
 def test_the_plan_has_no_python(spark):
     found = quotes.conversations_in_reply_order(messages(spark))
     text = found._jdf.queryExecution().executedPlan().toString()
