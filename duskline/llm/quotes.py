@@ -2,14 +2,13 @@
 
 A line that begins with quote marks belongs to a quotation, of the level that the
 marks count. The lines of a level are one quotation; its sentences, normalised and
-hashed, are its passages. A passage is joined to the first message that says it: in
-the same conversation, or else in any conversation that comes before. The
-message that holds most of the quotation by length is the one it answers. Messages
+hashed, are its passages. They are joined to the messages that say them: in the
+same conversation, or else in any conversation that comes before. The message that holds most of the quotation by length is the one it answers. Messages
 that quote another conversation move into its thread, behind what they answer, and
 take along those that answer them.
 
-Only DataFrame functions are used. Originals are reduced to one per passage before
-the join, so a passage that a third of all messages say or quote is one row there.
+Only DataFrame functions are used. A passage that many say is never joined with all of
+them; see ``candidates``.
 
 Defined cases: a null text is empty and a null role is ``unknown``; a message of
 quotations only has an empty text; a message whose quotations match nothing, or
@@ -20,12 +19,14 @@ message; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duskline.llm.common import dropped, saved, splittable
 
 MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
 ATTRIBUTION = r"(?i)^.{0,200}\b(wrote|writes|schrieb|écrit|escribió)\s*:\s*$"
+# Passages with more sayers go by the sets of them that messages hold, with equal results.
+FEW = 8
 SENTENCE_END = r"(?<=[.!?…])\s+"
 
 
@@ -99,21 +100,19 @@ def quotation_links(parsed: DataFrame) -> DataFrame:
         .select("conv_id", "turn", "level", F.col("p.hash").alias("hash"), F.col("p.size").alias("size"))
         .distinct()
     )
-    here = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("parent_turn"))
-    first = said.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    inside = (
-        quoted.join(splittable(here), ["conv_id", "hash"])
-        .where(F.col("parent_turn") < F.col("turn"))
-        .withColumn("parent_conv_id", F.col("conv_id"))
-    )
-    outside = (
-        quoted.join(splittable(first), "hash")
-        .where(F.col("first.conv_id") < F.col("conv_id"))
-        .withColumns({"parent_conv_id": F.col("first.conv_id"), "parent_turn": F.col("first.turn")})
-    )
-    names = ["conv_id", "turn", "level", "parent_conv_id", "parent_turn", "size"]
-    found = inside.select(names).unionByName(outside.select(names))
-    votes = found.groupBy(names[:-1]).agg(F.sum("size").alias("size"))
+    quoted = saved(quoted, "quoted")
+    wanted = splittable(quoted.select("hash").distinct())
+    said = saved(said.distinct().join(wanted, "hash", "left_semi").select("conv_id", "turn", "hash"), "said")
+    found = candidates(quoted, said).join(quoted, ["conv_id", "turn", "level"])
+    holders = said.select(
+        F.col("conv_id").alias("parent_conv_id"), F.col("turn").alias("parent_turn"), "hash"
+    )
+    names = ["conv_id", "turn", "level", "parent_conv_id", "parent_turn"]
+    votes = (
+        found.join(splittable(holders), ["parent_conv_id", "parent_turn", "hash"])
+        .groupBy(names)
+        .agg(F.sum("size").alias("size"))
+    )
     # Own conversation first, then the lowest level, the most text, the earliest message.
     rank = F.struct(
         (F.col("parent_conv_id") != F.col("conv_id")).alias("away"),
@@ -130,6 +129,71 @@ def quotation_links(parsed: DataFrame) -> DataFrame:
     )
 
 
+def candidates(quoted: DataFrame, said: DataFrame) -> DataFrame:
+    """``conv_id, turn, level, parent_conv_id, parent_turn``: messages before a quotation, the best among them.
+
+    A passage counts once within its conversation and once among all. One that few say
+    leads to all who say it. Of the messages that share only common passages with a
+    quotation, those that hold the same ones are one row, their earliest; of these rows
+    only those stay that hold more than every earlier one. What else a candidate
+    holds can only raise it, so no message that wins is left out.
+    """
+
+    def keyed(rows: DataFrame, *more: str) -> DataFrame:
+        inside = rows.select(
+            F.lit(False).alias("away"), F.xxhash64("conv_id", "hash").alias("key"), "conv_id", "turn", *more
+        )
+        return inside.unionByName(
+            rows.select(F.lit(True).alias("away"), F.col("hash").alias("key"), "conv_id", "turn", *more)
+        )
+
+    def sets(rows: DataFrame, passage: Column, *names: str) -> DataFrame:
+        return rows.groupBy("away", *names).agg(F.sort_array(F.collect_set(passage)).alias("held"))
+
+    before = F.when(F.col("away"), F.col("parent_conv_id") < F.col("conv_id")).otherwise(
+        (F.col("parent_conv_id") == F.col("conv_id")) & (F.col("parent_turn") < F.col("turn"))
+    )
+    names = ["conv_id", "turn", "level", "parent_conv_id", "parent_turn"]
+    asked, sayers = keyed(quoted, "level", "size"), keyed(said)
+    counts = saved(sayers.groupBy("away", "key").agg((F.count(F.lit(1)) > FEW).alias("common")), "sayers")
+    keys = ["away", "key"]
+    few = splittable(counts.where(~F.col("common")).select(keys))
+    common = splittable(counts.where("common").select(keys))
+
+    parents = sayers.select(
+        *keys, F.col("conv_id").alias("parent_conv_id"), F.col("turn").alias("parent_turn")
+    )
+    rare = asked.join(splittable(parents.join(few, keys, "left_semi")), keys).where(before).select(names)
+
+    holders = (
+        sets(sayers.join(common, keys, "left_semi"), F.col("key"), "conv_id", "turn")
+        .groupBy("away", "held")
+        .agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    )
+    sized = F.struct("key", "size")
+    of_quotation = sets(asked.join(common, keys, "left_semi"), sized, "conv_id", "turn", "level")
+    of_quotation = saved(of_quotation.withColumn("set", F.sha2(F.to_json("held"), 256)), "common")
+    distinct = of_quotation.groupBy("away", "set").agg(F.first("held").alias("held"))
+    parts = distinct.select("away", "set", F.explode("held").alias("p")).select(
+        "away", "set", F.col("p.key").alias("key"), F.col("p.size").alias("size")
+    )
+    held = holders.select("away", "first", F.explode("held").alias("key"))
+    shared = (
+        parts.join(splittable(held), keys)
+        .groupBy("away", "set", "first")
+        .agg(F.sum("size").alias("shared"))
+    )
+    earlier = Window.partitionBy("away", "set").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    best = shared.withColumn("most", F.max("shared").over(earlier)).where(
+        F.col("most").isNull() | (F.col("shared") > F.col("most"))
+    )
+    best = best.select(
+        "away", "set", F.col("first.conv_id").alias("parent_conv_id"), F.col("first.turn").alias("parent_turn")
+    )
+    frequent = of_quotation.join(splittable(best), ["away", "set"]).where(before).select(names)
+    return rare.unionByName(frequent).distinct()
+
+
 def threads(links: DataFrame) -> DataFrame:
     """``conv_id, turn, thread`` of messages that answer another.
 

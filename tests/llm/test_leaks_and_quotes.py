@@ -189,6 +189,44 @@ def test_answers_to_a_moved_message_move_with_it(spark):
     ]
 
 
+def test_the_message_that_holds_most_of_a_quotation_wins(spark, monkeypatch):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    parts = ["Thanks for the update.", "The server is down.", "Yes.", "It works again.", "See you then."]
+    rows = [
+        (1, 0, "user", "Thanks for the update."),
+        (2, 0, "user", "Thanks for the update. The server is down."),
+        (3, 0, "user", "> Thanks for the update. The server is down."),
+    ]
+    for conv, turn in itertools.product(range(4, 34), range(3)):
+        own = " ".join(rng.sample(parts, rng.randint(0, 3)))
+        quoted = " ".join(rng.sample(parts, rng.randint(1, 3)))
+        rows.append((conv, turn, "user", f"> {quoted}\n{own}" if rng.random() < 0.4 else own))
+
+    def split(text):
+        return {p for p in parts if p in text}
+
+    said = {(c, t): split("\n".join(x for x in text.split("\n") if x[:1] != ">")) for c, t, _, text in rows}
+    wanted = {}
+    for conv, turn, _, text in rows:
+        if text[:1] == ">":
+            quoted = split(text.split("\n")[0])
+            ranked = [
+                (c != conv, -sum(map(len, quoted & held)), c, t)
+                for (c, t), held in said.items()
+                if quoted & held and (c < conv or (c == conv and t < turn))
+            ]
+            if ranked:
+                wanted[conv, turn] = min(ranked)[2:]
+    assert wanted[3, 0] == (2, 0)
+    for few in (1, quotes.FEW, 1000):
+        monkeypatch.setattr(quotes, "FEW", few)
+        links = quotes.quotation_links(quotes.parsed_messages(messages(spark, rows))).collect()
+        assert {(r[0], r[1]): (r[2], r[3]) for r in links} == wanted
+
+
 def test_the_plan_has_no_python(spark):
     found = quotes.conversations_in_reply_order(messages(spark))
     text = found._jdf.queryExecution().executedPlan().toString()
