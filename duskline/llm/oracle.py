@@ -161,9 +161,70 @@ LEFT JOIN linked l ON l.conv_id = p.conv_id AND l.turn = p.turn
 LEFT JOIN homes ON homes.conv_id = p.conv_id AND homes.turn = p.turn
 """
 
+SPELLING = rf"""
+WITH RECURSIVE bits AS (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)
+),
+crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM bits),
+said AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), {LETTERS}) AS run FROM documents
+),
+runs AS (SELECT doc_id, run, count(*) AS n FROM said WHERE length(run) >= 7 GROUP BY ALL),
+coded AS (
+  SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS code FROM runs
+),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+           list_concat([4294967295], list_transform(range(0, length(code) // 2),
+             lambda i: CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT))),
+           lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS h
+  FROM coded, crc
+),
+cut AS (
+  SELECT n, CASE WHEN h % 31 = 0
+              THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word
+  FROM hashed
+),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+),
+less AS MATERIALIZED (
+  SELECT word, i, word[1:i - 1] || word[i + 1:] AS rest
+  FROM words, unnest(range(1, length(word) + 1)) AS r(i)
+),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b USING (i, rest) WHERE a.word <> b.word
+  UNION
+  SELECT a.word, a.rest FROM less a JOIN words b ON b.word = a.rest
+  UNION
+  SELECT a.rest, a.word FROM less a JOIN words b ON b.word = a.rest
+),
+about AS (
+  SELECT l.word, l.n, count(*) AS n_near, min({{'n': -r.n, 'word': r.word}}) AS best
+  FROM near JOIN words l ON l.word = near.word JOIN words r ON r.word = near.other GROUP BY ALL
+),
+formed AS MATERIALIZED (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN -best.n >= 10 * words.n THEN best.word END AS form,
+         CASE WHEN -best.n >= 10 * words.n THEN -best.n END AS form_n
+  FROM words LEFT JOIN about USING (word)
+),
+steps(word, root) AS (
+  SELECT word, word FROM formed
+  UNION ALL
+  SELECT steps.word, form FROM steps JOIN formed ON formed.word = steps.root WHERE form IS NOT NULL
+)
+SELECT f.word, f.form, steps.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN steps USING (word) JOIN formed last ON last.word = steps.root
+WHERE last.form IS NULL
+"""
+
 ORACLE: dict[str, str] = {
     "op3_repeats": REPEATS,
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op5_embeddings": EMBEDDINGS,
     "op7_quotes": QUOTES,
+    "op13_spelling": SPELLING,
 }

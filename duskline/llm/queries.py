@@ -16,6 +16,7 @@ from duskline.llm import (
     quality,
     quotes,
     repeats,
+    spelling,
     token_files,
     toxicity,
 )
@@ -71,6 +72,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
@@ -82,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op13_spelling": op13_spelling,
 }
