@@ -161,6 +161,31 @@ LEFT JOIN linked l ON l.conv_id = p.conv_id AND l.turn = p.turn
 LEFT JOIN homes ON homes.conv_id = p.conv_id AND homes.turn = p.turn
 """
 
+HARD_NEGATIVES = """
+WITH good AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+         CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM good a JOIN good r ON len(a.v) = len(r.v) AND a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id,
+       positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
 SPELLING = rf"""
 WITH RECURSIVE bits AS (
   SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
@@ -226,5 +251,6 @@ ORACLE: dict[str, str] = {
     "op4_near_duplicates": NEAR_DUPLICATES,
     "op5_embeddings": EMBEDDINGS,
     "op7_quotes": QUOTES,
+    "op11_negatives": HARD_NEGATIVES,
     "op13_spelling": SPELLING,
 }

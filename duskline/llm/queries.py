@@ -13,6 +13,7 @@ from duskline.llm import (
     embeddings,
     language,
     near_duplicates,
+    negatives,
     quality,
     quotes,
     repeats,
@@ -72,6 +73,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(documents(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
@@ -87,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_negatives": op11_negatives,
     "op13_spelling": op13_spelling,
 }
