@@ -18,6 +18,7 @@ from duskline.llm import (
     quotes,
     repeats,
     spelling,
+    suffix_tree,
     token_files,
     toxicity,
 )
@@ -77,6 +78,10 @@ def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(documents(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(documents(spark, sf_dir))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
@@ -93,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
     "op11_negatives": op11_negatives,
+    "op12_suffix_tree": op12_suffix_tree,
     "op13_spelling": op13_spelling,
 }
