@@ -367,20 +367,27 @@ def _stage_completeness() -> str:
 
 ALL_CITIES = "'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'"
 FEWER_CITIES = "'AMERICA', 'ASIA', 'MIDDLE EAST'"
+LATER_CITIES = "'ASIA', 'EUROPE', 'MIDDLE EAST'"
 
 
-def _fit(by_city: bool, query: str, cities: str = ALL_CITIES, where: str = "TRUE") -> str:
-    parts = _with(STOPS, SUN, newton.model(cities, by_city, where), query)
+def _fit(by_city: bool, query: str, cities: str = ALL_CITIES, where: str = "TRUE", **parting) -> str:
+    parts = _with(STOPS, SUN, newton.model(cities, by_city, where, **parting), query)
     return parts.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 COEFFICIENTS = f"""
 SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error,
-       round(z, 6) AS z, round({newton.P_VALUE}, 6) AS p
-FROM estimates WHERE term = 'is_dark' OR term LIKE 'city%'
+       round(z, 6) AS z, round({newton.P_VALUE}, 6) AS p, 'fitted' AS status
+FROM estimates
 """
 
 
+def _separated(found: str, separated: str, fit: str) -> str:
+    """The fit without the separated term and the stops it parts, and that term without numbers."""
+    return f"""SELECT '{found}' AS found, * FROM ({fit})
+UNION ALL SELECT '{found}', '{separated}', NULL, NULL, NULL, NULL, 'separated'"""
+
+
 ORACLE: dict[str, str] = {
     "stage_completeness": _stage_completeness(),
     "column_inventory": INVENTORY,
@@ -585,13 +592,10 @@ ORACLE: dict[str, str] = {
         SUN,
         "used AS (SELECT * FROM vod)",
         newton.ENDS,
-        f"""SELECT DISTINCT at_minute AS minute, {", ".join(
-            f"round({name}, 6) AS {name}"
-            for name in ["scaled", *[f"bend_{i}" for i in range(1, newton.INNER + 1)]]
-        )}
-        FROM (SELECT at_minute, {newton.spline_terms()}
-              FROM (SELECT at_minute, (at_minute - low) / (high - low) AS s, ends.*
-                    FROM used, ends))""",
+        newton.BASIS,
+        "SELECT at_minute AS minute, "
+        + ", ".join(f"round(z[{i}], 6) AS minute_{i}" for i in range(1, newton.INNER + 2))
+        + " FROM basis",
     ),
     "model_base": _fit(False, COEFFICIENTS),
     "model_city": _fit(True, COEFFICIENTS),
@@ -602,10 +606,21 @@ ORACLE: dict[str, str] = {
                CAST(n_dark AS BIGINT) AS n_dark, 6 AS spline_df, round(deviance, 6) AS deviance,
                CAST(n_rows - p.p AS BIGINT) AS df_residual,
                round(null_deviance, 6) AS null_deviance, CAST(n_rows - 1 AS BIGINT) AS df_null,
-               round(deviance + 2 * p.p, 6) AS aic, TRUE AS converged
-        FROM summary, p""",
+               round(deviance + 2 * p.p, 6) AS aic, converged
+        FROM summary, p, last_step""",
     ),
 }
+ORACLE["model_separated"] = " UNION ALL ".join(
+    [
+        _separated("city", "city_EUROPE", _fit(True, COEFFICIENTS, FEWER_CITIES, parted="city = 'EUROPE'")),
+        _separated("base", "city_AFRICA", _fit(True, COEFFICIENTS, LATER_CITIES, parted="city = 'AFRICA'")),
+        _separated(
+            "light",
+            "is_dark",
+            _fit(True, COEFFICIENTS, parted="(city = 'EUROPE') = is_dark", dark=False),
+        ),
+    ]
+)
 ORACLE["model_margins"] = _with(
     STOPS,
     SUN,

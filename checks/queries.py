@@ -53,6 +53,8 @@ FEWER = Study(
     points=views.POINTS,
 )
 
+MODEL_KEYS = ("city", "minute", "is_dark", "is_black")
+
 
 def _profile_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study_stops(views.stops(spark, sf_dir), PROFILE)
@@ -319,33 +321,44 @@ def spline_knots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spline_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The truncated powers from which the spline's columns are made."""
+    """The spline's columns the models are fitted on, at each minute that occurs."""
     data = model.dark_data(model_cells(spark, sf_dir))
-    powers = spline.truncated_powers(F.col("minute"), data.knots, data.low, data.high)
-    names = ["scaled", *[f"bend_{i}" for i in range(1, len(powers))]]
-    columns = [power.alias(name) for name, power in zip(names, powers)]
-    return _rounded(data.cells.select("minute", *columns).distinct())
-
-
-def _effects(fitted: model.DarkModel) -> DataFrame:
-    """What does not depend on the form of the spline: darkness and the cities."""
-    term = F.col("term")
-    return _rounded(fitted.coefficients.where((term == "is_dark") | term.startswith("city")))
+    columns = spline.spline_columns(F.col("minute"), data.knots, data.low, data.high)
+    named = [column.alias(f"minute_{i}") for i, column in enumerate(columns, start=1)]
+    return _rounded(data.cells.select("minute", *named).distinct())
 
 
 def model_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = model.dark_data(model_cells(spark, sf_dir))
-    return _effects(model.fit_dark_model(data))
+    return _rounded(model.fit_dark_model(data).coefficients)
 
 
 def model_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = model.dark_data(model_cells(spark, sf_dir))
-    return _effects(model.fit_dark_model(data, by_city=True))
+    return _rounded(model.fit_dark_model(data, by_city=True).coefficients)
 
 
 def model_city_fewer(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = model.dark_data(twilight.model_cells(_twilight(spark, sf_dir, FEWER), "n"))
-    return _effects(model.fit_dark_model(data, by_city=True))
+    return _rounded(model.fit_dark_model(data, by_city=True).coefficients)
+
+
+def model_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models by city where a city, the base, or light and cities together tell the races apart."""
+    cells = cut_lineage(model_cells(spark, sf_dir))
+    black, europe = F.col("is_black"), F.col("city") == "EUROPE"
+    races = {
+        "city": black | europe,
+        "base": black | (F.col("city") == "AFRICA"),
+        # Neither the dark nor any city has drivers of one race only.
+        "light": F.when(europe == F.col("is_dark"), europe).otherwise(black),
+    }
+    parts = []
+    for found, black in races.items():
+        data = model.dark_data(cells.withColumn("is_black", black).groupBy(*MODEL_KEYS).agg(F.sum("n").alias("n")))
+        fitted = model.fit_dark_model(data, by_city=True)
+        parts.append(fitted.coefficients.withColumn("found", F.lit(found)))
+    return _rounded(harmonize.union_shared(parts))
 
 
 def model_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,6 +442,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "model_base": model_base,
     "model_city": model_city,
     "model_city_fewer": model_city_fewer,
+    "model_separated": model_separated,
     "model_fit": model_fit,
     "model_estimates": model_estimates,
     "model_margins": model_margins,

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,14 +123,105 @@ def test_one_race_or_no_row_gives_null_estimates(spark):
         assert fitted.fit.first().n_rows == len(kept)
 
 
-def test_a_city_of_one_race_is_told_by_the_fit(spark):
-    rows = [("A", 1000 + i * 7 % 200, i % 2 == 1, i % 5 < 2, 1) for i in range(400)]
-    rows += [("B", 1000 + i * 7 % 200, i % 2 == 1, True, 1) for i in range(50)]
-    data = model.dark_data(spark.createDataFrame(rows, CELLS))
-    assert not model.fit_dark_model(data, by_city=True).fit.first().converged
+def cell_rows(counts):
+    """Cells of several minutes with so many Black and other drivers, by city and light."""
+    return [
+        (city, 1000 + 7 * i % 200, dark, black, n)
+        for (city, dark), both in counts.items()
+        for black, n in zip((True, False), both)
+        for i in range(40)
+        if n
+    ]
+
+
+def numbers(fitted):
+    return {r.term: (r.estimate, r.std_error) for r in fitted.coefficients.collect() if r.status == "fitted"}
+
+
+MIXED = {("A", False): (3, 5), ("A", True): (4, 3), ("C", False): (2, 7), ("C", True): (3, 6)}
+
+
+@pytest.mark.parametrize("city", ["0", "B"])
+def test_a_city_of_one_race_is_separated(spark, city):
+    """Also where it would be the base. The others are as without that city."""
+    one = {(city, False): (2, 0), (city, True): (9, 0)}
+    data = model.dark_data(spark.createDataFrame(cell_rows(MIXED | one), CELLS))
+    fitted = model.fit_dark_model(data, by_city=True)
+    status = {r.term: r.status for r in fitted.coefficients.collect()}
+    assert [t for t, s in status.items() if s != "fitted"] == [f"city_{city}"]
+    assert status[f"city_{city}"] == "separated" and "city_A" not in status
+    without = model.dark_data(spark.createDataFrame(cell_rows(MIXED), CELLS))
+    assert without.knots == data.knots
+    alone = model.fit_dark_model(without, by_city=True)
+    expected = numbers(alone)
+    assert numbers(fitted).keys() == expected.keys()
+    for term, pair in numbers(fitted).items():
+        assert pair == pytest.approx(expected[term], rel=1e-6)
+    fit, less = fitted.fit.first(), alone.fit.first()
+    assert fit.converged and fit.deviance == pytest.approx(less.deviance)
+    assert fit.df_residual == fit.n_rows - len(status)
+    shares = {r.fitted for r in model.fitted_cells(data, fitted).where(F.col("city") == city).collect()}
+    assert shares == {1.0}
     assert model.fit_dark_model(data).fit.first().converged
 
 
+def test_darkness_that_tells_the_races_apart_is_separated(spark):
+    """Neither light nor city has one race only, but together they part the races."""
+    counts = {("A", False): (3, 5), ("A", True): (4, 0), ("C", False): (0, 7), ("C", True): (3, 6)}
+    data = model.dark_data(spark.createDataFrame(cell_rows(counts), CELLS))
+    fitted = model.fit_dark_model(data, by_city=True)
+    status = {r.term: r.status for r in fitted.coefficients.collect()}
+    assert [t for t, s in status.items() if s != "fitted"] == ["is_dark"] and status["is_dark"] == "separated"
+    rest = {key: n for key, n in counts.items() if all(n)}
+    alone = numbers(model.fit_dark_model(model.dark_data(spark.createDataFrame(cell_rows(rest), CELLS)), by_city=True))
+    # What is left of one city is light and of the other dark.
+    alone["city_C"] = alone.pop("is_dark")
+    for term, pair in numbers(fitted).items():
+        assert pair == pytest.approx(alone[term], rel=1e-6)
+    shares = {(r.city, r.is_dark): r.fitted for r in model.fitted_cells(data, fitted).collect()}
+    assert shares[("A", True)] == 1.0 and shares[("C", False)] == 0.0
+    assert model.fit_dark_model(data).fit.first().converged
+
+
+def test_all_parted_leaves_no_rows(spark):
+    counts = {("A", False): (3, 0), ("A", True): (4, 0), ("C", False): (0, 7), ("C", True): (0, 6)}
+    data = model.dark_data(spark.createDataFrame(cell_rows(counts), CELLS))
+    fitted = model.fit_dark_model(data, by_city=True)
+    status = {r.term: r.status for r in fitted.coefficients.collect()}
+    assert status["city_C"] == "separated" and status["intercept"] == "no rows"
+
+
+def test_parted_cells_equal_a_search_over_all_directions():
+    """Every direction on a grid that lowers no Black cell, raises no other and moves no mixed one."""
+    rng = random.Random(2)
+    kinds = [(0, 0), (2, 0), (0, 2), (1, 3)]
+    grid = [x / 2 for x in range(-4, 5)]
+    for _ in range(400):
+        cities = [None] if rng.random() < 0.2 else ["A", "B", "C"][: rng.randint(1, 3)]
+        counts = {(city, dark): rng.choice(kinds) for city in cities for dark in (False, True)}
+        moved = set()
+        for step in (-1, 0, 1):
+            ways = []
+            for city in cities:
+                fine = []
+                for u in grid:
+                    at = {(city, False): u, (city, True): u + step}
+                    if all(
+                        not any(n) or v == 0 or (v > 0 and not n[1]) or (v < 0 and not n[0])
+                        for n, v in ((counts[key], v) for key, v in at.items())
+                    ):
+                        fine.append({key for key, v in at.items() if v and any(counts[key])})
+                ways.append(fine)
+            if all(ways):
+                moved |= {key for fine in ways for way in fine for key in way}
+        parted, gone, dark = model.parted_cells(counts)
+        assert set(parted) == moved, counts
+        left = {key for key, n in counts.items() if any(n)} - moved
+        assert gone == {city for city, _ in moved} - {city for city, _ in left}
+        if not dark:
+            assert all(black == bool(counts[key][0]) for key, black in parted.items())
+
+
 def test_a_term_that_depends_on_others_is_left_out(spark):
     """City B has the light stops and city A the dark ones: the city adds nothing."""
     rows = [
@@ -139,9 +232,10 @@ def test_a_term_that_depends_on_others_is_left_out(spark):
     )
     data = model.dark_data(cells)
     plain, by_city = (model.fit_dark_model(data, flag) for flag in (False, True))
-    expected = {r.term: tuple(r)[1:] for r in plain.coefficients.collect()}
+    expected = {r.term: tuple(r)[1:5] for r in plain.coefficients.collect()}
     found = {r.term: tuple(r)[1:] for r in by_city.coefficients.collect()}
-    assert found.pop("city_B") == (None,) * 4
+    assert found.pop("city_B") == (None,) * 4 + ("dependent",)
+    found = {term: row[:4] for term, row in found.items()}
     assert found.keys() == expected.keys()
     for term, numbers in found.items():
         assert numbers == pytest.approx(expected[term], rel=1e-6)
@@ -153,7 +247,7 @@ def test_no_rows_give_null_estimates(spark):
         [], "city string, minute int, is_dark boolean, is_black boolean, n long"
     )
     fitted = model.fit_dark_model(model.dark_data(empty), by_city=True)
-    assert [tuple(r)[1:] for r in fitted.coefficients.collect()] == [(None,) * 4] * 2
+    assert [tuple(r)[1:] for r in fitted.coefficients.collect()] == [(None,) * 4 + ("no rows",)] * 2
 
 
 def test_repeated_knots_lower_the_degrees_of_freedom(spark):
