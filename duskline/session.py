@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +24,14 @@ def local_session(name: str, cores: str = "8", **conf: str) -> SparkSession:
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def ready_workers(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package as the driver did.
+
+    A cluster gets the package through ``--py-files`` or its own installation.
+    """
+    environment = spark.sparkContext.environment
+    known = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if (root := str(Path(__file__).resolve().parents[1])) not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([*known, root])
