@@ -365,6 +365,27 @@ def _stage_completeness() -> str:
     return _with(STOPS, "\nUNION ALL ".join(parts))
 
 
+# Faults that are planted in the text files, by the stop's number.
+FAULTS = """
+numbered AS (SELECT *, CAST(raw_row_number AS BIGINT) AS number FROM stops),
+faults AS (
+  SELECT city, number, unnest(
+           CASE WHEN number % 233 = 0 OR number % 239 = 0 THEN ['fields']
+           ELSE list_filter([
+             CASE WHEN number % 211 = 0 THEN 'date' END,
+             CASE WHEN number % 223 = 0 THEN 'time' END,
+             CASE WHEN number % 227 = 0 THEN 'lat' END,
+             CASE WHEN number % 229 = 0 THEN 'subject_age' END], lambda x: x IS NOT NULL) END) AS found
+  FROM numbered
+),
+outcomes AS (
+  SELECT city, found FROM faults
+  UNION ALL
+  SELECT city, CASE WHEN number % 241 = 0 THEN 'good, with a line break' ELSE 'good' END
+  FROM numbered ANTI JOIN faults USING (city, number)
+)
+"""
+
 ALL_CITIES = "'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'"
 FEWER_CITIES = "'AMERICA', 'ASIA', 'MIDDLE EAST'"
 LATER_CITIES = "'ASIA', 'EUROPE', 'MIDDLE EAST'"
@@ -402,6 +423,16 @@ ORACLE: dict[str, str] = {
         )
         + " FROM stops WHERE date BETWEEN DATE '2014-03-01' AND DATE '2014-09-30' GROUP BY city",
     ),
+    "rejected_rows": _with(
+        STOPS, FAULTS, "SELECT city, found, count(*) AS rows FROM outcomes GROUP BY ALL"
+    ),
+    "replaced_city": _with(
+        STOPS,
+        """SELECT city, CAST(year(date) AS INT) AS year, count(*) AS rows FROM stops
+        WHERE city = 'MIDDLE EAST'
+           OR (city = 'ASIA' AND type = 'pedestrian' AND date < DATE '2014-07-01')
+        GROUP BY ALL""",
+    ),
     "parsed_stops": _with(
         STOPS,
         f"SELECT {', '.join(c for c in STOP_COLUMNS if c not in ('hour', 'weekday'))} FROM stops",

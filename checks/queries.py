@@ -25,7 +25,7 @@ from duskline.operators import (
     sunset,
     twilight,
 )
-from duskline.plans.jobs import study_stages, study_stops
+from duskline.plans.jobs import merge_stops, study_stages, study_stops
 from duskline.plans.study import Study
 from duskline.sources.lineage import cut_lineage, remove_folder, run_folder
 from duskline.sources.readers import read_cities, read_table, read_text_table
@@ -110,6 +110,31 @@ def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with planted faults and quoted line breaks merged: rows per city and fault, and the good ones."""
+    folder = run_folder(spark, "planted")
+    paths = views.write_planted_files(spark, sf_dir, f"{folder}/csv")
+    out, rejects = f"{folder}/merged", f"{folder}/rejects"
+    merge_stops(spark, paths, out, multi_line=True, rejects=rejects, most_rejected=0.05)
+    found = F.when(F.contains("outcome", F.lit("\n")), "good, with a line break").otherwise("good")
+    good = read_table(spark, out).select("city", found.alias("found"))
+    bad = read_table(spark, rejects).select("city", F.explode("reasons").alias("found"))
+    return _kept_rows(good.union(bad).groupBy("city", "found").agg(F.count(F.lit(1)).alias("rows")), folder)
+
+
+def replaced_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops per city and year after two cities are merged, and one again with fewer stops."""
+    folder = run_folder(spark, "replaced")
+    stops = views.raw_stops(spark, sf_dir).where(F.col("city").isin("ASIA", "MIDDLE EAST"))
+    write_table(stops, f"{folder}/all", ["city"], "csv")
+    write_table(stops.where("type = 'pedestrian' and date < '2014-07-01'"), f"{folder}/fewer", ["city"], "csv")
+    for kind, cities in (("all", ("ASIA", "MIDDLE EAST")), ("fewer", ("ASIA",))):
+        paths = {city: f"{folder}/{kind}/city={city}" for city in cities}
+        merge_stops(spark, paths, f"{folder}/merged", rebalance=False)
+    counts = read_table(spark, f"{folder}/merged").groupBy("city", "year")
+    return _kept_rows(counts.agg(F.count(F.lit(1)).alias("rows")), folder)
+
+
 def _kept_rows(df: DataFrame, folder: str) -> DataFrame:
     """A row per city or column, taken out of a folder of this run, which goes."""
     rows = df.collect()
@@ -391,6 +416,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "column_inventory": column_inventory,
     "harmonized_union": harmonized_union,
     "csv_files": csv_files,
+    "rejected_rows": rejected_rows,
+    "replaced_city": replaced_city,
     "census_files": census_files,
     "indexed_file": indexed_file,
     "parsed_stops": parsed_stops,

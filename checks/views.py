@@ -136,6 +136,47 @@ def raw_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# One stop in so many, by its number, has a text that is no date, time or number, too many or
+# too few fields, or a line break inside quotes.
+PLANTED = {
+    "date": (211, "2014-02-30"),
+    "time": (223, "25:99:00"),
+    "lat": (227, "north"),
+    "subject_age": (229, "forty"),
+    "outcome": (241, '"quoted\nbreak"'),
+}
+MORE_FIELDS, FEWER_FIELDS = 233, 239
+FILES_PER_CITY = 3
+
+
+def write_planted_files(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """The stops as text files with planted faults, several a city; the files of each city."""
+    raw = raw_stops(spark, sf_dir)
+    number = F.col("raw_row_number").cast("long")
+    names = [name for name in raw.columns if name != "city"]
+    fields = {
+        name: F.when(number % PLANTED[name][0] == 0, PLANTED[name][1]).otherwise(F.col(name))
+        if name in PLANTED
+        else F.col(name)
+        for name in names
+    }
+    whole = F.concat_ws(",", *fields.values())
+    fewer = F.concat_ws(",", *list(fields.values())[:3])
+    line = F.when(number % MORE_FIELDS == 0, F.concat(whole, F.lit(",1"))).when(
+        number % FEWER_FIELDS == 0, fewer
+    )
+    city = F.array_position(F.array(*map(F.lit, CITIES)), F.col("city")).cast("int")
+    part = (number % FILES_PER_CITY).cast("int")
+    rows = raw.select(
+        city.alias("place"), part.alias("part"), F.lit(1).alias("row"), F.coalesce(line, whole).alias("value")
+    )
+    heads = [(i, part, 0, ",".join(names)) for i in range(1, len(CITIES) + 1) for part in range(FILES_PER_CITY)]
+    both = rows.union(spark.createDataFrame(heads, rows.schema)).repartition("place", "part")
+    ordered = both.sortWithinPartitions("place", "part", "row").drop("row")
+    ordered.write.partitionBy("place", "part").text(folder)
+    return {city: f"{folder}/place={i}/part=*" for i, city in enumerate(CITIES, start=1)}
+
+
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Three tables with differing columns as three cities' text tables."""
     orders = table(spark, sf_dir, "orders").select(

@@ -7,16 +7,20 @@ from pyspark.sql import Column, functions as F
 from duskline.functions.text import read_as
 
 
-def second_of_day(time: Column) -> Column:
-    """Seconds since midnight of an ``HH:MM:SS`` text; null when it is not a time.
+def second_of_day(time: Column, strict: bool = True) -> Column:
+    """Seconds since midnight of an ``HH:MM:SS`` text.
 
-    The text is put behind a fixed date so that Spark's plain timestamp cast can
-    read it, which needs no pattern formatter and no session time zone. The parsed
-    stamp is used once, so it is not parsed again where a filter copies it.
+    A text that is no time stops the job; with ``strict=False`` it becomes null. The text is put
+    behind a fixed date so that Spark's plain timestamp cast can read it, which needs no
+    pattern formatter and no session time zone.
     """
     midnight = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     text = F.when(time.contains(":"), F.concat(F.lit("1970-01-01 "), time))
-    return F.timestamp_diff("SECOND", midnight, text.try_cast("timestamp_ntz")).cast("int")
+    value = F.timestamp_diff("SECOND", midnight, text.try_cast("timestamp_ntz")).cast("int")
+    if not strict:
+        return value
+    bad = F.raise_error(F.concat(F.lit("not a time: "), time)).cast("int")
+    return F.when(time.isNull() | value.isNotNull(), value).otherwise(bad)
 
 
 def hour_of(seconds: Column) -> Column:

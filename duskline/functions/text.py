@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from duskline.fixed import CENSUS_HEADING, NULL_TOKENS
 
 
-def blank_to_null(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
-    """Turn every missing-value token in a text column into a null."""
+def blank_to_null(
+    df: DataFrame, tokens: Sequence[str] = NULL_TOKENS, but: Sequence[str] = ()
+) -> DataFrame:
+    """Turn every missing-value token in a text column into a null, but in the columns of ``but``."""
     listed = ", ".join("'" + token.replace("\\", "\\\\").replace("'", "\\'") + "'" for token in tokens)
     columns = []
     for field in df.schema.fields:
         name = "`" + field.name.replace("`", "``") + "`"
-        is_text = isinstance(field.dataType, T.StringType)
+        is_text = isinstance(field.dataType, T.StringType) and field.name not in but
         columns.append(f"if({name} IN ({listed}), NULL, {name}) AS {name}" if is_text else name)
     return df.selectExpr(*columns)
 

@@ -14,10 +14,17 @@ def column_inventory(
     spark: SparkSession, sources: Mapping[str, DataFrame], hidden: str = "raw"
 ) -> DataFrame:
     """Which sources hold each column, in source order; reads schemas only."""
+    return inventory_of_columns(spark, {source: df.columns for source, df in sources.items()}, hidden)
+
+
+def inventory_of_columns(
+    spark: SparkSession, columns: Mapping[str, Sequence[str]], hidden: str = "raw"
+) -> DataFrame:
+    """The same from the columns of each source."""
     cells = [
         (name, position, source)
-        for position, (source, df) in enumerate(sources.items())
-        for name in df.columns
+        for position, (source, names) in enumerate(columns.items())
+        for name in names
     ]
     listed = spark.createDataFrame(cells, "column_name string, position int, source string")
     return _sources_per_column(listed.where(~F.contains("column_name", F.lit(hidden))))
@@ -82,3 +89,8 @@ def merge_cities(
     """One text table of all cities; the row number of each file is left out."""
     tagged = [tag_city(add_missing_columns(df, wanted), city) for city, df in sources.items()]
     return union_shared(tagged).drop(ROW_NUMBER)
+
+
+def with_columns_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with just these columns; those it lacks are null."""
+    return add_missing_columns(df, columns).select(*[F.col(f"`{name}`") for name in columns])

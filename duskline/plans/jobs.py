@@ -6,7 +6,6 @@ again: it replaces its own output and nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -26,16 +25,26 @@ from duskline.operators import (
     twilight,
 )
 from duskline.plans.study import Study
-from duskline.sources.readers import read_cities, read_table, read_text_table
-from duskline.sources.writers import write_table
-
+from duskline.sources.lineage import remove_folder, run_folder
+from duskline.sources.readers import (
+    MALFORMED,
+    SOURCE_FILE,
+    Paths,
+    city_columns,
+    read_cities,
+    read_table,
+    read_text_table,
+)
+from duskline.sources.writers import changed_sources, replace_parts, table_columns, write_table
 
-Paths = Mapping[str, str | Sequence[str]]
+# Columns of the merged table that are not read from the files.
+TYPED_COLUMNS = ("second_of_day", "year")
 
 
 def inventory_table(spark: SparkSession, paths: Paths, out: str) -> None:
-    """Which city files hold which column; reads headers only."""
-    write_table(harmonize.column_inventory(spark, read_cities(spark, paths)), out)
+    """Which city files hold which column; reads headers only, all of them in one job."""
+    columns = city_columns(spark, paths)
+    write_table(harmonize.inventory_of_columns(spark, columns), out)
 
 
 def merge_stops(
@@ -44,15 +53,59 @@ def merge_stops(
     out: str,
     rebalance: bool = True,
     multi_line: bool = False,
-) -> None:
+    rejects: str | None = None,
+    most_rejected: float = 0.01,
+) -> list[str]:
     """City files to one typed table, partitioned so that a study reads its year only.
 
+    The parts of the given cities are replaced, those of other cities stay as they are. A city whose
+    files are those of its last run is left out; the cities that were read are given back. Where the
+    table is there already, its columns stay: a city's further columns are left out, and
+    those it lacks are null.
+
+    A row that cannot be read stops the job. With ``rejects``, the path of a second table, such rows go there
+    with their file, text and reasons, and the job stops before the merged table is touched
+    if their share is larger than ``most_rejected``.
+
     ``rebalance`` keeps the number of files small whatever the order of the rows; leave
     it out where every file is in order of time.
     """
-    merged = clean.typed_stops(harmonize.merge_cities(read_cities(spark, paths, multi_line)))
-    dated = merged.withColumn("year", F.year("date"))
-    write_table(dated, out, ["city", "year"], rebalance=rebalance)
+    changed = changed_sources(spark, out, "city", paths)
+    if rejects:
+        again = changed_sources(spark, rejects, "city", paths)
+        changed = [city for city in paths if city in changed or city in again]
+    if not changed:
+        return []
+    read = {city: paths[city] for city in changed}
+    folder = run_folder(spark, "merge")
+    try:
+        cities = read_cities(spark, read, multi_line, not rejects, f"{folder}/lines")
+        merged = harmonize.merge_cities(cities)
+        if known := table_columns(spark, out):
+            kept = [c for c in (MALFORMED, SOURCE_FILE) if rejects]
+            merged = harmonize.with_columns_of(merged, [c for c in known if c not in TYPED_COLUMNS] + kept)
+        typed = clean.checked_stops(merged) if rejects else clean.typed_stops(merged)
+        write_table(typed.withColumn("year", F.year("date")), f"{folder}/staged")
+        staged = read_table(spark, f"{folder}/staged")
+        if rejects:
+            _set_apart(staged, rejects, read, most_rejected)
+            staged = clean.good_stops(staged)
+        replace_parts(staged, out, ["city", "year"], read, rebalance)
+    finally:
+        remove_folder(spark, folder)
+    return changed
+
+
+def _set_apart(checked: DataFrame, rejects: str, paths: Paths, most: float) -> None:
+    """Write the rows that cannot be read; too many of them stop the job."""
+    count = checked.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.size("reasons") > 0).alias("bad")
+    ).first()
+    replace_parts(clean.rejected_rows(checked), rejects, ["city"], paths)
+    if count["bad"] > most * count["rows"]:
+        raise ValueError(
+            f"{count['bad']} of {count['rows']} rows cannot be read, more than {most:.2%}; they are in {rejects}"
+        )
 
 
 def census_table(
@@ -162,17 +215,22 @@ def twilight_study(spark: SparkSession, out: str, study: Study) -> None:
     races = profile.relative_frequency(cells, "subject_race", "n")
     write_table(races, f"{out}/vehicular_race_share")
     write_table(profile.frequency_by_key(cells, "city", "n"), f"{out}/vehicular_counts")
-    stops = filters.of_type(read_table(spark, f"{out}/clean_stops"))
-    stops = filters.in_cities(stops, study.twilight_cities)
     evenings = filters.in_cities(cells, study.twilight_cities)
     write_table(sunset.solar_table(evenings, study.twilight_points), f"{out}/solar_table")
     days = read_table(spark, f"{out}/solar_table")
     write_table(sunset.dusk_extremes(days), f"{out}/dusk_extremes")
 
-    lit = twilight.with_light(twilight.evening_cells(stops), days)
-    counts = profile.stage_counts(lit, twilight.twilight_stages(), "n")
-    write_table(counts, f"{out}/twilight_stages")
-    kept = twilight.twilight_stops(stops, days)
+    # The only scan of the stops and their only join: what follows reads the evenings.
+    stops = filters.in_cities(filters.of_type(read_table(spark, f"{out}/clean_stops")), study.twilight_cities)
+    stages = twilight.twilight_stages()
+    lit = twilight.with_light(stops, days).where(stages["between twilights"])
+    write_table(lit, f"{out}/evening_stops")
+    evening = read_table(spark, f"{out}/evening_stops")
+    counts = profile.stage_counts(evening, stages)
+    vehicular = evenings.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    first = F.when(F.col("step") == 0, F.lit(vehicular)).otherwise(F.col("rows"))
+    write_table(counts.withColumn("rows", first), f"{out}/twilight_stages")
+    kept = evening.where(stages["not ambiguous"] & stages["two races"])
     write_table(kept, f"{out}/twilight_stops")
     kept = read_table(spark, f"{out}/twilight_stops")
     write_table(profile.frequency_by_key(kept, "city"), f"{out}/twilight_counts")

@@ -37,6 +37,7 @@ def read_text_table(
     multi_line: bool = False,
     strict: bool = True,
     header: Sequence[str | None] | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """A CSV with a header, all columns text, missing-value tokens as null.
 
@@ -46,15 +47,15 @@ def read_text_table(
 
     Nothing is inferred, so only the header is read before the query runs; ``header`` gives its
     fields where they are known. With several files, a file whose header differs stops the job.
-    ``multi_line`` accepts line breaks inside quotes. The lines are then numbered first and kept in the shared
-    folder (see ``quoted_rows``), and a large file is still read by many tasks.
+    ``multi_line`` accepts line breaks inside quotes. The lines are then numbered first and kept in ``folder``
+    (see ``quoted_rows``), and a large file is still read by many tasks.
     """
     files = [path] if isinstance(path, str) else list(path)
     if header is None:
         header = file_headers(spark, {"": files})[""]
     names = column_names(header)
     if multi_line:
-        table = _quoted_table(spark, files, header, names)
+        table = _quoted_table(spark, files, header, names, folder)
     else:
         table = _plain_table(spark, files, header, names)
     if strict:
@@ -63,7 +64,7 @@ def read_text_table(
         bad = _stopped(F.concat(F.lit("malformed row: "), F.coalesce(shown, F.col(MALFORMED))))
         kept = F.when(F.col(MALFORMED).isNull(), True).otherwise(bad)
         table = table.where(kept).drop(MALFORMED, SOURCE_FILE)
-    return drop_index(blank_to_null(table))
+    return drop_index(blank_to_null(table, but=(MALFORMED, SOURCE_FILE)))
 
 
 def _plain_table(
@@ -83,9 +84,13 @@ def _plain_table(
 
 
 def _quoted_table(
-    spark: SparkSession, files: Sequence[str], header: Sequence[str | None], names: Sequence[str]
+    spark: SparkSession,
+    files: Sequence[str],
+    header: Sequence[str | None],
+    names: Sequence[str],
+    folder: str | None,
 ) -> DataFrame:
-    rows = quoted_rows(spark, files)
+    rows = quoted_rows(spark, files, folder)
     kinds = ", ".join("`" + name.replace("`", "``") + "` string" for name in [*names, MALFORMED])
     options = dict(CSV, mode="PERMISSIVE", columnNameOfCorruptRecord=MALFORMED)
     parsed = rows.select("file", "row", "text", F.from_csv("text", kinds, options).alias("r"))
@@ -102,16 +107,22 @@ def _stopped(told: Column) -> Column:
 
 
 def read_cities(
-    spark: SparkSession, paths: Paths, multi_line: bool = False, strict: bool = True
+    spark: SparkSession,
+    paths: Paths,
+    multi_line: bool = False,
+    strict: bool = True,
+    folder: str | None = None,
 ) -> dict[str, DataFrame]:
     """One text table per city; the columns may differ from city to city.
 
-    The headers of all cities are read in one job.
+    The headers of all cities are read in one job. With ``multi_line`` each city's lines are kept in a
+    folder below ``folder``, if that is given.
     """
     files = {city: [path] if isinstance(path, str) else list(path) for city, path in paths.items()}
     headers = file_headers(spark, files)
     return {
-        city: read_text_table(spark, files[city], multi_line, strict, headers[city]) for city in paths
+        city: read_text_table(spark, files[city], multi_line, strict, headers[city], folder and f"{folder}/{place}")
+        for place, city in enumerate(paths)
     }
 
 

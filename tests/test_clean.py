@@ -94,7 +94,7 @@ def test_strictness_does_not_depend_on_the_ansi_mode(spark):
 def test_clock_fields(spark):
     texts = ["18:31:59", "9:05:00", "00:00:00", "23:59:59", "N/A", "", "25:00:00", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(
-        clock.second_of_day(F.col("t")).alias("s")
+        clock.second_of_day(F.col("t"), strict=False).alias("s")
     )
     found = df.select(clock.hour_of(F.col("s")), clock.minute_of(F.col("s"))).collect()
     assert [tuple(r) for r in found] == [
@@ -109,6 +109,15 @@ def test_clock_fields(spark):
     ]
 
 
+@pytest.mark.parametrize("text", ["25:99:00", "18", "soon"])
+def test_a_text_that_is_no_time_stops_the_job(spark, text):
+    df = spark.createDataFrame([(text,), ("18:31:59",), (None,)], "t string")
+    with pytest.raises(Exception, match=f"not a time: {text}"):
+        df.select(clock.second_of_day(F.col("t"))).collect()
+    found = df.select(clock.second_of_day(F.col("t"), strict=False)).collect()
+    assert [r[0] for r in found] == [None, 66719, None]
+
+
 def test_weekday_starts_on_monday(spark):
     df = spark.createDataFrame([(day("2014-01-01"),), (day("2014-01-06"),)], "date date")
     assert [r[0] for r in df.select(clock.weekday(F.col("date"))).collect()] == [2, 0]

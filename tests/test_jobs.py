@@ -5,7 +5,7 @@ import random
 import pytest
 from conftest import plan, rows
 
-from duskline.operators import filters
+from duskline.operators import clean, filters
 from duskline.plans import jobs
 from duskline.plans.study import STUDY_2014, STUDY_2017
 from duskline.sources.readers import read_table
@@ -167,3 +167,108 @@ def test_no_shuffle_of_stops_before_the_twilight_filter(spark, folder):
     days = table(spark, folder, "2014/rates/solar_table")
     text = plan(twilight.twilight_stops(stops, days))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+HEAD = "raw_row_number,date,time,subject_age,subject_race,type,lat,lng"
+
+
+def city_file(path, lines, head=HEAD):
+    path.write_text("\n".join([head, *lines]) + "\n")
+    return str(path)
+
+
+def years(*numbers, city="A"):
+    return [f"{i},{year}-05-0{i % 9 + 1},18:0{i % 9}:00,3{i % 9},white,vehicular,1.5,2.5" for i, year in enumerate(numbers)]
+
+
+def names(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet") if "_manifest" not in p.parts}
+
+
+def test_one_city_and_year_are_replaced(spark, tmp_path):
+    out = tmp_path / "merged"
+    a, b = tmp_path / "a.csv", tmp_path / "b.csv"
+    paths = {"A": city_file(a, years(2014, 2014, 2015)), "B C": city_file(b, years(2014, 2016))}
+    assert jobs.merge_stops(spark, paths, str(out)) == ["A", "B C"]
+    before = names(out)
+    assert jobs.merge_stops(spark, paths, str(out)) == []
+    assert names(out) == before
+
+    # The city has no stop of 2015 any more, one of 2017, and a column the table does not have.
+    city_file(a, [row + ",7" for row in years(2014, 2017)], HEAD + ",beat")
+    assert jobs.merge_stops(spark, paths, str(out)) == ["A"]
+    after = names(out)
+    others = {name for name in before if not name.startswith("city=A/")}
+    assert others and all(after[name] == before[name] for name in others)
+    found = rows(read_table(spark, str(out)).groupBy("city", "year").count(), "city", "year")
+    assert found == [("A", 2014, 1), ("A", 2017, 1), ("B C", 2014, 1), ("B C", 2016, 1)]
+    assert "beat" not in read_table(spark, str(out)).columns
+
+
+def test_a_half_finished_run_is_done_again(spark, tmp_path):
+    out = tmp_path / "merged"
+    paths = {"A": city_file(tmp_path / "a.csv", years(2014, 2015)), "B": city_file(tmp_path / "b.csv", years(2014))}
+    jobs.merge_stops(spark, paths, str(out))
+    before = names(out)
+    lost = next((out / "city=A" / "year=2015").glob("*.parquet"))
+    lost.unlink()
+    assert jobs.merge_stops(spark, paths, str(out)) == ["A"]
+    assert read_table(spark, str(out)).count() == 3
+    assert {n: t for n, t in names(out).items() if "city=B" in n} == {n: t for n, t in before.items() if "city=B" in n}
+
+
+BAD = [
+    "90,2014-02-30,18:00:00,30,white,vehicular,1,2",
+    "91,2014-02-03,25:99:00,thirty,white,vehicular,1,2",
+    "92,2014-02-03,18:00:00,30,white,vehicular,north,2",
+    "93,2014-02-03,18:00:00,30,white,vehicular,1,2,3",
+    "NA",
+]
+
+
+def test_rows_that_cannot_be_read_are_set_apart(spark, tmp_path):
+    paths = {"A": city_file(tmp_path / "a.csv", years(*[2014] * 20) + BAD), "B": city_file(tmp_path / "b.csv", years(2014))}
+    out, rejects = str(tmp_path / "merged"), str(tmp_path / "rejects")
+    with pytest.raises(ValueError, match="5 of 26 rows cannot be read"):
+        jobs.merge_stops(spark, paths, out, rejects=rejects)
+    assert not (tmp_path / "merged").exists()
+    assert jobs.merge_stops(spark, paths, out, rejects=rejects, most_rejected=0.2) == ["A", "B"]
+    merged = read_table(spark, out)
+    assert merged.count() == 21 and merged.where("second_of_day is null").count() == 0
+    found = read_table(spark, rejects).collect()
+    told = {r.row_text: (r.city, r.file.rsplit("/")[-1], r.reasons) for r in found}
+    assert told == {
+        "2014-02-30,18:00:00,30,white,vehicular,1,2,,,,": ("A", "a.csv", ["date"]),
+        "2014-02-03,25:99:00,thirty,white,vehicular,1,2,,,,": ("A", "a.csv", ["time", "subject_age"]),
+        "2014-02-03,18:00:00,30,white,vehicular,north,2,,,,": ("A", "a.csv", ["lat"]),
+        BAD[3]: ("A", "a.csv", ["fields"]),
+        BAD[4]: ("A", "a.csv", ["fields"]),
+    }
+    city_file(tmp_path / "a.csv", years(*[2014] * 20))
+    assert jobs.merge_stops(spark, paths, out, rejects=rejects) == ["A"]
+    assert names(tmp_path / "rejects") == {}
+
+
+@pytest.mark.parametrize("bad", BAD)
+def test_without_rejects_a_bad_row_stops_the_job(spark, tmp_path, bad):
+    paths = {"A": city_file(tmp_path / "a.csv", years(2014) + [bad])}
+    with pytest.raises(Exception, match="not a|malformed"):
+        jobs.merge_stops(spark, paths, str(tmp_path / "merged"))
+    assert not (tmp_path / "merged").exists()
+
+
+def test_the_twilight_job_scans_the_clean_stops_once(spark, folder, monkeypatch, tmp_path):
+    scans = []
+    write = jobs.write_table
+
+    def watched(df, path, *args, **options):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        places = [f.rsplit("/rates/")[-1].split("/")[0] for f in df.inputFiles()]
+        scans.append((path.rsplit("/")[-1], plan.count("Relation"), "clean_stops" in places))
+        return write(df, path, *args, **options)
+
+    monkeypatch.setattr(jobs, "write_table", watched)
+    jobs.twilight_study(spark, f"{folder}/2014/rates", STUDY_2014)
+    assert [name for name, _, stops in scans if stops] == ["evening_stops"]
+    # The stops and the solar table, which is read for the dusk of a day and its bounds.
+    assert next(relations for name, relations, _ in scans if name == "evening_stops") == 3

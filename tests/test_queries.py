@@ -7,7 +7,7 @@ from checks.oracle import ORACLE
 from checks.queries import QUERIES
 
 # They write files or fit a model while the frame is built.
-EAGER = {"csv_files", "census_files", "indexed_file", "spline_basis"}
+EAGER = {"csv_files", "rejected_rows", "replaced_city", "census_files", "indexed_file", "spline_basis"}
 EAGER |= {name for name in QUERIES if name.startswith("model_")} - {"model_cells"}
 # The parts of cities and light that are left need more stops than the smallest tables have.
 MORE_ROWS = {"model_separated"}
