@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 import uuid
 from pathlib import Path
 
@@ -32,6 +33,22 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_place(df: DataFrame, key: str, label: str, buckets: int = 0) -> DataFrame:
+    """Like ``saved``, but lying by ``key``: what is grouped with it by that key comes to it.
+
+    The table is written to the shared folder, in ``buckets`` or, if they are more, as many as a shuffle
+    has. The catalog's entry goes at once; the files stay.
+    """
+    spark = df.sparkSession
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"{label}_{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd").option("path", new_folder(spark, label))
+    writer.bucketBy(buckets, key).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished steps, as soon as nothing refers to them.
 
@@ -41,6 +58,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def settle(spark: SparkSession) -> None:
+    """Like ``release``, but for what was let go just now.
+
+    The driver's Python tells the JVM once a second which objects it no longer holds, and those that
+    hold others take two rounds; a collection before that keeps the shuffle files of the
+    step that has just ended.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.2)
+        release(spark)
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the files of a table made by ``saved`` that nothing reads any more."""
     spark = df.sparkSession

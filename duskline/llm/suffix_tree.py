@@ -11,9 +11,10 @@ the root stands the base, so every state sums to one over the known words and on
 Nothing is kept whole anywhere. Texts lie in blocks as places of hashed words. In each round a
 block asks, for its distinct sequences, for their counts in the whole corpus, and for its
 contexts for their gains; the keys are dealt out by hash, summed, and the sums go
-back to the blocks that asked. So a word, context or source that holds a third of all rows is one key per block,
+back to the blocks that asked, which stay where they lie. So a word, context or source that holds a third of all rows is one key per block,
 and what is moved grows with the corpus. A sequence is only asked for where its context was seen
-often enough, which the round before has told, as fewer can't be kept.
+often enough, which the round before has told, as fewer can't be kept; and where its parts were asked for by other
+blocks too, as else all that is to be known of it lies in the block.
 
 Words and sequences are known by 64-bit hashes. Two sequences with one hash would share a count;
 among 10^9 of them that is expected less than once.
@@ -35,20 +36,24 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from duskline.llm.common import dropped, held_out, ready, saved
+from duskline.llm.common import held_out, in_place, ready, saved, settle
 
-DEPTH = 3
+DEPTH = 2
 LEAST_COUNT = 2
 GAIN = 3.0
+# Gains are summed in whole parts of a nat, so that no order of summing changes them.
+PARTS = 1 << 16
 HELD_OUT = 10, 0
 # A block ends once its texts hold so many bytes.
 BLOCK_BYTES = 8_000_000
+# Blocks that one task goes through, about.
+BUCKET_BLOCKS = 4
 # Keys that are summed in one task, about.
 BUCKET_KEYS = 2_000_000
 
 BLOCK = "block long, doc_ids array<string>, held array<boolean>, lengths array<int>, hashes binary, places binary"
 ASKED = "kind int, bucket int, block long, keys binary, counts binary, gains binary"
-TOLD = "kind int, bucket int, block long, counts binary, gains binary, own binary, distinct long"
+TOLD = "kind int, bucket int, block long, counts binary, gains binary, own binary, shared binary, distinct long"
 SCORED = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -72,6 +77,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Places(dict):
+    """Words in the order of their first sight, numbered from 1."""
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self) + 1
+        return place
+
+
 def word_blocks(docs: DataFrame, held: tuple[int, int], block_bytes: int) -> DataFrame:
     """Texts as places in the block's list of word hashes; every text ends with ``END``."""
     rows = docs.select(
@@ -84,7 +97,7 @@ def word_blocks(docs: DataFrame, held: tuple[int, int], block_bytes: int) -> Dat
         part, seq = TaskContext.get().partitionId(), 0
 
         def fresh():
-            return [], [], [], [], {}, 0
+            return [], [], [], [], _Places(), 0
 
         doc_ids, helds, lengths, places, table, size = fresh()
 
@@ -99,12 +112,11 @@ def word_blocks(docs: DataFrame, held: tuple[int, int], block_bytes: int) -> Dat
             for doc_id, is_held, text in zip(*(column.to_pylist() for column in batch.columns)):
                 # bytes.lower and bytes.split know just the letters and spaces that are meant
                 words = (text or b"").lower().split()
-                at = [table.setdefault(word, len(table) + 1) for word in words]
-                at.append(0)
                 doc_ids.append(doc_id)
                 helds.append(is_held)
-                lengths.append(len(at))
-                places.append(np.array(at, "<u4"))
+                lengths.append(len(words) + 1)
+                places.append(np.fromiter(map(table.__getitem__, words), "<u4", len(words)))
+                places.append(np.zeros(1, "<u4"))
                 size += len(text or b"") + 1
                 if size >= block_bytes:
                     yield close()
@@ -131,11 +143,43 @@ class Totals:
 
 
 class Sequences:
-    """The distinct sequences that end at the asked positions of a block, in order of their keys."""
+    """The distinct sequences that end at some positions of a block, in order of their keys.
 
-    def __init__(self, keys: np.ndarray, at: np.ndarray):
+    Where ``labels`` number the positions' sequences already, only the distinct ones are sorted.
+    """
+
+    def __init__(
+        self, keys: np.ndarray, at: np.ndarray, alone: np.ndarray | None = None, labels: np.ndarray | None = None
+    ):
         self.at = at
-        self.keys, self.first, self.which = np.unique(keys[at], return_index=True, return_inverse=True)
+        if labels is None:
+            order = np.argsort(keys[at])
+            ordered = keys[at][order]
+            new = np.r_[True, ordered[1:] != ordered[:-1]] if len(at) else np.zeros(0, bool)
+            self.keys, self.first = ordered[new], at[order[new]]
+            self.which = np.empty(len(at), np.int64)
+            self.which[order] = np.cumsum(new) - 1
+        else:
+            own = labels[at]
+            some = np.full(own.max(initial=-1) + 1, -1)
+            some[own] = at
+            present = np.flatnonzero(some >= 0)
+            order = np.argsort(keys[some[present]])
+            self.first = some[present][order]
+            self.keys = keys[self.first]
+            some[present[order]] = np.arange(len(order))
+            self.which = some[own]
+        # Those that lie in this block alone are not asked for.
+        self.alone = np.zeros(len(self.keys), bool) if alone is None else alone[self.first]
+
+    def counted(self, training: np.ndarray) -> np.ndarray:
+        return np.bincount(self.which[training[self.at]], minlength=len(self.keys))
+
+    def filled(self, told: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What was told of the sequences asked for, and the block's own of the others."""
+        out = own.copy()
+        out[~self.alone] = told
+        return out
 
     def spread(self, values: np.ndarray, size: int) -> np.ndarray:
         """Values of the sequences at their positions, 0 elsewhere."""
@@ -149,7 +193,8 @@ class Block:
 
     def __init__(self, row, depth: int, least_count: int, gain: float):
         self.depth, self.least_count, self.gain = depth, least_count, gain
-        self.hashes = np.frombuffer(row.hashes, np.uint64)[_values(row.places, "<u4")]
+        distinct, self.words = np.frombuffer(row.hashes, np.uint64), _values(row.places, "<u4").astype(np.int64)
+        self.hashes, self.start = distinct[self.words], len(distinct)
         self.lengths = np.asarray(row.lengths, np.int64)
         self.size = len(self.hashes)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -162,62 +207,68 @@ class Block:
         moved[:back], moved[back:] = START, self.hashes[: max(0, self.size - back)]
         return np.where(self.place == back - 1, START, moved)
 
+    def _before(self, values: np.ndarray, first) -> np.ndarray:
+        """Each position's value one place earlier in its text."""
+        return np.where(self.place > 0, np.r_[values[:1], values[:-1]], first)
+
     def rounds(self, told: dict, totals: Totals, until: int) -> Iterator[tuple]:
         """What the block asks in round ``until``: ``kind, keys, counts, gains``.
 
         ``told`` holds the answers of the rounds before, by kind: ``2 * depth`` for the
-        sequences of that depth, one more for their contexts. ``scores`` is set at last.
+        sequences of that depth, asked for in the round of that number, and one more for their contexts, asked
+        for one round later. After the last round ``p`` holds the probability of every word.
         """
-        words = Sequences(self.hashes, np.arange(self.size))
+        words = Sequences(self.hashes, np.arange(self.size), labels=self.words)
         if until == 0:
-            yield self._ask(0, words)
-        else:
-            counts = words.spread(told[0][0], self.size)
-            self.known, self.base = counts > 0, totals.base(counts)
-            p = self.base.copy()
+            yield _ask(0, words, words.counted(self.training))
+            return
+        numbers, _, shared, _ = told[0]
+        counts, alone = words.spread(numbers, self.size), ~words.spread(shared, self.size)
+        self.known, self.base = counts > 0, totals.base(counts)
+        p = self.base.copy()
+        # Each position's sequence as a number; a context is the sequence that ends before it.
+        labels = self.words
         context = np.zeros(self.size, np.uint64)
         for d in range(1, self.depth + 1):
-            # Round d - 1 asks for the sequences of depth d, round d for their contexts.
-            if until < d - 1:
+            if until < d:
                 return
             context = _mixed(context * np.uint64(0xD6E8FEB86659FD93) + self._earlier(d))
             keys = _mixed(context * np.uint64(0xA0761D6478BD642F) + self.hashes)
-            asked = self.place >= d - 1
-            if d > 1:
-                seen = np.where(self.place > 0, np.r_[0, counts[:-1]], 0)
-                asked &= seen >= self.least_count
-            found = Sequences(keys, np.flatnonzero(asked))
-            if until == d - 1:
-                yield self._ask(2 * d, found)
-                return
-            if d == 1:
-                seen = np.where(self.place > 0, np.r_[0, counts[:-1]], totals.texts)
-                asked = seen >= self.least_count
-            counts = found.spread(told[2 * d][0], self.size)
-            states = Sequences(context, np.flatnonzero(asked))
+            seen = self._before(counts, totals.texts if d == 1 else 0)
+            only = self._before(alone, False)
+            at = np.flatnonzero((self.place >= d - 1) & (seen >= self.least_count))
+            found = Sequences(keys, at, alone | only)
+            own = found.counted(self.training)
             if until == d:
-                yield self._ask_gains(2 * d + 1, found, states, told[2 * d], seen, p, context)
-            else:
-                kinds, _, gains = told[2 * d + 1]
-                kept = states.spread(gains >= self.gain, self.size)
-                kinds = states.spread(kinds, self.size)[kept]
-                p[kept] = (counts[kept] + kinds * p[kept]) / (seen[kept] + kinds)
+                yield _ask(2 * d, found, own)
+                return
+            numbers, owned, shared, _ = told[2 * d]
+            total = found.filled(numbers, own)
+            owned, shared = found.filled(owned, found.alone), found.filled(shared, ~found.alone)
+            counts, alone = found.spread(total, self.size), ~found.spread(shared, self.size)
+            # Of each sequence, the block that owns it tells its part of its context's gain.
+            states = Sequences(context, at, only, self._before(labels, self.start))
+            labels = found.spread(np.arange(len(found.keys)), self.size)
+            first, n = found.first[owned & (total > 0)], total[owned & (total > 0)].astype(float)
+            where = states.spread(np.arange(len(states.keys)), self.size)[first]
+            part = np.rint(n * np.log(n / seen[first] / p[first]) * PARTS)
+            gains = np.bincount(where, part, len(states.keys)).astype(np.int64)
+            kinds = np.bincount(where, minlength=len(states.keys))
+            if until == d + 1:
+                yield _ask(2 * d + 1, states, kinds, gains)
+                continue
+            numbers, _, _, sums = told[2 * d + 1]
+            kinds, gains = states.filled(numbers, kinds), states.filled(sums, gains)
+            kept = states.spread(gains >= self.gain * PARTS, self.size)
+            kinds = states.spread(kinds, self.size)[kept]
+            p[kept] = (counts[kept] + kinds * p[kept]) / (seen[kept] + kinds)
         self.p = p
 
-    def _ask(self, kind: int, found: Sequences) -> tuple:
-        own = np.bincount(found.which[self.training[found.at]], minlength=len(found.keys))
-        return kind, found.keys, own.astype(np.uint64), np.zeros(0)
 
-    def _ask_gains(self, kind, found, states, told, seen, p, context) -> tuple:
-        """Of each sequence, the block that owns it tells its part of its context's gain."""
-        total, own, _ = told
-        first = found.at[found.first]
-        used = own & (total > 0) & (seen[first] >= self.least_count)
-        at, n = first[used], total[used].astype(float)
-        part = n * np.log(n / seen[at] / p[at])
-        where = np.searchsorted(states.keys, context[at])
-        gains = np.bincount(where, part, len(states.keys))
-        return kind, states.keys, np.bincount(where, minlength=len(states.keys)).astype(np.uint64), gains
+def _ask(kind: int, found: Sequences, counts: np.ndarray, gains: np.ndarray | None = None) -> tuple:
+    asked = ~found.alone
+    sums = np.zeros(0, np.int64) if gains is None else gains[asked]
+    return kind, found.keys[asked], counts[asked].astype(np.int64), sums
 
 
 def _dealt(block: int, asks: Iterator[tuple], buckets: int) -> pd.DataFrame:
@@ -230,7 +281,7 @@ def _dealt(block: int, asks: Iterator[tuple], buckets: int) -> pd.DataFrame:
             if a < b:
                 steps = np.diff(keys[a:b], prepend=np.uint64(0))
                 row = kind, int(bucket[a]), block, _planes(steps), _planes(counts[a:b])
-                rows.append((*row, gains[a:b].astype("<f8").tobytes()))
+                rows.append((*row, _planes(gains[a:b])))
     return pd.DataFrame(rows, columns=[kind.split()[0] for kind in ASKED.split(", ")])
 
 
@@ -240,7 +291,7 @@ def _summed(asked: pd.DataFrame) -> pd.DataFrame:
     parts = [np.cumsum(_values(data), dtype=np.uint64) for data in asked["keys"]]
     ends = np.cumsum([len(part) for part in parts])
     keys = np.concatenate(parts)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     new = np.r_[True, np.diff(keys[order]) > 0]
     starts, group = np.flatnonzero(new), np.cumsum(new) - 1
 
@@ -249,28 +300,34 @@ def _summed(asked: pd.DataFrame) -> pd.DataFrame:
         out[order] = np.add.reduceat(values[order], starts)[group]
         return out
 
-    counts = total(np.concatenate([_values(data) for data in asked["counts"]]))
-    gains = np.concatenate([np.frombuffer(data, "<f8") for data in asked["gains"]])
+    counts = total(np.concatenate([_values(data, "<i8") for data in asked["counts"]]))
+    gains = np.concatenate([_values(data, "<i8") for data in asked["gains"]])
     gains = total(gains) if len(gains) else None
-    own = np.zeros(len(keys), bool)
-    own[order[starts]] = True
+    own, shared = np.zeros(len(keys), bool), np.empty(len(keys), bool)
+    # The first block that asked owns the key.
+    own[np.minimum.reduceat(order, starts)] = True
+    shared[order] = (np.diff(np.r_[starts, len(keys)]) > 1)[group]
     rows = []
     for a, b in zip(np.r_[0, ends], ends):
-        told = _planes(counts[a:b]), b"" if gains is None else gains[a:b].tobytes()
-        rows.append((*told, np.packbits(own[a:b]).tobytes(), 0))
-    frame = pd.DataFrame(rows, columns=["counts", "gains", "own", "distinct"])
+        told = _planes(counts[a:b]), b"" if gains is None else _planes(gains[a:b])
+        rows.append((*told, np.packbits(own[a:b]).tobytes(), np.packbits(shared[a:b]).tobytes(), 0))
+    frame = pd.DataFrame(rows, columns=["counts", "gains", "own", "shared", "distinct"])
     frame.loc[0, "distinct"] = int(np.count_nonzero(own & (counts > 0)))
     return pd.concat([asked[["kind", "bucket", "block"]], frame], axis=1)
 
 
 def _told(rows: pd.DataFrame) -> dict:
-    """Answers by kind, in the order of the keys: counts, whether the block owns the key, gains."""
-    told = defaultdict(lambda: (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)))
+    """Answers by kind in the order of the keys: counts, whether the block owns the key or shares it, gains."""
+    none = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64)
+    told = defaultdict(lambda: none)
     for kind, one in rows.sort_values(["kind", "bucket"]).groupby("kind"):
-        counts = [_values(data) for data in one["counts"]]
-        own = [np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)) for o, c in zip(one["own"], counts)]
-        gains = np.concatenate([np.frombuffer(data, "<f8") for data in one["gains"]])
-        told[kind] = np.concatenate(counts).astype(np.int64), np.concatenate(own).astype(bool), gains
+        counts = [_values(data, "<i8") for data in one["counts"]]
+        bits = [
+            np.concatenate([np.unpackbits(np.frombuffer(o, np.uint8), count=len(c)) for o, c in zip(one[name], counts)])
+            for name in ("own", "shared")
+        ]
+        gains = np.concatenate([_values(data, "<i8") for data in one["gains"]])
+        told[kind] = np.concatenate(counts), *(b.astype(bool) for b in bits), gains
     return told
 
 
@@ -286,11 +343,12 @@ def score_texts(
     """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Texts whose id's checksum leaves ``held[1]`` by ``held[0]`` are scored but not learned from.
-    The driver receives four sums.
+    The driver receives five sums.
     """
     spark = docs.sparkSession
     ready(spark)
-    blocks = saved(word_blocks(docs, held, block_bytes), "blocks")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = in_place(word_blocks(docs, held, block_bytes), "block", "blocks", -(-size // (BUCKET_BLOCKS * block_bytes)))
     per_text = blocks.select(F.inline(F.arrays_zip("held", "lengths")))
     sums = per_text.agg(
         F.coalesce(F.sum("lengths"), F.lit(0)).alias("all"),
@@ -311,24 +369,26 @@ def score_texts(
         return lambda own, told: asks(next(own.itertuples()), _told(told), until)
 
     asked, tables = blocks.groupBy("block").applyInPandas(begin, ASKED), []
-    for until in range(depth + 1):
+    for until in range(depth + 2):
         answers = asked.groupBy("kind", "bucket").applyInPandas(_summed, TOLD)
         tables.append(saved(answers, "answers"))
+        del asked, answers
+        settle(spark)
         if until == 0:
             words = tables[0].where("kind = 0").agg(F.coalesce(F.sum("distinct"), F.lit(0)))
             totals.distinct = words.first()[0]
         known = tables[0]
         for table in tables[1:]:
             known = known.union(table)
-        told = known.select("block", "kind", "bucket", "counts", "gains", "own")
+        told = known.select("block", "kind", "bucket", "counts", "gains", "own", "shared")
         both = blocks.groupBy("block").cogroup(told.groupBy("block"))
-        if until < depth:
+        if until <= depth:
             asked = both.applyInPandas(proceed(until + 1), ASKED)
 
     def score(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         row = next(own.itertuples())
         block = Block(row, depth, least_count, gain)
-        for _ in block.rounds(_told(told), totals, depth + 1):
+        for _ in block.rounds(_told(told), totals, depth + 2):
             pass
         by_text = [np.add.reduceat(x, block.starts) for x in (block.known.astype(int), np.log10(block.base), np.log10(block.p))]
         names = pd.array([None if name is None else int(name) for name in row.doc_ids], "Int64")
