@@ -1,6 +1,9 @@
 """Language, toxicity and quality: held-out accuracy and odd rows."""
 
 import random
+import re
+import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -222,3 +225,43 @@ def test_held_out_rows_follow_the_checksum(spark):
 
     rows = spark.range(-20, 60).select("id", held_out(F.col("id"), 5, 0).alias("out")).collect()
     assert all(r["out"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+
+
+def plain_vector(text, seed=language.SEED, size=language.DIMENSIONS):
+    """A text's vector, triple by triple."""
+    letters = [c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()]
+    line = re.sub(" +", " ", f" {''.join(letters)} ") if any(c != " " for c in letters) else ""
+    total = np.zeros(size)
+    for a, b, c in zip(line, line[1:], line[2:]):
+        x, y, z = (
+            np.random.default_rng([seed, ord(one)]).integers(0, 2, size).astype(float) * 2 - 1 for one in (a, b, c)
+        )
+        total += np.roll(x, 2) * np.roll(y, 1) * z
+    return total
+
+
+def test_languages_equal_a_plain_version(spark):
+    names = list(SYLLABLES)
+    texts = [(i, text_of(names[i % 3], i, 12) + " 1, 2 -- É!") for i in range(60)] + [(60, ""), (61, None), (62, "12 ?")]
+    lang = {i: names[i % 3] for i in range(63)}
+    vectors = {i: plain_vector(text or "") for i, text in texts}
+    out = {i for i, _ in texts if zlib.crc32(str(i).encode()) % 4 == 2}
+    sums = {name: sum(vectors[i] for i in vectors if i not in out and lang[i] == name) for name in sorted(names)}
+    table = {name: v / np.linalg.norm(v) for name, v in sums.items()}
+    found = {r["doc_id"]: r for r in language.identified(docs(spark, texts, lang)).collect()}
+    assert {i for i, r in found.items() if r["held_out"]} == out and len(out) > 5
+    for i, v in vectors.items():
+        if not v.any():
+            assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0.0)
+            continue
+        likeness = {name: float(t @ v / np.linalg.norm(v)) for name, t in table.items()}
+        assert found[i]["lang_pred"] == max(likeness, key=likeness.get)
+        assert found[i]["score"] == pytest.approx(max(0.0, *likeness.values()), abs=1e-6)
+
+
+def test_a_kept_text_comes_back_as_it_was(spark):
+    texts = [(i, text_of("en", i, 9)) for i in range(8)] + [(8, None), (9, "")]
+    table = docs(spark, texts)
+    named = language.predict_language(table, language.learn_prototypes(table), *[F.col(c) for c in table.columns])
+    assert named.columns == [*table.columns, "lang_pred", "score"]
+    assert sorted((r["doc_id"], r["text"]) for r in named.collect()) == sorted(texts)
