@@ -125,15 +125,14 @@ whole AS (
 quoted AS (
   SELECT DISTINCT conv_id, turn, level, unnest({_sentences('text')}) AS s FROM whole
 ),
+sayers AS (SELECT DISTINCT conv_id, turn, s FROM said),
 inside AS (
-  SELECT q.conv_id, q.turn, level, s, q.conv_id AS parent_conv_id, h.parent_turn
-  FROM quoted q JOIN (SELECT conv_id, s, min(turn) AS parent_turn FROM said GROUP BY ALL) h
-    USING (conv_id, s) WHERE h.parent_turn < q.turn
+  SELECT q.conv_id, q.turn, level, s, q.conv_id AS parent_conv_id, h.turn AS parent_turn
+  FROM quoted q JOIN sayers h USING (conv_id, s) WHERE h.turn < q.turn
 ),
 outside AS (
-  SELECT q.conv_id, q.turn, level, s, f.first.c AS parent_conv_id, f.first.t AS parent_turn
-  FROM quoted q JOIN (SELECT s, min({{'c': conv_id, 't': turn}}) AS first FROM said GROUP BY s) f
-    USING (s) WHERE f.first.c < q.conv_id
+  SELECT q.conv_id, q.turn, level, s, h.conv_id AS parent_conv_id, h.turn AS parent_turn
+  FROM quoted q JOIN sayers h USING (s) WHERE h.conv_id < q.conv_id
 ),
 votes AS (
   SELECT conv_id, turn, level, parent_conv_id, parent_turn, sum(length(s)) AS size
@@ -146,11 +145,10 @@ linked AS (
     ORDER BY parent_conv_id <> conv_id, level, size DESC, parent_conv_id, parent_turn) = 1
 ),
 moved(conv_id, turn, to_conv, to_turn, depth) AS (
-  SELECT conv_id, turn, parent_conv_id, parent_turn, 1 FROM linked WHERE parent_conv_id <> conv_id
+  SELECT conv_id, turn, parent_conv_id, parent_turn, 1 FROM linked
   UNION ALL
   SELECT moved.conv_id, moved.turn, l.parent_conv_id, l.parent_turn, depth + 1
   FROM moved JOIN linked l ON l.conv_id = moved.to_conv AND l.turn = moved.to_turn
-  WHERE l.parent_conv_id <> l.conv_id
 ),
 homes AS (SELECT conv_id, turn, arg_max(to_conv, depth) AS thread FROM moved GROUP BY ALL)
 SELECT coalesce(thread, p.conv_id) AS thread, p.conv_id, p.turn, role, p.text, quote_levels,

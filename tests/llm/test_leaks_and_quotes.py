@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from cases import ODD, docs, prose
 from hypothesis import given, settings, strategies as st
@@ -170,17 +173,19 @@ def test_replies_are_linked_and_ordered(spark):
             assert place[parent] < place[child] and threads[parent] == threads[child]
 
 
+MOVED = [
+    (1, 0, "user", "The first remark."),
+    (2, 0, "user", "> The first remark.\nAn answer to it."),
+    (2, 1, "user", "> An answer to it.\nAnother answer."),
+    (2, 2, "user", "> Another answer.\nThe third answer."),
+    (2, 3, "user", "By the way."),
+    (3, 0, "user", "> The third answer.\nFrom elsewhere."),
+    (3, 1, "user", "> From elsewhere.\nThe last."),
+]
+
+
 def test_answers_to_a_moved_message_move_with_it(spark):
-    rows = [
-        (1, 0, "user", "The first remark."),
-        (2, 0, "user", "> The first remark.\nAn answer to it."),
-        (2, 1, "user", "> An answer to it.\nAnother answer."),
-        (2, 2, "user", "> Another answer.\nThe third answer."),
-        (2, 3, "user", "By the way."),
-        (3, 0, "user", "> The third answer.\nFrom elsewhere."),
-        (3, 1, "user", "> From elsewhere.\nThe last."),
-    ]
-    found = quotes.conversations_in_reply_order(messages(spark, rows)).collect()
+    found = quotes.conversations_in_reply_order(messages(spark, MOVED)).collect()
     assert [(r["thread"], r["conv_id"], r["turn"]) for r in found] == [
         (1, 1, 0), (1, 2, 0), (1, 2, 1), (1, 2, 2), (1, 3, 0), (1, 3, 1), (2, 2, 3)
     ]
@@ -189,24 +194,29 @@ def test_answers_to_a_moved_message_move_with_it(spark):
     ]
 
 
-def test_the_message_that_holds_most_of_a_quotation_wins(spark, monkeypatch):
-    import itertools
-    import random
+PARTS = ["Thanks for the update.", "The server is down.", "Yes.", "It works again.", "See you then."]
+
 
+def common_sentences():
+    """Messages that say and quote the same few sentences."""
     rng = random.Random(5)
-    parts = ["Thanks for the update.", "The server is down.", "Yes.", "It works again.", "See you then."]
     rows = [
         (1, 0, "user", "Thanks for the update."),
         (2, 0, "user", "Thanks for the update. The server is down."),
         (3, 0, "user", "> Thanks for the update. The server is down."),
     ]
     for conv, turn in itertools.product(range(4, 34), range(3)):
-        own = " ".join(rng.sample(parts, rng.randint(0, 3)))
-        quoted = " ".join(rng.sample(parts, rng.randint(1, 3)))
+        own = " ".join(rng.sample(PARTS, rng.randint(0, 3)))
+        quoted = " ".join(rng.sample(PARTS, rng.randint(1, 3)))
         rows.append((conv, turn, "user", f"> {quoted}\n{own}" if rng.random() < 0.4 else own))
+    return rows
+
+
+def test_the_message_that_holds_most_of_a_quotation_wins(spark, monkeypatch):
+    rows = common_sentences()
 
     def split(text):
-        return {p for p in parts if p in text}
+        return {p for p in PARTS if p in text}
 
     said = {(c, t): split("\n".join(x for x in text.split("\n") if x[:1] != ">")) for c, t, _, text in rows}
     wanted = {}

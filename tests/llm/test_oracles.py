@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from test_leaks_and_quotes import MESSAGES, messages
+from test_leaks_and_quotes import MESSAGES, MOVED, common_sentences, messages
 
 from checks.compare import connect, spark_rows, sql_rows
 from duskline.llm import quotes
@@ -13,9 +13,10 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert spark_rows(QUERIES[name](spark, sf_dir)) == sql_rows(connect(sf_dir), ORACLE[name])
 
 
-def test_quotations_equal_sql(spark):
+@pytest.mark.parametrize("rows", [MESSAGES, MOVED, common_sentences()], ids=["odd", "moved", "common"])
+def test_quotations_equal_sql(spark, rows):
     connection = duckdb.connect()
     connection.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role TEXT, text TEXT)")
-    connection.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", MESSAGES)
-    found = spark_rows(quotes.conversations_in_reply_order(messages(spark)))
+    connection.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = spark_rows(quotes.conversations_in_reply_order(messages(spark, rows)))
     assert found == sql_rows(connection, ORACLE["op7_quotes"])
