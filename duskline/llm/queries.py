@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from duskline.llm import (
@@ -25,7 +24,13 @@ from duskline.llm import (
 from duskline.llm.common import documents
 from duskline.llm.oracle import ORACLE as ORACLE
 
-TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer() -> str:
+    """The tokenizer file; only the queries that use it need its package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_offsets(
-        spark, documents(spark, sf_dir), public_tokenizers.path(TOKENIZER)
+        spark, documents(spark, sf_dir), tokenizer()
     )
 
 
@@ -61,7 +66,7 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encoded_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+    return bpe.encoded_documents(documents(spark, sf_dir), tokenizer())
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 
+import public_tokenizers
 import pytest
 from cases import docs, kept_words, prose, reach, shingles
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def brute_force(texts, item):
 
 def test_the_pipeline_equals_brute_force(spark, corpus):
     folder, texts, item = corpus
-    library = load(corpus_pipeline.public_tokenizers.path(corpus_pipeline.TOKENIZER))
+    library = load(public_tokenizers.path(corpus_pipeline.TOKENIZER))
     expected = brute_force(texts, item)
     assert 43 not in expected and 30 not in expected and 40 not in expected
     found = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
