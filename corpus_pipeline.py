@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duskline.llm import bpe, decontaminate, language, near_duplicates, repeats
@@ -53,6 +52,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text they decode to."""
+    # Only this stage needs the vocabulary files; where they are missing the rest still works.
+    import public_tokenizers
+
     return bpe.token_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
