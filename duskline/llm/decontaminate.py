@@ -225,12 +225,24 @@ class ShingleList:
     items: np.ndarray
 
 
+class _Known(dict):
+    """What a piece of text means, found out at its first sight."""
+
+    def __init__(self, term):
+        super().__init__()
+        self.term = term
+
+    def __missing__(self, chunk: str) -> int:
+        number = self[chunk] = self.term(chunk)
+        return number
+
+
 class Searcher:
     """Looks up documents in one index; what a piece of text between white space means is remembered."""
 
     def __init__(self, index: Index, threshold: float, remembered: int = 400_000):
         self.index, self.threshold, self.remembered = index, threshold, remembered
-        self.known: dict[str, int] = {}
+        self.known = _Known(self._term)
         self.parts: dict[int, tuple[set, set, set]] = {}
         # The index's terms, then words of its items that only pieces elsewhere hold.
         self.terms = dict(index.terms)
@@ -261,7 +273,9 @@ class Searcher:
 
     def _term(self, chunk: str) -> int:
         """The word's number, -1 for a word of no item, -2 for no word."""
-        word = _EDGES.sub("", chunk.lower())
+        word = chunk.lower()
+        if not (word[0].isalnum() and word[-1].isalnum()):
+            word = _EDGES.sub("", word)
         return self.terms.get(word, -1) if word else -2
 
     def _held(self, ids: np.ndarray) -> list[int]:
@@ -285,9 +299,6 @@ class Searcher:
         known = self.known
         if len(known) > self.remembered:
             known.clear()
-        for chunk in chunks:
-            if chunk not in known:
-                known[chunk] = self._term(chunk)
         ids = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
         ids = ids[ids != -2]
         index, best = self.index, {}
@@ -360,14 +371,16 @@ def _shingles_of_any(words: list[str], items: dict[int, float], searcher: Search
 def with_leaks(docs: DataFrame, benchmark: DataFrame, *keep: Column, threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` columns of ``docs`` and ``leaks``, an array with the verified items of each row.
 
-    No shuffle: documents stay where they are, and an index of bounded size goes to
+    A kept column named ``text`` is the documents' own text, which then goes to Python once. No shuffle: documents stay where they are, and an index of bounded size goes to
     the tasks. With several indexes each pass but the last is written down.
     """
     spark = docs.sparkSession
     ready(spark)
     indexes = build_indexes(benchmark)
     leaks = F.array().cast(f"array<{LEAK}>").alias("_leaks")
-    rows = docs.select(F.col("text").alias("_text"), leaks, *keep)
+    kept = docs.select(*keep).columns
+    others = [column for column, name in zip(keep, kept) if name != "text"]
+    rows = docs.select(F.col("text").alias("_text"), leaks, *others)
     for number, index in enumerate(indexes):
         shared = spark.sparkContext.broadcast(index)
         kind = T.StructType.fromJson(rows.schema.jsonValue())
@@ -385,7 +398,8 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, *keep: Column, threshold:
         rows = rows.mapInArrow(search, kind)
         if number < len(indexes) - 1:
             rows = saved(rows, "leaks")
-    return rows.select(*rows.columns[2:], F.col("_leaks").alias("leaks"))
+    names = [F.col("_text").alias("text") if name == "text" else F.col(f"`{name}`") for name in kept]
+    return rows.select(*names, F.col("_leaks").alias("leaks"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
