@@ -230,7 +230,9 @@ def test_held_out_rows_follow_the_checksum(spark):
 def plain_vector(text, seed=language.SEED, size=language.DIMENSIONS):
     """A text's vector, triple by triple."""
     letters = [c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()]
-    line = re.sub(" +", " ", f" {''.join(letters)} ") if any(c != " " for c in letters) else ""
+    # A run of other characters is one space; the text stands between two more.
+    inner = re.sub(" +", " ", "".join(letters))
+    line = f" {inner} " if inner.strip() else ""
     total = np.zeros(size)
     for a, b, c in zip(line, line[1:], line[2:]):
         x, y, z = (
