@@ -27,7 +27,6 @@ no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,14 +60,39 @@ SCORED = (
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
+#: The answers to a block that asked nothing.
+_NONE = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64)
+
+
 def _planes(values: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, as the high ones are mostly alike."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    """Bytes of equal weight side by side, without the high ones that all values have as 0.
+
+    Signed values have their sign in the lowest bit.
+    """
+    if values.dtype.kind == "i":
+        values = ((values << 1) ^ (values >> 63)).view(np.uint64)
+    used = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)[:, :used]
+    return bytes([used]) + planes.T.tobytes()
 
 
 def _values(data: bytes, kind: str = "<u8") -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+    kind = np.dtype(kind)
+    used = data[0] if data else 1
+    planes = np.frombuffer(data, np.uint8)[1:].reshape(used, -1)
+    out = np.zeros((planes.shape[1], kind.itemsize), np.uint8)
+    out[:, :used] = planes.T
+    values = out.view(f"<u{kind.itemsize}").ravel()
+    return values if kind.kind == "u" else (values >> np.uint64(1)).view(kind) ^ -(values & np.uint64(1)).view(kind)
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Keys in order: the first one, and the steps between them, which are small where many lie in a bucket."""
+    return keys[:1].tobytes() + _planes(np.diff(keys))
+
+
+def _stepped(data: bytes) -> np.ndarray:
+    return np.cumsum(np.r_[np.frombuffer(data, np.uint64, 1), _values(data[8:])], dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -157,17 +181,17 @@ class Sequences:
             ordered = keys[at][order]
             new = np.r_[True, ordered[1:] != ordered[:-1]] if len(at) else np.zeros(0, bool)
             self.keys, self.first = ordered[new], at[order[new]]
-            self.which = np.empty(len(at), np.int64)
-            self.which[order] = np.cumsum(new) - 1
+            self.which = np.empty(len(at), np.int32)
+            self.which[order] = np.cumsum(new, dtype=np.int32) - 1
         else:
             own = labels[at]
-            some = np.full(own.max(initial=-1) + 1, -1)
+            some = np.full(own.max(initial=-1) + 1, -1, np.int32)
             some[own] = at
             present = np.flatnonzero(some >= 0)
             order = np.argsort(keys[some[present]])
             self.first = some[present][order]
             self.keys = keys[self.first]
-            some[present[order]] = np.arange(len(order))
+            some[present[order]] = np.arange(len(order), dtype=np.int32)
             self.which = some[own]
         # Those that lie in this block alone are not asked for.
         self.alone = np.zeros(len(self.keys), bool) if alone is None else alone[self.first]
@@ -193,12 +217,12 @@ class Block:
 
     def __init__(self, row, depth: int, least_count: int, gain: float):
         self.depth, self.least_count, self.gain = depth, least_count, gain
-        distinct, self.words = np.frombuffer(row.hashes, np.uint64), _values(row.places, "<u4").astype(np.int64)
+        distinct, self.words = np.frombuffer(row.hashes, np.uint64), _values(row.places, "<u4").view(np.int32)
         self.hashes, self.start = distinct[self.words], len(distinct)
         self.lengths = np.asarray(row.lengths, np.int64)
         self.size = len(self.hashes)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.place = np.arange(self.size) - np.repeat(self.starts, self.lengths)
+        self.place = np.arange(self.size, dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.lengths)
         self.training = np.repeat(~np.asarray(row.held, bool), self.lengths)
 
     def _earlier(self, back: int) -> np.ndarray:
@@ -218,12 +242,14 @@ class Block:
         sequences of that depth, asked for in the round of that number, and one more for their contexts, asked
         for one round later. After the last round ``p`` holds the probability of every word.
         """
-        words = Sequences(self.hashes, np.arange(self.size), labels=self.words)
+        words = Sequences(self.hashes, np.arange(self.size, dtype=np.int32), labels=self.words)
         if until == 0:
             yield _ask(0, words, words.counted(self.training))
             return
-        numbers, _, shared, _ = told[0]
+        numbers, _, shared, _ = told.pop(0, _NONE)
         counts, alone = words.spread(numbers, self.size), ~words.spread(shared, self.size)
+        # What is not needed again goes at once: a block's arrays are most of a worker's memory.
+        del words, numbers, shared
         self.known, self.base = counts > 0, totals.base(counts)
         p = self.base.copy()
         # Each position's sequence as a number; a context is the sequence that ends before it.
@@ -236,32 +262,36 @@ class Block:
             keys = _mixed(context * np.uint64(0xA0761D6478BD642F) + self.hashes)
             seen = self._before(counts, totals.texts if d == 1 else 0)
             only = self._before(alone, False)
-            at = np.flatnonzero((self.place >= d - 1) & (seen >= self.least_count))
+            at = np.flatnonzero((self.place >= d - 1) & (seen >= self.least_count)).astype(np.int32)
             found = Sequences(keys, at, alone | only)
+            del keys
             own = found.counted(self.training)
             if until == d:
                 yield _ask(2 * d, found, own)
                 return
-            numbers, owned, shared, _ = told[2 * d]
+            numbers, owned, shared, _ = told.pop(2 * d, _NONE)
             total = found.filled(numbers, own)
             owned, shared = found.filled(owned, found.alone), found.filled(shared, ~found.alone)
             counts, alone = found.spread(total, self.size), ~found.spread(shared, self.size)
             # Of each sequence, the block that owns it tells its part of its context's gain.
             states = Sequences(context, at, only, self._before(labels, self.start))
-            labels = found.spread(np.arange(len(found.keys)), self.size)
+            del only, numbers, shared, own
+            labels = found.spread(np.arange(len(found.keys), dtype=np.int32), self.size)
             first, n = found.first[owned & (total > 0)], total[owned & (total > 0)].astype(float)
-            where = states.spread(np.arange(len(states.keys)), self.size)[first]
+            where = states.spread(np.arange(len(states.keys), dtype=np.int32), self.size)[first]
             part = np.rint(n * np.log(n / seen[first] / p[first]) * PARTS)
             gains = np.bincount(where, part, len(states.keys)).astype(np.int64)
             kinds = np.bincount(where, minlength=len(states.keys))
+            del found, total, owned, at, first, n, where, part
             if until == d + 1:
                 yield _ask(2 * d + 1, states, kinds, gains)
                 continue
-            numbers, _, _, sums = told[2 * d + 1]
+            numbers, _, _, sums = told.pop(2 * d + 1, _NONE)
             kinds, gains = states.filled(numbers, kinds), states.filled(sums, gains)
             kept = states.spread(gains >= self.gain * PARTS, self.size)
             kinds = states.spread(kinds, self.size)[kept]
             p[kept] = (counts[kept] + kinds * p[kept]) / (seen[kept] + kinds)
+            del states, numbers, sums, kinds, gains, kept, seen
         self.p = p
 
 
@@ -279,8 +309,7 @@ def _dealt(block: int, asks: Iterator[tuple], buckets: int) -> pd.DataFrame:
         edges = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(keys)]
         for a, b in zip(edges, edges[1:]):
             if a < b:
-                steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                row = kind, int(bucket[a]), block, _planes(steps), _planes(counts[a:b])
+                row = kind, int(bucket[a]), block, _steps(keys[a:b]), _planes(counts[a:b])
                 rows.append((*row, _planes(gains[a:b])))
     return pd.DataFrame(rows, columns=[kind.split()[0] for kind in ASKED.split(", ")])
 
@@ -288,25 +317,29 @@ def _dealt(block: int, asks: Iterator[tuple], buckets: int) -> pd.DataFrame:
 def _summed(asked: pd.DataFrame) -> pd.DataFrame:
     """Sums over all blocks, for each block in the order in which it asked."""
     asked = asked.sort_values("block", ignore_index=True)
-    parts = [np.cumsum(_values(data), dtype=np.uint64) for data in asked["keys"]]
+    parts = [_stepped(data) for data in asked["keys"]]
     ends = np.cumsum([len(part) for part in parts])
     keys = np.concatenate(parts)
+    del parts
     order = np.argsort(keys)
-    new = np.r_[True, np.diff(keys[order]) > 0]
-    starts, group = np.flatnonzero(new), np.cumsum(new) - 1
+    keys = keys[order]
+    new = np.r_[True, np.diff(keys) > 0]
+    starts, group = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
+    size = len(keys)
+    del keys, new
 
     def total(values: np.ndarray) -> np.ndarray:
-        out = np.empty(len(keys), values.dtype)
+        out = np.empty(size, values.dtype)
         out[order] = np.add.reduceat(values[order], starts)[group]
         return out
 
     counts = total(np.concatenate([_values(data, "<i8") for data in asked["counts"]]))
     gains = np.concatenate([_values(data, "<i8") for data in asked["gains"]])
     gains = total(gains) if len(gains) else None
-    own, shared = np.zeros(len(keys), bool), np.empty(len(keys), bool)
+    own, shared = np.zeros(size, bool), np.empty(size, bool)
     # The first block that asked owns the key.
     own[np.minimum.reduceat(order, starts)] = True
-    shared[order] = (np.diff(np.r_[starts, len(keys)]) > 1)[group]
+    shared[order] = (np.diff(np.r_[starts, size]) > 1)[group]
     rows = []
     for a, b in zip(np.r_[0, ends], ends):
         told = _planes(counts[a:b]), b"" if gains is None else _planes(gains[a:b])
@@ -318,8 +351,7 @@ def _summed(asked: pd.DataFrame) -> pd.DataFrame:
 
 def _told(rows: pd.DataFrame) -> dict:
     """Answers by kind in the order of the keys: counts, whether the block owns the key or shares it, gains."""
-    none = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, np.int64)
-    told = defaultdict(lambda: none)
+    told = {}
     for kind, one in rows.sort_values(["kind", "bucket"]).groupby("kind"):
         counts = [_values(data, "<i8") for data in one["counts"]]
         bits = [

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from cases import ODD, docs, prose
 
@@ -111,3 +112,14 @@ def test_odd_texts_and_empty_tables(spark):
 def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if PlainTree.held(i))
     assert scored(docs(spark, [(held, "one two")])) == [(held, True, 3, 0, 0, 0.0, 0.0)]
+
+
+def test_numbers_take_the_bytes_they_need():
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(0, 200, 5000), rng.integers(-(1 << 62), 1 << 62, 9), np.zeros(0, np.int64), np.array([-1, 0])):
+        assert suffix_tree._values(suffix_tree._planes(values), "<i8").tolist() == values.tolist()
+    keys = np.sort(rng.integers(0, 1 << 64, 20_000, np.uint64))
+    ask = 0, keys, rng.integers(0, 60, len(keys)), np.zeros(0, np.int64)
+    row = suffix_tree._dealt(7, iter([ask]), 1).iloc[0]
+    assert suffix_tree._stepped(row["keys"]).tolist() == keys.tolist()
+    assert len(row["keys"]) + len(row["counts"]) + len(row["gains"]) < 9 * len(keys)
