@@ -16,34 +16,55 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+# Random numbers for each byte at each place of a word; longer words are hashed one by one.
+_PLACES = 64
+_RANDOM = np.random.default_rng(20240607).integers(0, 1 << 64, _PLACES << 8, np.uint64)
+_LETTER = np.ones(256, bool)
+_LETTER[[0x20, *range(0x09, 0x0E)]] = False
+
+
 class Words:
-    """64-bit hashes of words; each distinct word is hashed once while it is remembered."""
+    """64-bit hashes of words, in their order.
 
-    def __init__(self, remembered: int = 1_000_000):
-        self.remembered = remembered
-        self.known: dict[bytes, int] = {}
+    The numbers of a word's bytes are summed for all words of a text at once, so a worker
+    keeps no list of the words it has seen.
+    """
 
     def hashed(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.remembered:
-            self.known = {}
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            for word in words:
-                if word not in known:
-                    known[word] = xxhash.xxh3_64_intdigest(word)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-#: Kept by a worker from task to task.
+        return self.of(b" ".join(words))
+
+    def of(self, data: bytes) -> np.ndarray:
+        """Of the words between white space."""
+        raw = np.frombuffer(data, np.uint8)
+        inside = _LETTER[raw]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        starts, sizes = edges[::2], edges[1::2] - edges[::2]
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        first = np.cumsum(sizes) - sizes
+        at = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+        hashes = np.add.reduceat(_RANDOM[(np.minimum(at, _PLACES - 1) << 8) + raw[inside]], first)
+        for i in np.flatnonzero(sizes > _PLACES).tolist():
+            hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+        return mixed(hashes)
+
+
 WORDS = Words()
 
 
+def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
+    """Hashes of the words of ``split_words``."""
+    return WORDS.of(_bytes(text, lower))
+
+
+def _bytes(text: str | None, lower: bool) -> bytes:
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return data.lower() if lower else data
+
+
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Words between ASCII white space, in UTF-8; ``lower`` changes A-Z only."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    return (data.lower() if lower else data).split()
+    return _bytes(text, lower).split()
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -59,5 +80,5 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles; of fewer words, their one sequence."""
-    hashes = WORDS.hashed(split_words(text, lower=True))
+    hashes = word_hashes(text, lower=True)
     return np.unique(windows(hashes, min(size, len(hashes)) or 1))

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from cases import LONG, ODD, docs, kept_words, prose, reach, shingles
 
 from duskline.llm import embeddings, near_duplicates, repeats
 from duskline.llm.components import components
+from duskline.llm.shingles import shingle_set, word_hashes
 
 
 def edited(text, every, word="CHANGED"):
@@ -52,6 +54,25 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, chunk):
         assert row["kept"] == (row["doc_id"] == row["component_id"])
 
 
+def test_a_worker_keeps_no_list_of_words():
+    shingle_set("so that all is loaded", 5)
+    tracemalloc.start()
+    for i in range(20):
+        assert len(shingle_set(" ".join(f"w{j}" for j in range(5000 * i, 5000 * i + 5000)), 5)) == 4996
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 1_000_000
+
+
+def test_words_have_hashes_of_their_own():
+    words = ["a", "b", "ab", "ba", "aa", "a\0", "\0a", "x" * 64, "x" * 65, "x" * 66, "\xe9", "A\x0e", "\x1c"]
+    hashes = word_hashes("\t" + " ".join(words) + "\x0b\n" + "\r".join(words))
+    assert hashes[: len(words)].tolist() == hashes[len(words) :].tolist()
+    assert len(set(hashes.tolist())) == len(words)
+    assert word_hashes("Ab \xc9", lower=True).tolist() == word_hashes("ab \xc9").tolist()
+    assert len(word_hashes(" \t")) == len(word_hashes(None)) == 0
+
+
 def test_rows_without_id_are_kept(spark):
     rows = near_duplicates.near_duplicates(docs(spark, ODD)).where("doc_id is null").collect()
     assert [(r["component_id"], r["kept"]) for r in rows] == [(None, True)] * 2
