@@ -23,15 +23,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duskline.llm.common import dropped, new_folder, ready, release, saved
-from duskline.llm.tokens import WordEncoder, added_texts, load, plain, words
+from duskline.llm.tokens import WordEncoder, added_texts, distinct_pieces, listed, load, plain_words
 
 # A block ends once its texts hold so many characters; one document is never cut.
 BLOCK_CHARS = 32_000_000
 MAX_WORDS = 400_000
+# Words are counted after so many characters.
+STEP_CHARS = 2_000_000
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -51,10 +54,10 @@ def word_blocks(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK_CHARS)
         part, seq = TaskContext.get().partitionId(), 0
 
         def fresh():
-            return [], [], [], {}, {}, 0
+            return [], [], [], {}, 0
 
-        # table: words to places; known: the same for words as they stand in the texts
-        doc_ids, lengths, places, table, known, size = fresh()
+        # table: words to places
+        doc_ids, lengths, places, table, size = fresh()
 
         def close() -> pa.RecordBatch:
             row = dict(block=part << 32 | seq, doc_ids=doc_ids, lengths=lengths)
@@ -68,18 +71,28 @@ def word_blocks(docs: DataFrame, tokenizer: str, block_chars: int = BLOCK_CHARS)
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = words(text or "", added)
-                for word in found:
-                    if word not in known:
-                        known[word] = table.setdefault(plain(word, added), len(table))
-                doc_ids.append(doc_id)
-                lengths.append(len(found))
-                places.append(np.fromiter(map(known.__getitem__, found), "<u4", len(found)))
-                size += len(text or "")
+            names, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
+            chars = np.cumsum(pc.utf8_length(texts).to_numpy())
+            begin = before = 0
+            while begin < len(names):
+                # The text that fills the block is its last.
+                room = min(block_chars - size, STEP_CHARS)
+                end = min(int(np.searchsorted(chars, before + room)) + 1, len(names))
+                found, which, sizes = distinct_pieces(texts.slice(begin, end - begin))
+                known = [
+                    [table.setdefault(word, len(table)) for word in plain_words(piece, added)]
+                    for piece in listed(found)
+                ]
+                taken = pa.array(known, pa.list_(pa.uint32())).take(pa.array(which))
+                ends = taken.offsets.to_numpy()[np.r_[0, np.cumsum(sizes)]]
+                doc_ids.extend(names[begin:end])
+                lengths.extend(np.diff(ends).tolist())
+                places.append(taken.flatten().to_numpy())
+                size += int(chars[end - 1]) - before
+                begin, before = end, int(chars[end - 1])
                 if size >= block_chars or len(table) >= MAX_WORDS:
                     yield close()
-                    doc_ids, lengths, places, table, known, size = fresh()
+                    doc_ids, lengths, places, table, size = fresh()
                     seq += 1
         if doc_ids:
             yield close()
@@ -113,7 +126,7 @@ def encoded_words(distinct: DataFrame, tokenizer: str) -> DataFrame:
     def encode(column: pa.Array) -> pa.Array:
         if not loaded:
             loaded.append(WordEncoder(tokenizer))
-        return pa.array(loaded[0].encode(column.to_pylist()), pa.list_(pa.int32()))
+        return pa.array(loaded[0].encode(listed(column)), pa.list_(pa.int32()))
 
     return distinct.select("word", encode("word").alias("ids"))
 

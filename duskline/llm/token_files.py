@@ -26,10 +26,25 @@ from duskline.llm.tokens import byte_encoder, load
 
 # A file is closed once it holds so many bytes of ids; one document is never cut.
 FILE_BYTES = 32 << 20
+# Texts that are encoded at once hold about so many bytes.
+GATHERED_BYTES = 8 << 20
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together, as many texts share their words."""
+    some, size = [], 0
+    for batch in batches:
+        some.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED_BYTES:
+            yield pa.Table.from_batches(some)
+            some, size = [], 0
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 def write_token_files(
     docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES
 ) -> DataFrame:
@@ -65,10 +80,10 @@ def write_token_files(
             row = dict(part=part, seq=seq, path=path, n_docs=len(names), n_ids=size // id_bytes)
             return pa.RecordBatch.from_pylist([row], manifest)
 
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for doc_id, coded in zip(ids, encoder.encode(batch.column("text").to_pylist())):
-                bodies.append(body := b"".join(coded) + end)
+        for some in gathered(batches):
+            ids = some["doc_id"].to_pylist()
+            for doc_id, coded in zip(ids, encoder.encode(some["text"].combine_chunks())):
+                bodies.append(body := bytes(coded) + end)
                 size += len(body)
                 names.append(doc_id)
                 ends.append(size // id_bytes)

@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from cases import ODD, docs, prose
 from hypothesis import given, settings, strategies as st
 
-from duskline.llm import bpe, token_files
+from duskline.llm import bpe, token_files, tokens
 from duskline.llm.common import new_folder
 from duskline.llm.elias_fano import EliasFano, TokenFile, token_file
 from duskline.llm.tokens import load
@@ -61,6 +62,35 @@ def test_files_hold_every_document_in_order(spark):
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in by_id.items()}
 
 
+def test_marks_after_a_word_make_no_new_words(monkeypatch):
+    """A word is encoded once, whatever case it has and whatever marks end it."""
+    seen = []
+    whole = tokens.WordEncoder.encode
+    monkeypatch.setattr(tokens.WordEncoder, "encode", lambda self, found: seen.extend(found) or whole(self, found))
+    marks = ["", ".", ",***", "&&&", "$$$", ")", "'", '"', "%%%", "--", "?!"]
+    text = " ".join(word + mark for word in ("Plain", "plain", "\xc9t\xe9") for mark in marks)
+    coded = tokens.Encoder(PATH, "<u2").encode(pa.array([text, None, "", " \x1f plain "]))
+    assert [np.frombuffer(one, "<u2").tolist() for one in coded] == [
+        expected_ids(t) for t in (text, None, "", " \x1f plain ")
+    ]
+    assert len(seen) == len(set(seen)) <= 2 + len(marks) + 2
+
+
+def test_a_block_lists_a_word_once_for_all_its_marks(spark):
+    text = " ".join(f"word{mark} Word{mark}" for mark in ("", ".", "***", "&&&", ")", "'s", "--"))
+    found = spark.table(bpe.word_blocks(docs(spark, [(1, text)]), PATH)).collect()
+    assert sorted(found[0]["words"]) == sorted(["word", ".", "***", "&&&", ")", "word's", "--"])
+
+
+def test_white_space_is_what_python_takes_for_it():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    spaces = [c for c in points if c.isspace() and c not in tokens.ODD_SPACES]
+    parts, places, sizes = tokens.distinct_pieces(pa.array([f"a{c}b" for c in spaces] + ["".join(points[32:])]))
+    assert sizes.tolist()[:-1] == [2] * len(spaces)
+    some = parts.to_pylist()
+    assert [some[i] for i in places[-sizes[-1] :] if some[i]] == "".join(points[32:]).split()
+
+
 def test_small_files_give_the_same_rows(spark):
     table = docs(spark, [(i, prose(i, 30)) for i in range(40)])
     one = token_files.token_offsets(spark, table, PATH).orderBy("start").collect()
