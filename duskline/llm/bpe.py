@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from duskline.llm.common import dropped, new_folder, ready, release, saved
+from duskline.llm.common import dropped, new_folder, ready, saved, settle
 from duskline.llm.tokens import WordEncoder, added_texts, distinct_pieces, listed, load, plain_words
 
 # A block ends once its texts hold so many characters; one document is never cut.
@@ -35,6 +35,8 @@ BLOCK_CHARS = 32_000_000
 MAX_WORDS = 400_000
 # Words are counted after so many characters.
 STEP_CHARS = 2_000_000
+# Rows on their way back to the blocks are put together up to about so many bytes.
+PACKED_BYTES = 32 << 20
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -149,6 +151,48 @@ def decoded_words(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``block, packed``: the rows of a block that a task has, in Arrow's own compressed form.
+
+    Names of rows and lengths of texts take more room than the texts, in files and shuffles.
+    """
+    names = [name for name in rows.columns if name != "block"]
+
+    def by_block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).sort_by("block")
+        block = table["block"].to_numpy()
+        starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1]
+        options, data = pa.ipc.IpcWriteOptions(compression="zstd"), []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(block)]):
+            sink = pa.BufferOutputStream()
+            part = table.select(names).slice(a, b - a).combine_chunks()
+            with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
+                stream.write_table(part)
+            data.append(sink.getvalue().to_pybytes())
+        columns = [pa.array(block[starts]), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "packed"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        for batch in batches:
+            some.append(batch)
+            size += batch.nbytes
+            if size >= PACKED_BYTES:
+                yield by_block(some)
+                some, size = [], 0
+        if some:
+            yield by_block(some)
+
+    return rows.mapInArrow(pack, "block long, packed binary")
+
+
+def unpacked(found: pd.Series) -> pa.Table:
+    """The words of a block that ``packed`` has put together, by place; a block may have none."""
+    none = pa.table({"place": pa.array([], pa.int32())} | {name: pa.array([], pa.string()) for name in ("numbers", "text")})
+    parts = [pa.ipc.open_stream(one).read_all() for one in found]
+    return pa.concat_tables([none, *parts], promote_options="default").sort_by("place").combine_chunks()
+
+
 def check_decoder(tokenizer: str) -> None:
     """Decoding joins pieces with spaces, which is right for files without a decoder only."""
     with open(tokenizer, encoding="utf-8") as file:
@@ -213,15 +257,19 @@ def _by_block(docs: DataFrame, tokenizer: str, describe, kinds: str) -> DataFram
     used = blocks.select("block", F.posexplode("words").alias("place", "word"))
     coded = encoded_words(used.select("word").distinct(), tokenizer)
     table = saved(decoded_words(coded, vocabulary(spark, tokenizer)), "words")
+    # What is shuffled in a step goes before the next one shuffles.
+    del coded
+    settle(spark)
     # A word comes once per block, so no word is hot beyond the number of blocks.
-    back = saved(used.join(table, "word").select("block", "place", "numbers", "text"), "back")
+    back = saved(packed(used.join(table, "word").select("block", "place", "numbers", "text")), "back")
     dropped(table)
-    release(spark)
+    del used, table
+    settle(spark)
     schema = f"doc_id long, {kinds}"
 
     def assemble(found: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("place")
-        of = describe(found["numbers"].tolist(), found["text"].tolist())
+        told = unpacked(found["packed"])
+        of = describe(*(listed(told[name].combine_chunks()) for name in ("numbers", "text")))
         rows, names = [], []
         for doc_ids, lengths, data in zip(own["doc_ids"], own["lengths"], own["places"]):
             places = np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
