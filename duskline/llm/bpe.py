@@ -35,8 +35,10 @@ BLOCK_CHARS = 32_000_000
 MAX_WORDS = 400_000
 # Words are counted after so many characters.
 STEP_CHARS = 2_000_000
-# Rows on their way back to the blocks are put together up to about so many bytes.
+# Rows on their way from and to the blocks are put together up to about so many bytes.
 PACKED_BYTES = 32 << 20
+# Words of blocks that are joined with the table of words in one group, about.
+BUCKET_WORDS = 1_000_000
 ENCODED = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -151,46 +153,103 @@ def decoded_words(encoded: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """``block, packed``: the rows of a block that a task has, in Arrow's own compressed form.
+def _packet(table: pa.Table) -> bytes:
+    """Rows without nulls in one row of Arrow's compressed form: numbers as steps, texts as one and their lengths.
+
+    Offsets and rising numbers hardly pack; lengths and steps are small and do.
+    """
+    lean = {}
+    for name, column in zip(table.column_names, table.combine_chunks().columns):
+        column = column.combine_chunks()
+        if pa.types.is_integer(column.type):
+            lean[name] = pa.array([np.diff(column.to_numpy(), prepend=0)], pa.list_(pa.int64()))
+        else:
+            ends = pa.array([0, len(column)], pa.int32())
+            lean[name] = pc.binary_join(pa.ListArray.from_arrays(ends, column), "")
+            lean[f"{name} lengths"] = pa.ListArray.from_arrays(ends, pc.binary_length(column))
+    lean, sink = pa.table(lean), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, lean.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(lean)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(packet: bytes) -> pa.Table:
+    """The rows of a ``_packet``."""
+    lean, columns = pa.ipc.open_stream(packet).read_all(), {}
+    for name in lean.column_names:
+        column = lean[name].chunk(0)
+        if name.endswith(" lengths"):
+            continue
+        if pa.types.is_list(column.type):
+            columns[name] = np.cumsum(column.flatten().to_numpy())
+        else:
+            lengths = lean[f"{name} lengths"].chunk(0).flatten().to_numpy()
+            ends = pa.py_buffer(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+            columns[name] = pa.StringArray.from_buffers(len(lengths), ends, column.buffers()[2])
+    return pa.table(columns)
+
+
+def packed(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys, which are numbers, and ``packed``: the rows of the same keys that a task has.
 
     Names of rows and lengths of texts take more room than the texts, in files and shuffles.
     """
-    names = [name for name in rows.columns if name != "block"]
-
-    def by_block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(batches).sort_by("block")
-        block = table["block"].to_numpy()
-        starts = np.r_[0, np.flatnonzero(np.diff(block)) + 1]
-        options, data = pa.ipc.IpcWriteOptions(compression="zstd"), []
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(block)]):
-            sink = pa.BufferOutputStream()
-            part = table.select(names).slice(a, b - a).combine_chunks()
-            with pa.ipc.new_stream(sink, part.schema, options=options) as stream:
-                stream.write_table(part)
-            data.append(sink.getvalue().to_pybytes())
-        columns = [pa.array(block[starts]), pa.array(data, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "packed"])
+    names = [name for name in rows.columns if name not in keys]
+
+    def by_keys(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).sort_by([(key, "ascending") for key in keys])
+        found = [table[key].to_numpy() for key in keys]
+        starts = np.r_[0, np.flatnonzero(np.any([np.diff(one) for one in found], axis=0)) + 1]
+        ends = [*starts[1:].tolist(), len(table)]
+        data = [_packet(table.select(names).slice(a, b - a)) for a, b in zip(starts.tolist(), ends)]
+        columns = [*(pa.array(one[starts]) for one in found), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "packed"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, size = [], 0
         for batch in batches:
-            some.append(batch)
-            size += batch.nbytes
+            if len(batch):
+                some.append(batch)
+                size += batch.nbytes
             if size >= PACKED_BYTES:
-                yield by_block(some)
+                yield by_keys(some)
                 some, size = [], 0
         if some:
-            yield by_block(some)
+            yield by_keys(some)
 
-    return rows.mapInArrow(pack, "block long, packed binary")
+    kinds = "".join(f"{key} long, " for key in keys)
+    return rows.select(*(F.col(key).cast("long") for key in keys), *names).mapInArrow(pack, f"{kinds}packed binary")
 
 
 def unpacked(found: pd.Series) -> pa.Table:
     """The words of a block that ``packed`` has put together, by place; a block may have none."""
-    none = pa.table({"place": pa.array([], pa.int32())} | {name: pa.array([], pa.string()) for name in ("numbers", "text")})
-    parts = [pa.ipc.open_stream(one).read_all() for one in found]
-    return pa.concat_tables([none, *parts], promote_options="default").sort_by("place").combine_chunks()
+    none = pa.table({"place": pa.array([], pa.int64())} | {name: pa.array([], pa.string()) for name in ("numbers", "text")})
+    return pa.concat_tables([none, *map(_rows, found)]).sort_by("place").combine_chunks()
+
+
+def returned_words(used: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
+    """``block, packed``: the ``place, numbers, text`` of the words of the blocks, by a join with the table of words.
+
+    Both sides are dealt out by word in buckets, and travel packed. A word comes once per
+    block, so no word is hot beyond the number of blocks.
+    """
+    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket")
+    asked = packed(used.select(bucket, "block", "place", "word"), "bucket", "block")
+    told = packed(table.select(bucket, "word", "numbers", "text"), "bucket")
+
+    def join(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        known = pa.concat_tables(map(_rows, told["packed"])).combine_chunks()
+        parts = [_rows(one) for one in asked["packed"]]
+        ends = np.cumsum([len(part) for part in parts]).tolist()
+        own = pa.concat_tables(parts).combine_chunks()
+        del parts
+        at = pc.index_in(own["word"], value_set=known["word"].combine_chunks())
+        both = known.select(["numbers", "text"]).take(at).add_column(0, "place", own["place"])
+        del known, own, at
+        data = [_packet(both.slice(a, b - a)) for a, b in zip([0, *ends], ends)]
+        return pd.DataFrame({"block": asked["block"], "packed": data})
+
+    return asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(join, "block long, packed binary")
 
 
 def check_decoder(tokenizer: str) -> None:
@@ -260,8 +319,8 @@ def _by_block(docs: DataFrame, tokenizer: str, describe, kinds: str) -> DataFram
     # What is shuffled in a step goes before the next one shuffles.
     del coded
     settle(spark)
-    # A word comes once per block, so no word is hot beyond the number of blocks.
-    back = saved(packed(used.join(table, "word").select("block", "place", "numbers", "text")), "back")
+    words = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    back = saved(returned_words(used, table, 1 + words // BUCKET_WORDS), "back")
     dropped(table)
     del used, table
     settle(spark)

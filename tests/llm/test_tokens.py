@@ -122,6 +122,25 @@ def test_blocks_encode_and_decode_like_the_library(spark, monkeypatch):
         assert sorted((str(r[0]), *r[1:]) for r in found) == wanted
 
 
+def test_words_travel_packed_to_their_ids_and_back(spark):
+    words = [prose(i, 1) + chr(97 + i % 26) + str(i) for i in range(3000)] + ["", "\xe9\n\u65e5 x"]
+    rows = [(block, place, word) for block in (3, 1 << 33) for place, word in enumerate(sorted(words))]
+    used = spark.createDataFrame(rows, "block long, place int, word string")
+    own = {word: (" ".join(str(ord(c) * 50) for c in word), " ".join(word)) for word in words}
+    table = spark.createDataFrame([(w, *own[w]) for w in words], "word string, numbers string, text string")
+    found = bpe.returned_words(used, table, 3).toPandas().groupby("block")["packed"].apply(list)
+    for block, packets in found.items():
+        wanted = [(place, *own[word]) for at, place, word in rows if at == block]
+        assert [tuple(r.values()) for r in bpe.unpacked(packets).to_pylist()] == wanted
+    assert set(found.index) == {3, 1 << 33} and bpe.unpacked([]).num_rows == 0
+    sent = [len(r["packed"]) for r in bpe.packed(used.coalesce(1), "block").collect()]
+    plain = pa.BufferOutputStream()
+    with pa.ipc.new_stream(plain, used.toArrow().schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(used.toArrow())
+    # In Arrow's own form, offsets and places took more than the words.
+    assert len(sent) == 2 and sum(sent) < 0.7 * plain.getvalue().size
+
+
 def test_added_tokens_are_found_as_the_text_writes_them(spark):
     library = load(PATH)
     texts = ["A <|ENDOFTEXT|> B", "x<|EndOfText|>.", "<|endoftext|>! Yes<|STARTOFTEXT|>no.", "<|EndOfText|>"]
