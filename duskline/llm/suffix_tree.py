@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -101,12 +102,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Places(dict):
-    """Words in the order of their first sight, numbered from 1."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of texts in the order of their first sight, each word's number from 1, words of each text.
 
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self) + 1
-        return place
+    After the words of a text there is a 0.
+    """
+    # Arrow's functions for ASCII know just the letters and spaces that are meant, and leave other bytes alone.
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null(b"").view(pa.string())))
+    words, ends = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    # A text that begins or ends with a space has an empty part there.
+    real = pc.not_equal(pc.binary_length(words), 0)
+    before = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
+    lengths = np.diff(before[ends])
+    coded = words.filter(real).dictionary_encode()
+    places = np.zeros(len(coded) + len(lengths), "<u4")
+    inside = np.ones(len(places), bool)
+    inside[np.cumsum(lengths + 1) - 1] = False
+    places[inside] = coded.indices.to_numpy() + 1
+    return coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False), places, lengths
 
 
 def word_blocks(docs: DataFrame, held: tuple[int, int], block_bytes: int) -> DataFrame:
@@ -120,33 +133,31 @@ def word_blocks(docs: DataFrame, held: tuple[int, int], block_bytes: int) -> Dat
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
 
-        def fresh():
-            return [], [], [], [], _Places(), 0
-
-        doc_ids, helds, lengths, places, table, size = fresh()
+        # rows of the block, and bytes of their texts
+        some, size = [], 0
 
         def close() -> pa.RecordBatch:
-            words = np.array(list(table), object)
+            rows = pa.Table.from_batches(some).combine_chunks()
+            words, places, lengths = _words(rows["text"].combine_chunks())
             hashes = pd.util.hash_array(words, categorize=False) if len(words) else np.zeros(0, "u8")
-            row = dict(block=part << 32 | seq, doc_ids=doc_ids, held=helds, lengths=lengths)
-            row |= dict(hashes=np.r_[END, hashes].tobytes(), places=_planes(np.concatenate(places)))
+            row = dict(block=part << 32 | seq, doc_ids=rows["doc_id"].to_pylist(), held=rows["held"].to_pylist())
+            row |= dict(lengths=lengths + 1, hashes=np.r_[END, hashes].tobytes(), places=_planes(places))
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for doc_id, is_held, text in zip(*(column.to_pylist() for column in batch.columns)):
-                # bytes.lower and bytes.split know just the letters and spaces that are meant
-                words = (text or b"").lower().split()
-                doc_ids.append(doc_id)
-                helds.append(is_held)
-                lengths.append(len(words) + 1)
-                places.append(np.fromiter(map(table.__getitem__, words), "<u4", len(words)))
-                places.append(np.zeros(1, "<u4"))
-                size += len(text or b"") + 1
+            sizes = np.cumsum(pc.binary_length(batch["text"]).fill_null(0).to_numpy().astype(np.int64) + 1)
+            begin = before = 0
+            while begin < len(sizes):
+                # The text that fills the block is its last.
+                end = min(int(np.searchsorted(sizes, before + block_bytes - size)) + 1, len(sizes))
+                some.append(batch.slice(begin, end - begin))
+                size += int(sizes[end - 1]) - before
+                begin, before = end, int(sizes[end - 1])
                 if size >= block_bytes:
                     yield close()
-                    doc_ids, helds, lengths, places, table, size = fresh()
+                    some, size = [], 0
                     seq += 1
-        if doc_ids:
+        if some:
             yield close()
 
     schema = pa.schema(
@@ -175,7 +186,7 @@ class Sequences:
     def __init__(
         self, keys: np.ndarray, at: np.ndarray, alone: np.ndarray | None = None, labels: np.ndarray | None = None
     ):
-        self.at = at
+        self.at, self.numbers = at, None
         if labels is None:
             order = np.argsort(keys[at])
             ordered = keys[at][order]
@@ -207,9 +218,16 @@ class Sequences:
 
     def spread(self, values: np.ndarray, size: int) -> np.ndarray:
         """Values of the sequences at their positions, 0 elsewhere."""
-        out = np.zeros(size, values.dtype)
-        out[self.at] = values[self.which]
-        return out
+        return np.append(values, np.zeros(1, values.dtype))[self.numbered(size)]
+
+    def numbered(self, size: int) -> np.ndarray:
+        """The number of each position's sequence; one more than all of them elsewhere."""
+        if self.numbers is None:
+            self.numbers = self.which
+            if len(self.at) < size:
+                self.numbers = np.full(size, len(self.keys), np.int32)
+                self.numbers[self.at] = self.which
+        return self.numbers
 
 
 class Block:
@@ -276,13 +294,17 @@ class Block:
             # Of each sequence, the block that owns it tells its part of its context's gain.
             states = Sequences(context, at, only, self._before(labels, self.start))
             del only, numbers, shared, own
-            labels = found.spread(np.arange(len(found.keys), dtype=np.int32), self.size)
-            first, n = found.first[owned & (total > 0)], total[owned & (total > 0)].astype(float)
-            where = states.spread(np.arange(len(states.keys), dtype=np.int32), self.size)[first]
+            labels = found.numbered(self.size)
+            mine = np.flatnonzero(owned & (total > 0))
+            where = states.numbered(self.size)[found.first[mine]]
+            if until > d + 1:
+                # What is told of the other contexts holds these parts already.
+                mine, where = mine[states.alone[where]], where[states.alone[where]]
+            first, n = found.first[mine], total[mine].astype(float)
             part = np.rint(n * np.log(n / seen[first] / p[first]) * PARTS)
             gains = np.bincount(where, part, len(states.keys)).astype(np.int64)
             kinds = np.bincount(where, minlength=len(states.keys))
-            del found, total, owned, at, first, n, where, part
+            del found, total, owned, at, mine, first, n, where, part
             if until == d + 1:
                 yield _ask(2 * d + 1, states, kinds, gains)
                 continue

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import ODD, docs, prose
 
@@ -114,6 +115,17 @@ def test_nothing_to_learn_from(spark):
     assert scored(docs(spark, [(held, "one two")])) == [(held, True, 3, 0, 0, 0.0, 0.0)]
 
 
+def test_words_of_many_texts_are_parted_at_once():
+    """As bytes.lower and bytes.split, whatever the bytes; a word is not looked at by Python one by one."""
+    raw = [None, b"", b" ", b" a A\t\x0bb ", "\xc9 \xe9\x1fX \u2028y\x85 \u0130".encode(), b"\xff\xfeQ q", bytes(range(256))]
+    for texts in (pa.array(raw, pa.binary()), pa.array([b"x y", *raw, b"z"], pa.binary())[1:-1], pa.array([], pa.binary())):
+        words, places, lengths = suffix_tree._words(texts)
+        wanted = [(text or b"").lower().split() for text in texts.to_pylist()]
+        assert lengths.tolist() == [len(own) for own in wanted]
+        assert words.tolist() == list(dict.fromkeys(word for own in wanted for word in own))
+        assert [None if n == 0 else words[n - 1] for n in places] == [w for own in wanted for w in (*own, None)]
+
+
 def test_numbers_take_the_bytes_they_need():
     rng = np.random.default_rng(3)
     for values in (rng.integers(0, 200, 5000), rng.integers(-(1 << 62), 1 << 62, 9), np.zeros(0, np.int64), np.array([-1, 0])):
